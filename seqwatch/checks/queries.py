@@ -433,7 +433,7 @@ def sequence_mae(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def mae_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     history = scaled_readings(fixture.history(fixture.readings(spark, sf_dir)))
-    training = rows.row_sequences(history, order_by=["timestamp", "event_id"])
+    training = rows.row_sequences(history, order_by=["timestamp", "event_id"], flat=False)
     path = scratch_path(spark, "threshold")
     tables.write_threshold(
         scoring.fit_threshold(det.training_errors(training, models.WindowMean())), path
@@ -466,7 +466,7 @@ def anomaly_scores_by_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounds = scaling.fit(fixture.history(df), series_keys=["series"])
     scaled = scaling.scale(df, bounds, series_keys=["series"])
     training = rows.row_sequences(
-        fixture.history(scaled), order_by=["timestamp"], series_keys=["series"]
+        fixture.history(scaled), order_by=["timestamp"], series_keys=["series"], flat=False
     )
     model = models.WindowMean()
     threshold = scoring.fit_threshold(det.training_errors(training, model))

@@ -58,9 +58,11 @@ def flat(seq: Column) -> Column:
 
 def unflat(values: Column, steps: int, channels: int) -> Column:
     """A time-major array back to steps x channels."""
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(steps - 1)),
-        lambda t: F.slice(values, t * channels + 1, F.lit(channels)),
+    return F.array(
+        *[
+            F.array(*[F.get(values, F.lit(t * channels + c)) for c in range(channels)])
+            for t in range(steps)
+        ]
     )
 
 
@@ -82,12 +84,16 @@ def channel(seq: Column, index: int) -> Column:
     return F.transform(seq, lambda x: x[index])
 
 
-def mean(values: Column) -> Column:
-    """Mean of an array; null when it is empty."""
-    total = F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
-    return F.try_divide(total, F.size(values))
+def total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
+
+
+def channel_mean(seq: Column, index: int) -> Column:
+    """Mean of one channel over the steps; null for an empty sequence."""
+    return F.try_divide(total(channel(seq, index)), F.size(seq))
 
 
 def channel_mae(seq: Column, prediction: Column, index: int) -> Column:
     """Mean absolute error of one channel over the steps."""
-    return mean(F.zip_with(seq, prediction, lambda x, p: F.abs(p[index] - x[index])))
+    gaps = F.zip_with(seq, prediction, lambda x, p: F.abs(p[index] - x[index]))
+    return F.try_divide(total(gaps), F.size(seq))

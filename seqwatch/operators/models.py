@@ -1,7 +1,6 @@
 """Sequence models (MDL-1 to MDL-3). Each turns ``features`` (steps x channels) into ``prediction``.
 
-A model offers ``reconstruct(df)``, ``save(path, spark)`` where it has state, and
-is fitted on flat training sequences. None of them is a neural network; a user's
+A model offers ``reconstruct(df)`` and, where it has state, ``save(path, spark)``. None of them is a neural network; a user's
 own network goes in through ``BatchModel``.
 """
 
@@ -19,6 +18,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from seqwatch import names
 from seqwatch.functions import sequences
+from seqwatch.operators.once import add_once
 
 Predict = Callable[[np.ndarray], np.ndarray]
 
@@ -31,9 +31,9 @@ class WindowMean:
 
     def reconstruct(self, df: DataFrame) -> DataFrame:
         step = F.array(
-            *[sequences.mean(sequences.channel(F.col("features"), c)) for c in range(self.channels)]
+            *[sequences.channel_mean(F.col("features"), c) for c in range(self.channels)]
         )
-        return df.withColumn("prediction", F.array_repeat(step, F.size("features")))
+        return add_once(df, {"prediction": F.array_repeat(step, F.size("features"))})
 
 
 @dataclass(frozen=True)
@@ -86,8 +86,8 @@ class PcaReconstruction:
         steps: int = names.STEPS,
         channels: int = len(names.CHANNELS),
     ) -> PcaReconstruction:
-        """From flat ``features``; both passes aggregate into fixed-size sums."""
-        vectors = training.select(array_to_vector("features").alias("v"))
+        """From training sequences; every pass aggregates into fixed-size sums."""
+        vectors = training.select(array_to_vector(sequences.flat(F.col("features"))).alias("v"))
         center = vectors.select(Summarizer.mean(F.col("v")).alias("m")).first()["m"].toArray()
         model = PCA(k=k, inputCol="v", outputCol="scores").fit(vectors)
         return cls(center, model.pc.toArray(), steps, channels)

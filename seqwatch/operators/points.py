@@ -9,28 +9,24 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from seqwatch import names
 from seqwatch.functions import times
-
-# Type names of JSON values as ``schema_of_variant`` spells them.
-_NUMBERS = ("BIGINT", "DOUBLE", "FLOAT")
+from seqwatch.operators.once import add_once
 
 
 def _children(name: Column, value: Column) -> Column:
     """A nested value's members with their joined names; a scalar stays itself."""
-    entry = F.struct(name.alias("name"), value.alias("value"))
-    kind = F.schema_of_variant(value)
+
+    def entry(name: Column, value: Column) -> Column:
+        return F.struct(name.alias("name"), value.alias("value"))
+
     items = F.transform(
-        value.cast("array<variant>"),
-        lambda v, i: F.struct(F.concat_ws("_", name, i.cast("string")).alias("name"), v.alias("value")),
+        F.try_variant_get(value, "$", "array<variant>"),
+        lambda v, i: entry(F.concat_ws("_", name, i.cast("string")), v),
     )
     members = F.transform(
-        F.map_entries(value.cast("map<string,variant>")),
-        lambda e: F.struct(F.concat_ws("_", name, e["key"]).alias("name"), e["value"].alias("value")),
-    )
-    return (
-        F.when(kind.startswith("ARRAY"), items)
-        .when(kind.startswith("OBJECT"), members)
-        .otherwise(F.array(entry))
+        F.map_entries(F.try_variant_get(value, "$", "map<string,variant>")),
+        lambda e: entry(F.concat_ws("_", name, e["key"]), e["value"]),
     )
+    return F.coalesce(items, members, F.array(entry(name, value)))
 
 
 def unpivot_json(
@@ -49,33 +45,41 @@ def unpivot_json(
     or that is not a JSON object has no points.
     """
     message = F.try_parse_json(F.col("value").cast("string"))
-    fields = F.when(F.schema_of_variant(message).startswith("OBJECT"), message).cast(
-        "map<string,variant>"
-    )
-    opened = records.select(
-        F.col("topic").alias("key"), F.col("offset").alias("_arrival"), fields.alias("fields")
+    opened = add_once(
+        records.select("topic", "offset", message.alias("message")),
+        {"fields": F.try_variant_get("message", "$", "map<string,variant>")},
     )
     time_text = F.try_variant_get(F.try_element_at("fields", F.lit(time_key)), "$", "string")
-    opened = opened.withColumn("_time", times.from_epoch_text(time_text)).filter(
-        F.col("_time").isNotNull()
-    )
     rows = opened.select(
-        "key", "_arrival", "_time", F.explode("fields").alias("name", "v")
-    ).filter(F.col("name") != time_key)
+        F.col("topic").alias("key"),
+        F.col("offset").alias("_arrival"),
+        times.from_epoch_text(time_text).alias("_time"),
+        F.explode("fields").alias("name", "leaf"),
+    ).filter(F.col("_time").isNotNull() & (F.col("name") != time_key))
+    place = ["key", "_arrival", "_time"]
     for _ in range(depth):
-        rows = rows.select(
-            "key", "_arrival", "_time", F.explode(_children(F.col("name"), F.col("v"))).alias("e")
-        ).select("key", "_arrival", "_time", F.col("e.name").alias("name"), F.col("e.value").alias("v"))
-    kind = F.schema_of_variant("v")
-    numeric = kind.isin(*_NUMBERS) | kind.startswith("DECIMAL")
-    textual = kind.isin("STRING", "BOOLEAN") & F.col("name").isin(*string_fields)
-    return rows.filter(numeric | textual).select(
+        rows = rows.select(*place, F.inline(_children(F.col("name"), F.col("leaf")))).toDF(
+            *place, "name", "leaf"
+        )
+    # As JSON, a leaf shows its kind: only a number reads as one, only text is quoted.
+    leaves = add_once(rows, {"json": F.to_json("leaf")})
+    kept_text = F.col("name").isin(*string_fields) & (
+        F.col("json").startswith('"') | F.col("json").isin("true", "false")
+    )
+    cells = add_once(
+        leaves,
+        {
+            "_value": F.col("json").try_cast("double"),
+            "_svalue": F.when(kept_text, F.try_variant_get("leaf", "$", "string")),
+        },
+    ).filter(F.col("_value").isNotNull() | F.col("_svalue").isNotNull())
+    return cells.select(
         F.lit(measurement).alias("measurement"),
         "key",
         "_time",
         F.col("name").alias("_field"),
-        F.when(numeric, F.try_variant_get("v", "$", "double")).alias("_value"),
-        F.when(textual, F.try_variant_get("v", "$", "string")).alias("_svalue"),
+        "_value",
+        "_svalue",
         "_arrival",
     )
 

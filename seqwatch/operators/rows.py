@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from seqwatch import names
 from seqwatch.functions import sequences, times
+from seqwatch.operators.once import add_once
 from seqwatch.session import ensure_checkpoint_dir
 
 
@@ -49,8 +50,10 @@ def row_sequences(
     chunk_rows: int = 4096,
     compat: bool = False,
     batch_rows: int = 10_000,
+    flat: bool = True,
 ) -> DataFrame:
-    """Each row with its ``steps - 1`` followers as one flat, time-major ``features``.
+    """Each row with its ``steps - 1`` followers as one flat, time-major ``features``,
+    or as steps x channels with ``flat=False``.
 
     A series of N rows gives N - steps + 1 sequences. Rows are numbered across
     all series, cut into chunks of equal size, and a chunk also gets the first
@@ -87,8 +90,10 @@ def row_sequences(
     framed = chunked.select(
         *kept, F.collect_list("_point").over(ahead).alias("_ahead")
     ).filter(F.size("_ahead") == needed)
-    features = sequences.flat(F.slice("_ahead", F.lit(1), F.lit(steps)))
-    return framed.select(*kept, features.alias("features"))
+    features = F.slice("_ahead", F.lit(1), F.lit(steps)) if compat else F.col("_ahead")
+    if flat:
+        features = sequences.flat(features)
+    return add_once(framed, {"features": features}).drop("_ahead")
 
 
 def as_training_pairs(sequence_rows: DataFrame, partitions: int | None = None) -> DataFrame:

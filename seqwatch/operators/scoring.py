@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from seqwatch import names
 from seqwatch.functions import sequences
+from seqwatch.operators.once import add_once
 
 
 def is_complete(features: Column, steps: int = names.STEPS) -> Column:
@@ -21,11 +22,12 @@ def add_errors(
     prediction: str = "prediction",
 ) -> DataFrame:
     """``mae_<channel>`` between a sequence and its reconstruction, both steps x channels."""
-    return reconstructed.withColumns(
+    return add_once(
+        reconstructed,
         {
             f"mae_{c}": sequences.channel_mae(F.col(features), F.col(prediction), i)
             for i, c in enumerate(channels)
-        }
+        },
     )
 
 

@@ -6,19 +6,24 @@ from collections.abc import Sequence
 from datetime import timedelta
 from math import gcd
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from seqwatch import names
 from seqwatch.functions import sequences, times
+from seqwatch.operators.once import add_once
 
 
-def _bounded(features: Column, steps: int, on_overflow: str) -> Column:
+def _bounded(found: DataFrame, steps: int, on_overflow: str) -> DataFrame:
+    """``features`` of at most ``steps`` points from all points ``_found``."""
+    found = add_once(found, {"_found": F.col("_found")})
     if on_overflow == "latest":
-        return sequences.latest(features, steps)
-    failure = F.raise_error(F.lit(f"a window holds more than {steps} points"))
-    return F.when(F.size(features) <= steps, features).otherwise(
-        failure.cast("array<array<double>>")
-    )
+        features = sequences.latest(F.col("_found"), steps)
+    else:
+        failure = F.raise_error(F.lit(f"a window holds more than {steps} points"))
+        features = F.when(F.size("_found") <= steps, F.col("_found")).otherwise(
+            failure.cast("array<array<double>>")
+        )
+    return found.withColumn("features", features).drop("_found")
 
 
 def sliding_sequences(
@@ -103,14 +108,15 @@ def sliding_sequences(
     inside = F.filter("_ahead", lambda p: p["_pane"] < F.col("_start") + width)
     features = F.flatten(F.transform(inside, lambda p: p["_points"]))
     begin = F.col("_start") * unit
-    return started.select(
+    found = started.select(
         *keys,
         F.struct(
             F.timestamp_micros(begin).alias("start"),
             F.timestamp_micros(begin + times.micros(window)).alias("end"),
         ).alias("window"),
-        _bounded(features, steps, on_overflow).alias("features"),
+        features.alias("_found"),
     )
+    return _bounded(found, steps, on_overflow)
 
 
 def grouped_sequences(
@@ -133,5 +139,5 @@ def grouped_sequences(
     grouped = df.groupBy(
         *series_keys,
         F.window(time_col, times.interval_text(window), times.interval_text(slide)),
-    ).agg(sequences.ordered_sequence([time_col, *tie_cols], channels).alias("features"))
-    return grouped.withColumn("features", _bounded(F.col("features"), steps, on_overflow))
+    ).agg(sequences.ordered_sequence([time_col, *tie_cols], channels).alias("_found"))
+    return _bounded(grouped, steps, on_overflow)

@@ -5,10 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from seqwatch import names
-from seqwatch.functions import sequences
 from seqwatch.operators import models, rows, scaling, scoring
 from seqwatch.sinks import tables
 from seqwatch.sources import files
@@ -64,16 +63,10 @@ class Detector:
 
 
 def training_errors(
-    training: DataFrame,
-    model,
-    channels: Sequence[str] = names.CHANNELS,
-    steps: int = names.STEPS,
+    training: DataFrame, model, channels: Sequence[str] = names.CHANNELS
 ) -> DataFrame:
-    """Errors of flat training sequences under a model."""
-    shaped = training.withColumn(
-        "features", sequences.unflat(F.col("features"), steps, len(channels))
-    )
-    return scoring.add_errors(model.reconstruct(shaped), channels)
+    """Errors of training sequences (steps x channels) under a model."""
+    return scoring.add_errors(model.reconstruct(training), channels)
 
 
 def fit_detector(
@@ -98,9 +91,10 @@ def fit_detector(
         series_keys=series_keys,
         steps=steps,
         compat=compat,
+        flat=False,
     ).select("features")
     model = make_model(training)
-    fitted = scoring.fit_threshold(training_errors(training, model, channels, steps), channels)
+    fitted = scoring.fit_threshold(training_errors(training, model, channels), channels)
     return Detector(scaler, model, tuple(fitted.first().mae_threshold), steps)
 
 
