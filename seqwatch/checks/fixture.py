@@ -44,21 +44,27 @@ def _readings(events: DataFrame, timestamp: Column, *extra: Column) -> DataFrame
     )
 
 
-def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One series, one reading per second."""
-    events = table(spark, sf_dir, "events")
+def _one_clock(events: DataFrame) -> DataFrame:
     return _readings(events, F.timestamp_seconds(F.lit(BASE) + F.col("event_id")))
 
 
-def keyed_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eight series, each with one reading per second."""
-    events = table(spark, sf_dir, "events")
+def _keyed_clock(events: DataFrame) -> DataFrame:
     second = F.lit(BASE) + times.floor_div(F.col("event_id"), SERIES)
     return _readings(
         events, F.timestamp_seconds(second), (F.col("event_id") % SERIES).alias("series")
     )
 
 
+def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One series, one reading per second."""
+    return _one_clock(table(spark, sf_dir, "events"))
+
+
+def keyed_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight series, each with one reading per second."""
+    return _keyed_clock(table(spark, sf_dir, "events"))
+
+
 def event_time_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events' own irregular time."""
     events = table(spark, sf_dir, "events")
@@ -70,11 +76,12 @@ def history(df: DataFrame) -> DataFrame:
     return df.filter(F.col("topic") == names.READINGS_TOPIC)
 
 
-def wire(readings: DataFrame) -> DataFrame:
-    """Readings as Kafka records."""
-    carry = ["event_id", "timestamp", "topic"]
-    return records.encode(readings, carry=carry).select(
-        F.col("key").cast("binary").alias("key"),
+def wire(readings: DataFrame, key: Column | None = None) -> DataFrame:
+    """Readings as Kafka records, under the fixed record key or one of their own."""
+    source = readings if key is None else readings.withColumn("own_key", key.cast("string"))
+    carry = ["event_id", "timestamp", "topic"] + ([] if key is None else ["own_key"])
+    return records.encode(source, carry=carry).select(
+        F.col("key" if key is None else "own_key").cast("binary").alias("key"),
         F.col("value").cast("binary").alias("value"),
         "topic",
         F.lit(0).alias("partition"),
@@ -83,8 +90,17 @@ def wire(readings: DataFrame) -> DataFrame:
     )
 
 
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = table(spark, sf_dir, "events").schema
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+    return reader.parquet(sf_dir)
+
+
 def wire_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream of Kafka records."""
-    schema = table(spark, sf_dir, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return wire(_readings(events, F.timestamp_seconds(F.lit(BASE) + F.col("event_id"))))
+    return wire(_one_clock(_event_stream(spark, sf_dir)))
+
+
+def keyed_wire_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the series as record key."""
+    return wire(_keyed_clock(_event_stream(spark, sf_dir)), F.col("series"))

@@ -55,7 +55,7 @@ def row_windowed(source: str, order: str, by: str = "", name: str = "seq"):
 def errors(source: str, key: str, name: str, where: str = ""):
     """CTE: mean absolute deviation from the mean, per sequence and channel."""
     return f"""{name} AS (
-  SELECT {key}, avg(abs(x0 - m0)) AS e0, avg(abs(x1 - m1)) AS e1
+  SELECT {key}, round(avg(abs(x0 - m0)), 12) AS e0, round(avg(abs(x1 - m1)), 12) AS e1
   FROM (SELECT *, avg(x0) OVER (PARTITION BY {key}) AS m0, avg(x1) OVER (PARTITION BY {key}) AS m1
         FROM {source}{where}) d
   GROUP BY {key})"""
@@ -156,6 +156,8 @@ SCALE_COLUMNS = "event_id, round(x0, 9) AS scaled_set_t, round(x1, 9) AS scaled_
 
 ALL: dict[str, str] = {
     "decode_records": f"""WITH {SENSOR}
+SELECT event_id AS "offset", t AS event_time, set_t, v_t FROM sensor""",
+    "decode_payload_time": f"""WITH {SENSOR}
 SELECT event_id AS "offset", t AS event_time, set_t, v_t FROM sensor""",
     "encode_records": f"""WITH {SENSOR}
 SELECT event_id, 'modb_temp' AS key, {MESSAGE} AS message, t AS event_time FROM sensor""",
@@ -271,7 +273,8 @@ SELECT {message_columns()}, we AS event_time FROM sent""",
 SELECT {message_columns()}, false AS has_event_time FROM sent""",
     "user_model_reconstruct": f"""WITH {SENSOR}, {scaled()}, {windowed()}
 SELECT ws AS window_start, ws + 20 AS window_end,
-       avg(abs(x0 / 2 - x0)) > 0.2 OR avg(abs(x1 / 2 - x1)) > 0.02 AS "isAnomaly",
+       round(avg(abs(x0 / 2 - x0)), 12) > 0.2 OR round(avg(abs(x1 / 2 - x1)), 12) > 0.02
+         AS "isAnomaly",
        round(avg(abs(x0 / 2 - x0)), 9) AS mae_set_t, round(avg(abs(x1 / 2 - x1)), 9) AS mae_v_t
 FROM win GROUP BY ws HAVING count(*) >= 20""",
     "fit_detector": f"""WITH {FITTED}
@@ -279,6 +282,11 @@ SELECT 'set_t' AS channel, CAST(a0 AS DOUBLE) AS low, CAST(b0 AS DOUBLE) AS high
        round(t0, 9) AS threshold FROM hs_bounds CROSS JOIN thr
 UNION ALL SELECT 'v_t', a1, b1, round(t1, 9) FROM hs_bounds CROSS JOIN thr""",
     "stream_anomaly_scores": STREAM_SCORES,
+    "stream_scores_by_series": f"""WITH {SENSOR}, {scaled()}, {windowed(t="kt", by="series")},
+{errors("win", "series, ws", "win_errors", " WHERE n >= 20")},
+scores AS (SELECT series, ws, ws + 20 AS we, e0 > 0.3 OR e1 > 0.1 AS flag, e0, e1,
+                  CAST(0.3 AS DOUBLE) AS t0, CAST(0.1 AS DOUBLE) AS t1 FROM win_errors)
+SELECT series, {SCORE_COLUMNS} FROM scores WHERE we <= (SELECT max(kt) - 5 FROM sensor)""",
     "stream_late_drop": STREAM_SCORES,
     "stream_lifecycle": STREAM_SCORES,
     "stream_shapes": f"""WITH {SENSOR}, {scaled()}, {windowed()}

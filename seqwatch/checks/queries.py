@@ -103,6 +103,15 @@ def decode_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def decode_payload_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wire = fixture.wire(fixture.readings(spark, sf_dir))
+    decoded = records.read_records(wire, carry=["offset"], payload_time=True)
+    return decoded.select(
+        "offset", epoch("timestamp").alias("event_time"), "set_t", "v_t"
+    )
+
+
 @query
 def encode_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = records.encode(fixture.readings(spark, sf_dir), carry=["event_id"])
@@ -408,11 +417,9 @@ def fit_split_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rows.row_sequences(
         scaled_readings(fixture.readings(spark, sf_dir)), order_by=["timestamp", "event_id"]
     )
-    _, first = tables.preview(found, ["event_id"], 2)
-    pairs = first.select(
-        "event_id", F.col("features"), F.col("features").alias("labels")
-    )
-    return pairs.select(
+    pairs = rows.as_training_pairs(found, partitions=2, carry=["event_id"])
+    _, first = tables.preview(pairs, ["event_id"], 2)
+    return first.select(
         F.col("event_id").alias("first_event"), F.posexplode("labels").alias("pos", "label")
     ).select("first_event", "pos", rounded("label").alias("label"))
 
@@ -573,6 +580,25 @@ def stream_anomaly_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out).select(*score_columns())
 
 
+@query
+def stream_scores_by_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The record key names the series; each has windows of its own."""
+    df = fixture.keyed_readings(spark, sf_dir)
+    bounds = scaling.MinMaxParams.of_row(scaling.fit(df), names.CHANNELS)
+    detector = det.Detector(bounds, models.WindowMean(), (0.3, 0.1))
+    scored = streams.score_stream(
+        fixture.keyed_wire_stream(spark, sf_dir),
+        detector,
+        series_keys=["key"],
+        tie_cols=["offset"],
+    )
+    out = scratch_path(spark, "scores")
+    _finish(spark, scored, scratch_path(spark, "stream"), out)
+    return spark.read.parquet(out).select(
+        F.col("key").cast("string").cast("bigint").alias("series"), *score_columns()
+    )
+
+
 @query
 def stream_late_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole table once in time, then the whole table again, too late to count."""

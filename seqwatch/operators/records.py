@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from seqwatch import names
 from seqwatch.functions import times
@@ -68,13 +68,24 @@ def read_records(
     carry: Sequence[str] = (),
     on_invalid: str = "drop",
     observed_as: str | None = None,
+    payload_time: bool = False,
 ) -> DataFrame:
-    """Records to complete readings: decode, unpack, check."""
+    """Records to complete readings: decode, unpack, check.
+
+    A reading's time is the record's; with ``payload_time`` the message's own
+    event time, without which a reading is incomplete.
+    """
     schema = StructType([f for f in names.PAYLOAD_SCHEMA if f.name in channels])
     if len(schema) != len(channels):
         raise ValueError("channels outside the payload schema: decode with a schema of your own")
+    if not payload_time:
+        readings = unpack(decode(records, schema, carry=carry), carry)
+        return require_channels(readings, channels, on_invalid, observed_as)
+    schema = StructType([*schema, StructField(names.TIME_KEY, StringType())])
     readings = unpack(decode(records, schema, carry=carry), carry)
-    return require_channels(readings, channels, on_invalid, observed_as)
+    own_time = times.from_epoch_text(F.col(names.TIME_KEY))
+    readings = readings.withColumn("timestamp", own_time).drop(names.TIME_KEY)
+    return require_channels(readings, ["timestamp", *channels], on_invalid, observed_as)
 
 
 def encode(

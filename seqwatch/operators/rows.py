@@ -96,7 +96,9 @@ def row_sequences(
     return add_once(framed, {"features": features}).drop("_ahead")
 
 
-def as_training_pairs(sequence_rows: DataFrame, partitions: int | None = None) -> DataFrame:
-    """``features`` and identical ``labels``, spread over ``partitions`` trainers."""
-    pairs = sequence_rows.select("features", F.col("features").alias("labels"))
+def as_training_pairs(
+    sequence_rows: DataFrame, partitions: int | None = None, carry: Sequence[str] = ()
+) -> DataFrame:
+    """``features`` and identical ``labels``, spread evenly over ``partitions`` trainers."""
+    pairs = sequence_rows.select(*carry, "features", F.col("features").alias("labels"))
     return pairs.repartition(partitions) if partitions else pairs

@@ -130,14 +130,35 @@ def grouped_sequences(
     slide: timedelta = names.SLIDE,
     steps: int = names.STEPS,
     on_overflow: str = "latest",
+    burst_slots: int = 1,
 ) -> DataFrame:
     """The stream form: a grouped aggregate whose state Spark keeps per window.
 
-    On a stream, call it on a frame that carries a watermark. The window is
-    grouped whole, so its state grows with the input rate of one series.
+    On a stream, call it on a frame that carries a watermark. Without slots all
+    points of a window meet in one group, which suits series of a steady rate.
+    With ``burst_slots`` a window's points are first gathered in that many
+    groups, of which each passes on its latest points only; take as many as the
+    busiest window needs to stay small. Rows and lateness are the same either way.
     """
-    grouped = df.groupBy(
-        *series_keys,
-        F.window(time_col, times.interval_text(window), times.interval_text(slide)),
-    ).agg(sequences.ordered_sequence([time_col, *tie_cols], channels).alias("_found"))
-    return _bounded(grouped, steps, on_overflow)
+    kept = steps if on_overflow == "latest" else steps + 1
+    order = [time_col, *tie_cols]
+    keys = list(series_keys)
+    points = sequences.time_tagged(order, channels)
+    span = F.window(time_col, times.interval_text(window), times.interval_text(slide))
+    complete = F.lit(True)
+    for c in channels:
+        complete = complete & F.col(c).isNotNull()
+    gathered = F.collect_list(F.when(complete, points))
+    if burst_slots <= 1:
+        grouped = df.groupBy(*keys, span).agg(gathered.alias("_points"))
+    else:
+        slot = F.pmod(F.xxhash64(*order, *channels), F.lit(burst_slots)).alias("_slot")
+        slots = df.groupBy(*keys, span, slot).agg(gathered.alias("_points"))
+        newest = sequences.latest(F.array_sort("_points"), kept)
+        grouped = (
+            slots.withColumn("_points", newest)
+            .groupBy(*keys, "window")
+            .agg(F.flatten(F.collect_list("_points")).alias("_points"))
+        )
+    ordered = grouped.withColumn("_found", sequences.strip_time(F.array_sort("_points")))
+    return _bounded(ordered.drop("_points"), steps, on_overflow)

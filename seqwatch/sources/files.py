@@ -38,13 +38,14 @@ def history(
 ) -> DataFrame:
     """Archived readings of ``[as_of - span, as_of)`` as ``timestamp`` and channels.
 
-    On an archive the tag and the date of the range are partition filters.
+    On an archive the tag and the dates of the range are partition filters. The
+    dates have a day to spare, as writer and reader may be in different zones.
     """
     ranged = pts.time_range(pts.tagged(points, key), as_of, span)
     if "date" in points.columns:
         ranged = ranged.filter(
-            (F.col("date") >= F.to_date(F.lit(as_of - span)))
-            & (F.col("date") <= F.to_date(F.lit(as_of)))
+            (F.col("date") >= F.lit((as_of - span - timedelta(days=1)).date()))
+            & (F.col("date") <= F.lit((as_of + timedelta(days=1)).date()))
         )
     wide = pts.pivot(ranged, channels).withColumnRenamed("_time", "timestamp")
     wide = with_history_types(wide, channels)
