@@ -105,9 +105,9 @@ def report(query: StreamingQuery) -> RunReport:
 
 
 def wait(query: StreamingQuery, timeout: float | None = None) -> bool:
-    """Wait for the query; an interrupt stops it cleanly."""
+    """Wait for the query and tell whether it has ended; an interrupt stops it cleanly."""
     try:
-        return bool(query.awaitTermination(timeout))
+        query.awaitTermination(timeout)
     except KeyboardInterrupt:
         query.stop()
-        return True
+    return not query.isActive
