@@ -253,7 +253,9 @@ def minmax_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def minmax_scale_by_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = fixture.event_time_readings(spark, sf_dir)
-    bounds = scaling.fit(df, series_keys=["user_id"])
+    bounds = tables.stored(
+        scaling.fit(df, series_keys=["user_id"]), scratch_path(spark, "bounds")
+    )
     scaled = scaling.scale(df, bounds, series_keys=["user_id"])
     return scaled.select(
         "event_id", "user_id", *[rounded(c).alias(f"scaled_{c}") for c in names.CHANNELS]
@@ -470,7 +472,9 @@ def anomaly_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def anomaly_scores_by_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bounds per series by join and the threshold by subquery, all lazy."""
     df = fixture.keyed_readings(spark, sf_dir)
-    bounds = scaling.fit(fixture.history(df), series_keys=["series"])
+    bounds = tables.stored(
+        scaling.fit(fixture.history(df), series_keys=["series"]), scratch_path(spark, "bounds")
+    )
     scaled = scaling.scale(df, bounds, series_keys=["series"])
     training = rows.row_sequences(
         fixture.history(scaled), order_by=["timestamp"], series_keys=["series"], flat=False

@@ -65,7 +65,7 @@ def scale(
 
     ``params`` is a fitted literal set, or the result of ``fit``: its one row
     enters as a scalar subquery, and one row per series as an equi-join whose
-    physical form is left to the measured size of the bounds.
+    physical form is left to the size of the bounds (see ``tables.stored``).
     """
     if isinstance(params, MinMaxParams):
         lows = dict(zip(params.channels, params.lows))

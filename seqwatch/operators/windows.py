@@ -37,7 +37,7 @@ def sliding_sequences(
     slide: timedelta = names.SLIDE,
     steps: int = names.STEPS,
     on_overflow: str = "latest",
-    panes_per_chunk: int = 1024,
+    panes_per_chunk: int | None = None,
 ) -> DataFrame:
     """Per series and window the ordered ``features`` of its latest ``steps`` points.
 
@@ -48,11 +48,12 @@ def sliding_sequences(
        No window needs more than the latest ``steps`` points of a pane, so a pane is
        ranked down to those, before the shuffle and after it. A burst of any
        size costs at most ``steps`` rows per map task.
-    2. Neighbouring panes form a chunk, which also gets the first panes of the
-       next one. A frame over the panes then sees every window of the chunk.
-       A chunk holds at most ``panes_per_chunk * steps`` points.
-    3. A pane emits the windows it is the first non-empty pane of, so windows
-       that start in a gap are kept and no window is emitted twice.
+    2. Neighbouring panes form a chunk, which also gets the last panes of the
+       one before, so that every window ending in a chunk is whole in it. A
+       chunk is of bounded size: ``steps`` points per pane.
+    3. A window is emitted by its last non-empty pane, from a frame of at most as
+       many panes as the sequence has steps. Windows that end in a gap are kept
+       so, and the frame stays short however wide the window is.
 
     ``on_overflow="error"`` fails on a window with more than ``steps`` points.
     """
@@ -61,6 +62,8 @@ def sliding_sequences(
     unit = gcd(times.micros(window), times.micros(slide))
     width = times.micros(window) // unit
     stride = times.micros(slide) // unit
+    if panes_per_chunk is None:
+        panes_per_chunk = max(1024, 8 * width)
     if panes_per_chunk < width:
         raise ValueError("a chunk must hold at least one window")
     per_pane = steps if on_overflow == "latest" else steps + 1
@@ -85,30 +88,39 @@ def sliding_sequences(
     )
 
     chunk = times.floor_div(F.col("_pane"), panes_per_chunk)
-    in_head = F.pmod(F.col("_pane"), F.lit(panes_per_chunk)) < width - 1
+    in_tail = F.pmod(F.col("_pane"), F.lit(panes_per_chunk)) > panes_per_chunk - width
     chunked = panes.withColumn(
-        "_chunk", F.explode(F.when(in_head, F.array(chunk, chunk - 1)).otherwise(F.array(chunk)))
+        "_chunk", F.explode(F.when(in_tail, F.array(chunk, chunk + 1)).otherwise(F.array(chunk)))
     )
     along = Window.partitionBy(*keys, "_chunk").orderBy("_pane")
+    # Whichever is shorter: the panes of a window, or as many as hold all its points kept.
+    if width <= per_pane:
+        recent = along.rangeBetween(1 - width, Window.currentRow)
+    else:
+        recent = along.rowsBetween(1 - per_pane, Window.currentRow)
     framed = chunked.select(
         *keys,
         "_pane",
         "_chunk",
-        F.lag("_pane").over(along).alias("_before"),
-        F.collect_list(F.struct("_pane", "_points"))
-        .over(along.rangeBetween(Window.currentRow, width - 1))
-        .alias("_ahead"),
+        F.lead("_pane").over(along).alias("_next"),
+        F.collect_list(F.struct("_pane", "_points")).over(recent).alias("_recent"),
     )
+    # The last panes of the windows this pane is the last non-empty one of.
     first = F.col("_chunk") * panes_per_chunk
-    low = F.greatest(F.col("_before") + 1, F.col("_pane") - (width - 1), first)
-    low = low + F.pmod(-low, F.lit(stride))
-    high = F.least(F.col("_pane"), first + (panes_per_chunk - 1))
-    starts = F.when(low <= high, F.sequence(low, high, F.lit(stride).cast("bigint")))
-    started = framed.select(*keys, "_ahead", F.explode(starts).alias("_start"))
-    inside = F.filter("_ahead", lambda p: p["_pane"] < F.col("_start") + width)
+    low = F.greatest(F.col("_pane"), first)
+    high = F.least(
+        F.col("_next") - 1, F.col("_pane") + (width - 1), first + (panes_per_chunk - 1)
+    )
+    # Only those whose window starts at a multiple of the slide.
+    low = low + F.pmod(-(low + (1 - width)), F.lit(stride))
+    ends = F.when(low <= high, F.sequence(low, high, F.lit(stride).cast("bigint")))
+    ended = framed.select(*keys, "_recent", F.explode(ends).alias("_end")).withColumn(
+        "_start", F.col("_end") - (width - 1)
+    )
+    inside = F.filter("_recent", lambda p: p["_pane"] >= F.col("_start"))
     features = F.flatten(F.transform(inside, lambda p: p["_points"]))
     begin = F.col("_start") * unit
-    found = started.select(
+    found = ended.select(
         *keys,
         F.struct(
             F.timestamp_micros(begin).alias("start"),

@@ -20,6 +20,16 @@ def load_scaler(path: str) -> MinMaxScalerModel:
     return MinMaxScalerModel.load(path)
 
 
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """The frame as a table on disk, whose size the planner then knows.
+
+    For bounds per series: joined as a table they are broadcast only if they are
+    small enough, without shuffling the readings to find that out.
+    """
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def with_date(points: DataFrame) -> DataFrame:
     """The archive's partition column."""
     return points.withColumn("date", F.to_date("_time"))
