@@ -287,6 +287,10 @@ UNION ALL SELECT 'v_t', a1, b1, round(t1, 9) FROM hs_bounds CROSS JOIN thr""",
 scores AS (SELECT series, ws, ws + 20 AS we, e0 > 0.3 OR e1 > 0.1 AS flag, e0, e1,
                   CAST(0.3 AS DOUBLE) AS t0, CAST(0.1 AS DOUBLE) AS t1 FROM win_errors)
 SELECT series, {SCORE_COLUMNS} FROM scores WHERE we <= (SELECT max(kt) - 5 FROM sensor)""",
+    "stream_predictions_message": f"""WITH {MESSAGES}
+SELECT {message_columns()}, we AS event_time FROM sent {CLOSED}""",
+    "stream_predictions_message_nested": f"""WITH {MESSAGES}
+SELECT {message_columns()}, false AS has_event_time FROM sent {CLOSED}""",
     "stream_late_drop": STREAM_SCORES,
     "stream_lifecycle": STREAM_SCORES,
     "stream_shapes": f"""WITH {SENSOR}, {scaled()}, {windowed()}

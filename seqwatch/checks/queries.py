@@ -500,8 +500,7 @@ def anomaly_scores_incomplete(spark: SparkSession, sf_dir: str) -> DataFrame:
 def predictions_message(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = plan.score_readings(fixture.readings(spark, sf_dir), fitted(spark, sf_dir))
     sent = messages.prediction_messages(plan.flatten_window(scored))
-    return sent.select("key", *_message_columns(), F.get_json_object(
-        "value", f"$.{names.TIME_KEY}").cast("bigint").alias("event_time"))
+    return sent.select("key", *_message_columns(), _message_time().alias("event_time"))
 
 
 @query
@@ -511,23 +510,33 @@ def predictions_message_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sent.select(
         "key",
         *_message_columns(),
-        F.get_json_object("value", f"$.{names.TIME_KEY}").isNotNull().alias("has_event_time"),
+        _message_time().isNotNull().alias("has_event_time"),
     )
 
 
-def _message_columns() -> list[Column]:
-    def field(path: str, kind: str) -> Column:
-        return F.get_json_object("value", path).cast(kind)
+_MESSAGE = (
+    "window_start string, window_end string, event_timestamp bigint, isAnomaly boolean, "
+    "mae_set_t double, mae_v_t double, threshold_v_t double, "
+    "features array<array<double>>, prediction array<array<double>>"
+)
+
+
+def _message_field(name: str) -> Column:
+    return F.from_json("value", _MESSAGE)[name]
+
+
+def _message_time() -> Column:
+    return _message_field(names.TIME_KEY)
+
 
+def _message_columns() -> list[Column]:
     return [
-        field("$.window_start", "string").alias("window_start"),
-        field("$.window_end", "string").alias("window_end"),
-        field("$.isAnomaly", "boolean").alias("is_anomaly"),
-        rounded(field("$.mae_set_t", "double")).alias("mae_set_t"),
-        rounded(field("$.mae_v_t", "double")).alias("mae_v_t"),
-        rounded(field("$.threshold_v_t", "double")).alias("threshold_v_t"),
-        rounded(field("$.features[19][1]", "double")).alias("last_v_t"),
-        rounded(field("$.prediction[0][0]", "double")).alias("mean_set_t"),
+        _message_field("window_start").alias("window_start"),
+        _message_field("window_end").alias("window_end"),
+        _message_field("isAnomaly").alias("is_anomaly"),
+        *[rounded(_message_field(c)).alias(c) for c in ("mae_set_t", "mae_v_t", "threshold_v_t")],
+        rounded(_message_field("features")[19][1]).alias("last_v_t"),
+        rounded(_message_field("prediction")[0][0]).alias("mean_set_t"),
     ]
 
 
@@ -550,7 +559,7 @@ def pca_reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
     det.fit_detector(
         fixture.history(df), det.pca(8), order_by=["timestamp", "event_id"]
     ).save(spark, path)
-    detector = det.Detector.load(spark, path, models.PcaReconstruction.load)
+    detector = det.Detector.load(spark, path)
     return plan.flatten_window(plan.score_readings(df, detector)).select(*score_columns())
 
 
@@ -584,6 +593,32 @@ def stream_anomaly_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out).select(*score_columns())
 
 
+def _message_stream(spark: SparkSession, sf_dir: str, nested: bool) -> DataFrame:
+    sent = streams.message_stream(
+        fixture.wire_stream(spark, sf_dir),
+        fitted(spark, sf_dir),
+        nested=nested,
+        tie_cols=["offset"],
+    )
+    out = scratch_path(spark, "messages")
+    _finish(spark, sent, scratch_path(spark, "stream"), out)
+    return spark.read.parquet(out)
+
+
+@query
+def stream_predictions_message(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sent = _message_stream(spark, sf_dir, nested=False)
+    return sent.select("key", *_message_columns(), _message_time().alias("event_time"))
+
+
+@query
+def stream_predictions_message_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sent = _message_stream(spark, sf_dir, nested=True)
+    return sent.select(
+        "key", *_message_columns(), _message_time().isNotNull().alias("has_event_time")
+    )
+
+
 @query
 def stream_scores_by_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The record key names the series; each has windows of its own."""

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from typing import ClassVar
 
 import numpy as np
 from pyspark.ml.feature import PCA
@@ -28,6 +29,7 @@ class WindowMean:
     """Each channel's mean over the sequence, repeated."""
 
     channels: int = len(names.CHANNELS)
+    kind: ClassVar[str] = "window_mean"
 
     def reconstruct(self, df: DataFrame) -> DataFrame:
         step = F.array(
@@ -77,6 +79,7 @@ class PcaReconstruction:
     components: np.ndarray
     steps: int = names.STEPS
     channels: int = len(names.CHANNELS)
+    kind: ClassVar[str] = "pca"
 
     @classmethod
     def fit(
@@ -109,3 +112,9 @@ class PcaReconstruction:
     def load(cls, path: str, spark: SparkSession) -> PcaReconstruction:
         row = spark.read.parquet(path).first()
         return cls(np.array(row.center), np.array(row.components), row.steps, row.channels)
+
+
+LOADERS = {
+    WindowMean.kind: lambda path, spark: WindowMean(),
+    PcaReconstruction.kind: PcaReconstruction.load,
+}

@@ -40,6 +40,10 @@ class Detector:
             spark.createDataFrame([(list(self.threshold),)], "mae_threshold array<double>"),
             f"{path}/threshold",
         )
+        kind = getattr(self.model, "kind", "user")
+        spark.createDataFrame([(kind, self.steps)], "model string, steps int").coalesce(
+            1
+        ).write.mode("overwrite").parquet(f"{path}/about")
         if hasattr(self.model, "save"):
             self.model.save(f"{path}/model", spark)
 
@@ -48,10 +52,13 @@ class Detector:
         cls,
         spark: SparkSession,
         path: str,
-        load_model: Callable[[str, SparkSession], object],
-        steps: int = names.STEPS,
+        load_model: Callable[[str, SparkSession], object] | None = None,
     ) -> Detector:
-        """``load_model(path, spark)`` gives the model, e.g. ``PcaReconstruction.load``."""
+        """A saved detector. A user's own model needs ``load_model(path, spark)``."""
+        about = spark.read.parquet(f"{path}/about").first()
+        if load_model is None and about.model not in models.LOADERS:
+            raise ValueError(f"the model is of kind {about.model!r}: give load_model")
+        load_model = load_model or models.LOADERS[about.model]
         bounds = spark.read.parquet(f"{path}/scaler").orderBy("position").collect()
         scaler = scaling.MinMaxParams(
             tuple(b.channel for b in bounds),
@@ -59,7 +66,7 @@ class Detector:
             tuple(b.high for b in bounds),
         )
         threshold = files.read_threshold(spark, f"{path}/threshold").first().mae_threshold
-        return cls(scaler, load_model(f"{path}/model", spark), tuple(threshold), steps)
+        return cls(scaler, load_model(f"{path}/model", spark), tuple(threshold), about.steps)
 
 
 def training_errors(

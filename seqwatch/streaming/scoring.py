@@ -11,6 +11,7 @@ from seqwatch import names
 from seqwatch.operators import records as rec, scaling, windows
 from seqwatch.plans import scoring as plan
 from seqwatch.plans.detector import Detector
+from seqwatch.sinks import messages
 
 
 def stream_windows(
@@ -78,6 +79,16 @@ def score_stream(
     return scored if nested else plan.flatten_window(scored, series_keys)
 
 
+def message_stream(
+    wire: DataFrame, detector: Detector, *, nested: bool = False, **options
+) -> DataFrame:
+    """Records to prediction messages; ``nested`` gives the variant without an event time."""
+    scored = score_stream(wire, detector, nested=nested, **options)
+    if nested:
+        return messages.nested_prediction_messages(scored, detector.channels)
+    return messages.prediction_messages(scored, detector.channels)
+
+
 def shape_stream(
     wire: DataFrame,
     scaler: scaling.MinMaxParams,

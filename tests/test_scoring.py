@@ -130,13 +130,28 @@ def test_pca_is_no_worse_than_the_mean(spark, history):
 def test_detector_survives_save_and_load(spark, history, tmp_path):
     fitted = det.fit_detector(history, det.pca(4))
     fitted.save(spark, str(tmp_path / "d"))
-    loaded = det.Detector.load(spark, str(tmp_path / "d"), models.PcaReconstruction.load)
+    loaded = det.Detector.load(spark, str(tmp_path / "d"))
     assert (loaded.scaler, loaded.threshold) == (fitted.scaler, fitted.threshold)
     scored = plan.score_readings(history, loaded)
     assert scored.count() == 581
     # Dense history: its windows are the training sequences, so none exceeds their maximum.
     assert scored.filter("isAnomaly").count() == 0
-    fitted.save(spark, str(tmp_path / "d"))
+
+
+def test_saving_again_replaces_the_model(spark, history, tmp_path):
+    path = str(tmp_path / "d")
+    det.fit_detector(history, det.pca(4)).save(spark, path)
+    det.fit_detector(history, det.window_mean).save(spark, path)
+    assert det.Detector.load(spark, path).model == models.WindowMean()
+
+
+def test_a_users_model_is_loaded_by_the_user(spark, history, tmp_path):
+    path = str(tmp_path / "d")
+    own = models.BatchModel(lambda: lambda x: x * 0.9)
+    det.fit_detector(history, lambda _training: own).save(spark, path)
+    with pytest.raises(ValueError, match="load_model"):
+        det.Detector.load(spark, path)
+    assert det.Detector.load(spark, path, lambda *_: own).model is own
 
 
 def test_fitted_detector_finds_a_jump(spark, history):
