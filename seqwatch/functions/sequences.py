@@ -8,16 +8,19 @@ from pyspark.sql import Column, functions as F
 
 
 def time_tagged(order_by: Sequence[str], channels: Sequence[str]) -> Column:
-    """One point: the ordering columns first, so that structs sort by time."""
+    """One point: the ordering columns first, so that structs sort by time.
+
+    All fields are flat, which keeps a point in a shuffle or a state to its bare values.
+    """
     return F.struct(
         *[F.col(c).alias(f"o{i}") for i, c in enumerate(order_by)],
-        F.array(*[F.col(c).cast("double") for c in channels]).alias("x"),
+        *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(channels)],
     )
 
 
-def strip_time(points: Column) -> Column:
+def strip_time(points: Column, channels: int) -> Column:
     """Points in time order to the bare sequence."""
-    return F.transform(points, lambda p: p["x"])
+    return F.transform(points, lambda p: F.array(*[p[f"x{i}"] for i in range(channels)]))
 
 
 def ordered_sequence(order_by: Sequence[str], channels: Sequence[str]) -> Column:
@@ -30,7 +33,7 @@ def ordered_sequence(order_by: Sequence[str], channels: Sequence[str]) -> Column
     for c in channels:
         complete = complete & F.col(c).isNotNull()
     points = F.collect_list(F.when(complete, time_tagged(order_by, channels)))
-    return strip_time(F.array_sort(points))
+    return strip_time(F.array_sort(points), len(channels))
 
 
 def ordered_vectors(vector: Column) -> Column:

@@ -83,8 +83,11 @@ def sliding_sequences(
         points.withColumn("_rank", F.row_number().over(newest))
         .filter(F.col("_rank") <= per_pane)
         .groupBy(*keys, "_pane")
-        .agg(F.array_sort(F.collect_list("_point")).alias("_points"))
-        .withColumn("_points", F.col("_points.x"))
+        .agg(
+            sequences.strip_time(F.array_sort(F.collect_list("_point")), len(channels)).alias(
+                "_points"
+            )
+        )
     )
 
     chunk = times.floor_div(F.col("_pane"), panes_per_chunk)
@@ -172,5 +175,5 @@ def grouped_sequences(
             .groupBy(*keys, "window")
             .agg(F.flatten(F.collect_list("_points")).alias("_points"))
         )
-    ordered = grouped.withColumn("_found", sequences.strip_time(F.array_sort("_points")))
+    ordered = grouped.withColumn("_found", sequences.strip_time(F.array_sort("_points"), len(channels)))
     return _bounded(ordered.drop("_points"), steps, on_overflow)
