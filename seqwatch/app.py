@@ -49,16 +49,17 @@ def parser() -> argparse.ArgumentParser:
         origin.add_argument("--records", help="folder of record files instead of a broker")
         sub.add_argument("--out", help="folder for message files, with --records")
         sub.add_argument("--topic", help="topic to read, default that of the job")
+        sub.add_argument("--group", help="consumer group, default one per query")
         sub.add_argument("--state-partitions", type=int)
         sub.add_argument("--nested", action="store_true", help="messages without an event time")
     return root
 
 
-def _records(spark: SparkSession, args: argparse.Namespace, topics, group: str) -> DataFrame:
+def _records(spark: SparkSession, args: argparse.Namespace, topics) -> DataFrame:
     if args.records:
         return files.stream_records(spark, args.records)
     return kafka.read_stream(
-        spark, servers=args.servers, topics=args.topic or topics, group_id=group
+        spark, servers=args.servers, topics=args.topic or topics, group_id=args.group
     )
 
 
@@ -87,20 +88,20 @@ def fit(spark: SparkSession, args: argparse.Namespace) -> det.Detector:
 
 def store(spark: SparkSession, args: argparse.Namespace) -> None:
     topics = [names.READINGS_TOPIC, names.PREDICTIONS_TOPIC]
-    wire = _records(spark, args, topics, "telegraf_metrics_consumers")
+    wire = _records(spark, args, topics)
     points = archive.archive_points(wire)
     run.wait(run.to_archive(points, args.path, args.checkpoint, finish=bool(args.records)))
 
 
 def score(spark: SparkSession, args: argparse.Namespace) -> None:
-    wire = _records(spark, args, names.READINGS_TOPIC, "spark_modbus")
+    wire = _records(spark, args, names.READINGS_TOPIC)
     detector = det.Detector.load(spark, args.detector)
     sent = scoring.message_stream(wire, detector, nested=args.nested, tie_cols=["offset"])
     _send(sent, args, names.PREDICTIONS_TOPIC)
 
 
 def diagnose(spark: SparkSession, args: argparse.Namespace) -> None:
-    wire = _records(spark, args, names.DEMO_TOPIC, "stream_demo_3")
+    wire = _records(spark, args, names.DEMO_TOPIC)
     detector = det.Detector.load(spark, args.detector)
     shapes = scoring.shape_stream(wire, detector.scaler, detector.threshold, tie_cols=["offset"])
     _send(messages.diagnostic_messages(shapes, detector.channels), args, names.DIAGNOSTICS_TOPIC)

@@ -190,12 +190,12 @@ def test_stream_archive_equals_batch(spark, tmp_path):
 
 
 def test_kafka_options():
-    assert kafka.source_options("h:9092", "temperature_modbus", "spark_modbus") == {
+    assert kafka.source_options("h:9092", "temperature_modbus", "scorers") == {
         "kafka.bootstrap.servers": "h:9092",
         "subscribe": "temperature_modbus",
         "startingOffsets": "latest",
         "failOnDataLoss": "false",
-        "kafka.group.id": "spark_modbus",
+        "kafka.group.id": "scorers",
     }
     both = kafka.source_options("h:9092", ["a", "b"], max_offsets_per_trigger=10)
     assert (both["subscribe"], both["maxOffsetsPerTrigger"]) == ("a,b", "10")
