@@ -1,7 +1,7 @@
 """Sequence models (MDL-1 to MDL-3). Each turns ``features`` (steps x channels) into ``prediction``.
 
-A model offers ``reconstruct(df)`` and, where it has state, ``save(path, spark)``. None of them is a neural network; a user's
-own network goes in through ``BatchModel``.
+A model offers ``reconstruct(df)`` and, where it has state, ``save(path, spark)``.
+None of them is a neural network; a user's own network goes in through ``BatchModel``.
 """
 
 from __future__ import annotations

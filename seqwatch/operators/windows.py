@@ -175,5 +175,6 @@ def grouped_sequences(
             .groupBy(*keys, "window")
             .agg(F.flatten(F.collect_list("_points")).alias("_points"))
         )
-    ordered = grouped.withColumn("_found", sequences.strip_time(F.array_sort("_points"), len(channels)))
-    return _bounded(ordered.drop("_points"), steps, on_overflow)
+    in_order = sequences.strip_time(F.array_sort("_points"), len(channels))
+    ordered = grouped.withColumn("_found", in_order).drop("_points")
+    return _bounded(ordered, steps, on_overflow)
