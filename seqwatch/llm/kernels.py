@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 SEGMENT = 1 << 20
 SHINGLE = 5
 BASE = 0x9E3779B97F4A7C15

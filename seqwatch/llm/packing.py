@@ -15,14 +15,19 @@ What remains at a task's end is cut into sequences of powers of two, which need
 
 from __future__ import annotations
 
+import json
+import os
+import re
+import struct
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from seqwatch.llm import kernels, tables
 
@@ -31,7 +36,9 @@ GRAIN = 16
 DEPTH = 3
 END_ID = 1
 BLOCK_IDS = 4 << 20
-CACHED_WORDS = 1 << 18
+CACHED_WORDS = 2 << 20
+CACHED_PARTS = 1 << 18
+CASED = kernels.byte_table(2)
 
 TOKENS = "doc_id long, ids binary, n_ids long"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -96,30 +103,125 @@ def plan(histogram: dict[int, int], window: int = WINDOW, grain: int = GRAIN, de
     return [(ways[j], float(repeats[j])) for j in order if repeats[j] > 0]
 
 
-def tokenizer_ids(path: str) -> Callable[[list[bytes | None]], Iterator[np.ndarray]]:
-    """Ids of texts by the tokenizer file at ``path``, special tokens read as text.
+#: Words of these characters are the same after NFC, and lower-case one character at a time.
+PLAIN_WORD = re.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+#: What the tokenizer's splitter makes of lower-cased plain words.
+PLAIN_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z\u00df-\u00f6\u00f8-\u00ff0-9]+")
+
+
+#: The splitter that PLAIN_PARTS stands for, and the mark of a word's last character.
+SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORD_END = "</w>"
 
-    Its normaliser and splitter never join what ASCII white space parts, so words are
-    tokenised once and looked up after that.
-    """
-    from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    known: dict[bytes, bytes] = {}
+def plain_encoder(path: str):
+    """A fast encoder of plain word parts by the same vocabulary, or None for other tokenizer files.
 
-    def ids(texts: list[bytes | None]) -> Iterator[np.ndarray]:
-        split = [(t or b"").split() for t in texts]
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        fresh = list({w for ws in split for w in ws if w not in known})
-        if fresh:
-            got = tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)
-            known.update((w, np.array(e.ids, dtype="<u2").tobytes()) for w, e in zip(fresh, got))
-        for ws in split:
-            yield b"".join(map(known.__getitem__, ws))
+    Merges apply in the order of their ids, so the vocabulary as ranks gives the same ids. The
+    zero byte, which no plain word has, stands for the end of a word.
+    """
+    import tiktoken
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    spec = json.loads(Path(path).read_text())
+    model = spec["model"]
+    steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    splitters = [s["pattern"].get("Regex") for s in steps if s["type"] == "Split"]
+    if model.get("type", "BPE") != "BPE" or model.get("end_of_word_suffix") != WORD_END or splitters != [SPLITTER]:
+        return None
+    shown = {ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(chr(i))[0][0]: i for i in range(128)}
+    byte_of = {c: b for c, b in shown.items() if len(c) == 1}
+    wide = ByteLevel(add_prefix_space=False, use_regex=False)
+    for code in (*range(0x80, 0x800), *range(0x800, 0x110000, 0x40)):
+        if not 0xD800 <= code < 0xE000:
+            byte_of.update(zip(wide.pre_tokenize_str(chr(code))[0][0], chr(code).encode()))
+    special = {t["content"] for t in spec.get("added_tokens", [])}
+    ranks: dict[bytes, int] = {}
+    for token, rank in model["vocab"].items():
+        body = token.removesuffix(WORD_END)
+        if token not in special and all(c in byte_of for c in body):
+            ranks.setdefault(bytes(byte_of[c] for c in body) + b"\0" * (body != token), rank)
+    for missing in (bytes([b]) for b in range(256)):  # bytes that UTF-8 never has
+        ranks.setdefault(missing, len(model["vocab"]) + missing[0])
+    return tiktoken.Encoding("words", pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={})
+
+
+class WordIds:
+    """Ids of words by a tokenizer file, each word looked up by its 64-bit hash once known.
+
+    The tokenizer drops white space and never joins what it parts, so a text's ids are those
+    of its words in turn. Special tokens in a text are read as text. Known words are kept in
+    flat arrays of at most ``CACHED_WORDS``, and those of a worker serve all its tasks.
+    Words of plain characters go through :func:`plain_encoder`, all others through the
+    tokenizer itself.
+    """
 
-    return ids
+    def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.plain = plain_encoder(path)
+        self.parts: dict[str, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.hashes = np.zeros(0, dtype=np.uint64)
+        self.starts = np.zeros(0, dtype=np.int64)
+        self.lengths = np.zeros(0, dtype=np.int64)
+        self.pool = np.zeros(0, dtype="<u2")
+
+    def _encode(self, pieces: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for i in range(0, len(pieces), 4096):
+            got = self.tokenizer.encode_batch_fast(pieces[i : i + 4096], add_special_tokens=False)
+            out.extend(struct.pack(f"<{len(e.ids)}H", *e.ids) for e in got)
+        return out
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        """Add words, in the order of their hashes, that are not known yet."""
+        if len(self.parts) > CACHED_PARTS:
+            self.parts.clear()
+        split = [PLAIN_PARTS.findall(w.lower()) if self.plain and PLAIN_WORD.fullmatch(w) else None for w in words]
+        for part in {p for ps in split if ps for p in ps if p not in self.parts}:
+            ids = self.plain.encode_ordinary(part + "\0")
+            self.parts[part] = struct.pack(f"<{len(ids)}H", *ids)
+        odd = iter(self._encode([w for w, ps in zip(words, split) if ps is None]))
+        ids = [next(odd) if ps is None else b"".join(map(self.parts.__getitem__, ps)) for ps in split]
+        lengths = np.fromiter((len(x) // 2 for x in ids), dtype=np.int64, count=len(ids))
+        starts = len(self.pool) + np.cumsum(lengths) - lengths
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes = np.insert(self.hashes, at, hashes)
+        self.starts = np.insert(self.starts, at, starts)
+        self.lengths = np.insert(self.lengths, at, lengths)
+        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(ids), dtype="<u2")])
+
+    def of(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[bytes]:
+        """The ids of each document of a block, as little-endian 16-bit numbers."""
+        starts, ends, counts = kernels.words(data, offsets)
+        hashes = kernels.word_hashes(data, starts, ends, CASED)
+        distinct, first, place = np.unique(hashes, return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.hashes, distinct), max(0, len(self.hashes) - 1))
+        fresh = self.hashes[at] != distinct if len(self.hashes) else np.ones(len(distinct), dtype=bool)
+        if fresh.any() and len(self.hashes) + fresh.sum() > CACHED_WORDS:
+            self.forget()
+            fresh[:] = True
+        if fresh.any():
+            raw = data.tobytes()
+            self._learn(distinct[fresh], [raw[starts[i] : ends[i]].decode() for i in first[fresh]])
+        at = np.searchsorted(self.hashes, distinct)
+        lengths = self.lengths[at][place]
+        bounds = np.concatenate([[0], np.cumsum(lengths)])
+        take = np.repeat(self.starts[at][place] - bounds[:-1], lengths) + np.arange(bounds[-1])
+        flat = self.pool[take].tobytes()
+        edges = bounds[np.concatenate([[0], np.cumsum(counts)])] * 2
+        return (flat[a:b] for a, b in zip(edges[:-1], edges[1:]))
+
+
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    return WordIds(path)
 
 
 def tokens(docs: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -132,13 +234,11 @@ def tokens(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     batch_of = kernels.record_batches([("doc_id", pa.int64()), ("ids", pa.binary()), ("n_ids", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer_ids(tokenizer_path)
+        encoder = word_ids(tokenizer_path)
         for batch in batches:
-            for first, last, _, _ in kernels.blocks(batch):
-                part = batch.slice(first, last - first)
-                texts = part.column("text").cast(pa.large_binary()).to_pylist()
-                ids = [x + end for x in encode(texts)]
-                yield batch_of(part.column("doc_id"), ids, [len(x) // 2 for x in ids])
+            for first, last, data, offsets in kernels.blocks(batch):
+                ids = [x + end for x in encoder.of(data, offsets)]
+                yield batch_of(batch.column("doc_id").slice(first, last - first), ids, [len(x) // 2 for x in ids])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, TOKENS)
 
