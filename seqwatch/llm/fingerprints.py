@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from seqwatch.llm import kernels, tables
 
@@ -97,7 +98,7 @@ def fingerprint(docs: DataFrame, bins: int = BINS, bits: int = BITS) -> DataFram
             prints = pa.array(of_texts(texts, bins, bits), pa.string())
             yield pa.record_batch([*batch.columns, prints], names=[*batch.schema.names, "fingerprint"])
 
-    return docs.mapInArrow(run, docs.schema.add("fingerprint", "string"))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("fingerprint", StringType())]))
 
 
 PAIRED = (

@@ -137,15 +137,16 @@ def threshold(keys: DataFrame, column: str, k: int) -> float:
     return float(plain.view(np.float64)[0])
 
 
-def resample(docs: DataFrame, target: Column, share: float = SHARE, n_buckets: int = BUCKETS, seed: int = SEED) -> DataFrame:
+def resample(docs: DataFrame, marked: DataFrame, target: Column, share: float = SHARE, n_buckets: int = BUCKETS, seed: int = SEED) -> DataFrame:
     """``doc_id, log_weight, gumbel_key, selected`` of every row of ``docs``.
 
-    ``target`` tells which rows are target text (null: not). Selected are the rows with the
+    ``marked`` has the same texts, and ``target`` tells which of its rows are target text (null:
+    not); both models are counted over all of it. Selected are the rows with the
     ``ceil(share * rows)`` largest keys; rows that tie with the last of them, as repeated rows
     do, are selected too. Without target text all weights follow from smoothing alone. An
     empty table gives no rows; other columns are ignored.
     """
-    ratio = log_ratio(*count(docs, target, n_buckets))
+    ratio = log_ratio(*count(marked, target, n_buckets))
     weighed = tables.stored(weigh(docs, ratio, seed), "importance-weights")
     least = threshold(weighed, "gumbel_key", math.ceil(share * weighed.count()))
     return weighed.withColumn("selected", F.col("gumbel_key") >= F.lit(least))

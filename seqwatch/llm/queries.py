@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from seqwatch.llm import packing, pii, tables, urlfilter, warc
+from seqwatch.llm import decontamination, fingerprints, importance, packing, pii, substrings, tables, toxicity, urlfilter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 ALL: dict[str, Query] = {}
@@ -35,6 +35,17 @@ def tokenizer_path() -> str:
     return given or importlib.import_module("public_tokenizers").path("word_bpe_49k.json")
 
 
+#: The chain of the toxicity query, over the label columns there are.
+CATEGORIES = [toxicity.Category("low_quality", "quality", 0), toxicity.Category("toxic", "toxic", 1)]
+
+
+@query
+def op1_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = tables.read(spark, sf_dir, "documents"), tables.read(spark, sf_dir, "labels")
+    scored = toxicity.score(docs.select("doc_id", "text"), toxicity.fit(docs, labels, CATEGORIES))
+    return scored.select("doc_id", "p_low_quality", "p_toxic", (F.col("p_toxic") >= 0.5).alias("toxic"))
+
+
 @query
 def op2_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.archive(tables.read(spark, sf_dir, "pages"))
@@ -54,6 +65,14 @@ FROM p LEFT JOIN f USING (payload_digest)
 """
 
 
+@query
+def op3_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = tables.read(spark, sf_dir, "labels").filter("quality = 1").select("doc_id").distinct()
+    docs = tables.read(spark, sf_dir, "documents").select("doc_id", "text")
+    marked = docs.join(good.withColumn("good_", F.lit(True)), "doc_id", "left")
+    return importance.resample(docs, marked, F.col("good_"))
+
+
 @query
 def op4_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(tables.read(spark, sf_dir, "documents"), tokenizer_path())
@@ -106,3 +125,23 @@ SELECT page_id, any_value(host) AS host, any_value(path) AS path, arg_max(rule,
 FROM h LEFT JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
 GROUP BY page_id
 """
+
+
+@query
+def op7_benchmark_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, tests = tables.read(spark, sf_dir, "documents"), tables.read(spark, sf_dir, "benchmark")
+    found = decontamination.contamination(docs, tests)
+    listed = F.array_join(F.array_sort(F.col("items").cast("array<string>")), ",")
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(listed, 256).alias("items_sha256"), "contaminated"
+    )
+
+
+@query
+def op8_oph_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.with_next(tables.read(spark, sf_dir, "documents"))
+
+
+@query
+def op9_radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove(tables.read(spark, sf_dir, "documents")).drop("kept")

@@ -19,6 +19,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from seqwatch.llm import kernels, tables
 
@@ -149,6 +150,27 @@ def _matrix(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return rows, np.concatenate(slots) if slots else np.zeros(0, dtype=np.int64)
 
 
+def _fold_task(i: int):
+    """Fit category ``i`` without the fold of the key (none left out: -1) and predict that fold."""
+    earlier = [f"p{j}" for j in range(i)]
+
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        left_out = key[0]
+        pdf = pdf.sort_values("id")
+        out = (pdf["fold"] == left_out).to_numpy()
+        y, dense = pdf[f"y{i}"].to_numpy(float), pdf[earlier].to_numpy(float)
+        row, col = _matrix(pdf[~out])
+        bias, weights, more = fit_logistic(row, col, dense[~out], y[~out])
+        if left_out < 0:
+            model = np.concatenate([[bias], more, weights]).astype("<f4").tobytes()
+            return pd.DataFrame({"id": [None], "p": [None], "model": [model]}, dtype=object)
+        row, col = _matrix(pdf[out])
+        p = sigmoid(bias + np.bincount(row, weights=weights[col], minlength=out.sum()) + dense[out] @ more)
+        return pd.DataFrame({"id": pdf["id"][out].tolist(), "p": p, "model": [None] * len(p)}, dtype=object)
+
+    return one
+
+
 def fit(docs: DataFrame, labels: DataFrame, categories: list[Category], max_rows: int = MAX_ROWS) -> Chain:
     """Fit the chain. Without any labelled row every model is a constant 0.
 
@@ -158,26 +180,8 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[Category], max_rows
     rows = tables.stored(training_rows(docs, labels, categories, max_rows), "toxicity-rows")
     links: list[Link] = []
     for i, category in enumerate(categories):
-        earlier = [f"p{j}" for j in range(i)]
-
-        def one(key: tuple, pdf: pd.DataFrame, i: int = i, earlier: list[str] = earlier) -> pd.DataFrame:
-            left_out = key[0]
-            pdf = pdf.sort_values("id")
-            out = (pdf["fold"] == left_out).to_numpy()
-            y, dense = pdf[f"y{i}"].to_numpy(float), pdf[earlier].to_numpy(float)
-            train = pdf[~out]
-            row, col = _matrix(train)
-            bias, weights, more = fit_logistic(row, col, dense[~out], y[~out])
-            model = np.concatenate([[bias], more, weights]).astype("<f4").tobytes() if left_out < 0 else None
-            row, col = _matrix(pdf[out])
-            p = sigmoid(bias + np.bincount(row, weights=weights[col], minlength=out.sum()) + dense[out] @ more)
-            ids = pdf["id"][out].tolist()
-            if left_out < 0:
-                return pd.DataFrame({"id": [None], "p": [None], "model": [model]}, dtype=object)
-            return pd.DataFrame({"id": ids, "p": p, "model": [None] * len(ids)}, dtype=object)
-
         folds = F.explode(F.array(*(F.lit(f) for f in range(-1, FOLDS)))).alias("left_out")
-        fitted = rows.select("*", folds).groupBy("left_out").applyInPandas(one, "id long, p double, model binary")
+        fitted = rows.select("*", folds).groupBy("left_out").applyInPandas(_fold_task(i), "id long, p double, model binary")
         fitted = tables.stored(fitted, "toxicity-fold")
         model = fitted.filter("model IS NOT NULL").select("model").collect()
         numbers = np.frombuffer(model[0][0], dtype="<f4").astype(float) if model else np.zeros(1 + i + FEATURES)
@@ -218,7 +222,5 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
                 found = probabilities(shared.value, data, offsets)
                 yield pa.record_batch([*part.columns, *(pa.array(p) for p in found)], names=[*part.schema.names, *names])
 
-    schema = docs.schema
-    for name in names:
-        schema = schema.add(name, "double")
-    return docs.mapInArrow(run, schema)
+    added = [StructField(name, DoubleType()) for name in names]
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *added]))
