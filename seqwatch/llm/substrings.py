@@ -40,6 +40,7 @@ STEPS = 256
 RANGE = 16
 DIGIT = THRESHOLD - STEPS + 1
 CHUNK = 1 << 20
+ROWS_AT_ONCE = 1024
 
 FIRST = kernels.byte_table(11)
 SECOND = kernels.byte_table(12)
@@ -125,20 +126,23 @@ PLACE = ("doc_id", "key_", "at")
 
 
 def refined(units: DataFrame, label: str, *keys: str) -> DataFrame:
-    """The units whose digit occurs more than once, with ``n``, the units equal to them in their
-    span, and ``spans``, the number of different spans of their digit."""
+    """The units whose digit occurs more than once. ``several``: the digit has different spans;
+    ``alike``: another unit has the same span."""
     group = [*keys, "digit"]
-    again = units.groupBy(*group).count().filter("count > 1").select(*group)
-    some = tables.stored(units.join(again, group, "left_semi"), label)
-    spans = some.groupBy(*group, "span").agg(F.count("*").alias("n"))
-    digits = spans.groupBy(*group).agg(F.count("*").alias("spans"))
-    return some.join(spans.join(digits, group), [*group, "span"])
+    digits = units.groupBy(*group).agg(F.count("*").alias("n"), F.min("span").alias("low_"), F.max("span").alias("high_"))
+    digits = digits.filter("n > 1").select(*group, (F.col("low_") != F.col("high_")).alias("several"))
+    some = tables.stored(units.join(digits, group), label)
+    mixed = some.filter("several")
+    spans = mixed.groupBy(*group, "span").count().filter("count > 1").select(*group, "span", F.lit(True).alias("alike"))
+    mixed = mixed.join(spans, [*group, "span"], "left").withColumn("alike", F.coalesce("alike", F.lit(False)))
+    return some.filter("NOT several").withColumn("alike", F.lit(True)).unionByName(mixed)
 
 
 def one_of_each(units: DataFrame, *keys: str) -> DataFrame:
     """One unit of each span where a digit has several; the others of that span are repeated as a whole."""
-    open_ = units.filter("spans > 1")
-    return open_.groupBy(*keys, "digit", "span").agg(F.min(F.struct(*PLACE)).alias("one")).select("one.*", *keys)
+    open_ = units.filter("several")
+    copies = open_.filter("alike").groupBy(*keys, "digit", "span").agg(F.min(F.struct(*PLACE)).alias("one"))
+    return open_.filter("NOT alike").select(*PLACE, *keys).unionByName(copies.select("one.*", *keys))
 
 
 def surroundings(docs: DataFrame, places: DataFrame) -> DataFrame:
@@ -178,29 +182,34 @@ def ranges(near: DataFrame, width: int) -> DataFrame:
     """
     limited = "lows" in near.columns
 
+    def units(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = batch.column("around")
+        data = np.frombuffer(b"".join(x.as_buffer() for x in texts), dtype=np.uint8)
+        edges = np.concatenate([[0], np.cumsum([len(x.as_buffer()) for x in texts])])
+        if limited:
+            lists = batch.column("lows")
+            of = np.repeat(np.arange(len(texts)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            base, each = lists.flatten().to_numpy(zero_copy_only=False), np.arange(0, RANGE, width)
+        else:
+            of, base, each = np.arange(len(texts)), np.zeros(len(texts), dtype=np.int64), np.arange(0, STEPS, width)
+        row, low = np.repeat(of, len(each)), (base[:, None] + each).ravel()
+        start = (edges[:-1] + batch.column("before").to_numpy())[row] - low
+        end = start + THRESHOLD - width + 1
+        inside = (start >= edges[row]) & (end <= edges[row + 1])
+        row, low, start, end = row[inside], low[inside], start[inside], end[inside]
+        p, q = kernels.prefix_hash(data, FIRST), kernels.prefix_hash(data, SECOND, SECOND_BASE)
+        digit = kernels.mix((p[end] - p[start]) * kernels.powers(len(p))[1][start])
+        span = span_key(q, start - width + 1, end + width - 1, edges[row], edges[row + 1])
+        places = (batch.column(c).take(pa.array(row)) for c in PLACE)
+        return pa.record_batch(
+            [pa.array(digit.view(np.int64)), pa.array(span.view(np.int64)), *places, pa.array(low)],
+            names=["digit", "span", *PLACE, "low"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], []]
-            lows = batch.column("lows").to_pylist() if limited else [None] * batch.num_rows
-            for i in range(batch.num_rows):
-                text = np.frombuffer(batch.column("around")[i].as_buffer(), dtype=np.uint8)
-                at, before = batch.column("at")[i].as_py(), batch.column("before")[i].as_py()
-                low = np.concatenate([np.arange(x, x + RANGE, width) for x in lows[i]]) if limited else np.arange(0, STEPS, width)
-                core_start, core_end = before - low, before + THRESHOLD - low - width + 1
-                inside = (core_start >= 0) & (core_end <= len(text))
-                low, core_start, core_end = low[inside], core_start[inside], core_end[inside]
-                p, q = kernels.prefix_hash(text, FIRST), kernels.prefix_hash(text, SECOND, SECOND_BASE)
-                digit = kernels.mix((p[core_end] - p[core_start]) * kernels.powers(len(p))[1][core_start])
-                edge = np.zeros(len(low), dtype=np.int64)
-                span = span_key(q, core_start - width + 1, core_end + width - 1, edge, edge + len(text))
-                for to, x in zip(out, (np.full(len(low), i), low, digit.view(np.int64), span.view(np.int64))):
-                    to.append(x)
-            rows, low, digit, span = (np.concatenate(x) for x in out)
-            take = pa.array(rows)
-            yield pa.record_batch(
-                [pa.array(digit), pa.array(span), *(batch.column(c).take(take) for c in PLACE), pa.array(low)],
-                names=["digit", "span", *PLACE, "low"],
-            )
+            for start in range(0, batch.num_rows, ROWS_AT_ONCE):
+                yield units(batch.slice(start, ROWS_AT_ONCE))
 
     return near.mapInArrow(run, ANCHORS + ", low long")
 
@@ -212,7 +221,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     """
     def equal(units: DataFrame, width: int) -> DataFrame:
         low = F.col("low") if "low" in units.columns else F.lit(0).cast("long").alias("low")
-        return units.filter("n > 1").select(*PLACE, low, F.lit(width).cast("long").alias("width"))
+        return units.select(*PLACE, low, F.lit(width).cast("long").alias("width"))
 
     suffixes = tables.stored(anchors(docs), "anchors")
     first = tables.stored(refined(suffixes, "digit-1"), "pass-1")
@@ -221,27 +230,26 @@ def repeated(docs: DataFrame) -> DataFrame:
     lows = one_of_each(second, "low").groupBy(*PLACE).agg(F.collect_list("low").alias("lows"))
     lows = lows.withColumnsRenamed({"doc_id": "id_", "key_": "k_", "at": "at_"})
     same = F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("key_") == F.col("k_")) & (F.col("at") == F.col("at_"))
-    third = refined(ranges(near.join(lows, same).drop("id_", "k_", "at_"), 1), "digit-3", "low")
-    return equal(first, STEPS).unionByName(equal(second, RANGE)).unionByName(equal(third, 1))
+    single = ranges(near.join(lows, same).drop("id_", "k_", "at_"), 1)
+    again = single.groupBy("digit", "low").count().filter("count > 1").select("digit", "low")
+    third = single.join(again, ["digit", "low"], "left_semi")
+    return equal(first.filter("alike"), STEPS).unionByName(equal(second.filter("alike"), RANGE)).unionByName(equal(third, 1))
 
 
 REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
-def covered(n: int, ranges_: list[dict]) -> list[tuple[int, int]]:
-    """Maximal byte runs covered by repeated windows, from ranges of window starts."""
-    runs: list[list[int]] = []
-    starts = []
-    for r in ranges_:
-        low, high = max(0, r["at"] - r["low"] - r["width"] + 1), min(r["at"] - r["low"], n - THRESHOLD)
-        if low <= high:
-            starts.append((low, high + THRESHOLD))
-    for low, high in sorted(starts):
-        if runs and low <= runs[-1][1]:
-            runs[-1][1] = max(runs[-1][1], high)
-        else:
-            runs.append([low, high])
-    return [(a, b) for a, b in runs]
+def covered(n: int, at: np.ndarray, low: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal byte runs covered by repeated windows, from ranges of window starts."""
+    first, last = np.maximum(0, at - low - width + 1), np.minimum(at - low, n - THRESHOLD)
+    inside = first <= last
+    order = np.argsort(first[inside], kind="stable")
+    start, end = first[inside][order], last[inside][order] + THRESHOLD
+    if not len(start):
+        return start, end
+    reach = np.maximum.accumulate(end)
+    new = np.concatenate([[True], start[1:] > reach[:-1]])
+    return start[new], reach[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(start) - 1]])]
 
 
 def remove(docs: DataFrame) -> DataFrame:
@@ -263,13 +271,17 @@ def remove(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for start, end, data, offsets in kernels.blocks(batch):
                 part = batch.slice(start, end - start)
-                out = []
-                for i, ranges_ in enumerate(part.column("ranges").to_pylist()):
+                lists, out = part.column("ranges"), []
+                bounds = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+                flat = lists.flatten()
+                at, low, width = (flat.field(j).to_numpy(zero_copy_only=False) for j in range(3))
+                for i in range(end - start):
                     text = data[offsets[i] : offsets[i + 1]].tobytes()
-                    runs = covered(len(text), ranges_ or [])
-                    edges = [0, *(x for r in runs for x in r), len(text)]
+                    own = slice(bounds[i], bounds[i + 1])
+                    runs = covered(len(text), at[own], low[own], width[own])
+                    edges = [0, *np.column_stack(runs).ravel().tolist(), len(text)]
                     kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
-                    out.append((len(text), len(text) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept))
+                    out.append((len(text), len(text) - len(kept), len(runs[0]), hashlib.sha256(kept).hexdigest(), kept))
                 yield batch_of(part.column("doc_id"), *zip(*out))
 
     return joined.select("doc_id", "text", "ranges").mapInArrow(run, REMOVED)
