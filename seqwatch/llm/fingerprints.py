@@ -21,7 +21,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from seqwatch.llm import kernels, tables
 
 BINS = 256
-BITS = 8
+BITS = 4
 TRIES = 64
 
 
