@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from seqwatch.llm import decontamination, fingerprints, importance, packing, pii, substrings, tables, toxicity, urlfilter, warc
+from seqwatch.llm import decontamination, fingerprints, importance, neardup, packing, pii, substrings, tables, toxicity, urlfilter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 ALL: dict[str, Query] = {}
@@ -145,3 +145,9 @@ def op8_oph_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove(tables.read(spark, sf_dir, "documents")).drop("kept")
+
+
+@query
+def op10_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.clusters(tables.read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
