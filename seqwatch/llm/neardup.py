@@ -4,24 +4,25 @@ A document is its set of five-word shingles; two are linked from a Jaccard simil
 ``THRESHOLD`` percent on. Documents of equal sets form a class, and all that follows is about
 classes. A class has a sketch of ``PLACES`` minwise tokens.
 
-``TREES`` independent trees each start by sending every class to the node of one of its minwise
-tokens: two classes of similarity J share it with probability J. Then
+``TREES`` independent trees each send every class to the node of two of its minwise tokens,
+the first two steps of its path: classes of similarity J share it with probability J squared. Then
 
-1. *Stars.* Every node proposes its smallest member to each other member, over all trees; a
-   class keeps the proposal that most trees agree on. Proposals are checked on full sets, and
-   those that hold join classes into components. Copies and near copies of one text, however
-   many, are joined by as many checks as there are classes.
+1. *Stars.* Every node proposes its smallest member to each other member; a class keeps the
+   proposal that most trees agree on. Proposals are checked on full sets, and those that hold
+   join classes into components. Copies and near copies of one text, however many, are joined
+   by no more checks than there are classes.
 2. *Paths.* Nodes whose members are in different components are searched. Up to ``SMALL``
    members are compared exhaustively. A larger node branches: it chooses ``BRANCHES`` further
    places of the sketch by its own hash, and members go to the child of each token they have
    there. After ``DEPTH`` levels a node that is still large is compared exhaustively in blocks
-   of members, so nothing is left out. Members of one component are not compared again.
-   Pairs whose sketches agree on less than ``LEAST_AGREE`` places are passed over: a pair on
-   the threshold agrees on 96 of 128 on average, with a standard deviation of 5.
-3. Candidates are checked on full sets, and the links that hold give the components.
-
-A pair on the threshold is missed by all trees with a probability under 0.001, and a component
-has more than one way to hold together.
+   of members, so nothing is left out. Members of one component are not compared again, and a
+   pair that meets in small nodes of several trees is compared in the first of them.
+3. Pairs whose sketches agree are checked on full sets, in the node, best first; a check is
+   spared where earlier ones have connected its ends. The links that hold give the components.
+
+Sketches of a pair on the threshold agree on 192 of 256 places on average, with a standard
+deviation of 7; pairs under ``LEAST_AGREE`` are passed over. All trees miss such a pair with a
+probability under 0.00001, and a component mostly has more than one way to hold together.
 """
 
 from __future__ import annotations
@@ -30,28 +31,27 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from seqwatch.llm import fingerprints, kernels, tables
 
 THRESHOLD = 75
-PLACES = 128
-TREES = 10
-SMALL = 128
+PLACES = 256
+TREES = 16
+SMALL = 4096
 BRANCHES = 3
 DEPTH = 3
-LEAST_AGREE = 70
-LEAST_TREES = 3
+LEAST_AGREE = 161
+LEAST_TREES = 4
 
 ROWS = "doc_id long, key_ long, n_shingles long, set_a long, set_b long, sketch binary, roots array<long>"
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """Per row: the number of shingles, a 128-bit key of the set, the sketch and the trees' first tokens."""
+    """Per row: the number of shingles, a 128-bit key of the set, the sketch and the trees' first nodes."""
     tries = fingerprints._tries(PLACES)
-    places = (np.arange(TREES) * 13 + 5) % PLACES
+    places = np.arange(2 * TREES) * (PLACES // (2 * TREES))
     batch_of = kernels.record_batches([
         ("doc_id", pa.int64()), ("key_", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()),
         ("set_b", pa.int64()), ("sketch", pa.binary()), ("roots", pa.list_(pa.int64())),
@@ -63,7 +63,7 @@ def sets(docs: DataFrame) -> DataFrame:
             return 0, None, None, None, None
         tokens = kernels.mix(kept)
         keys = [int(kernels.mix(hashes ^ np.uint64(seed)).sum(dtype=np.uint64).view(np.int64)) for seed in (1, 2)]
-        return len(hashes), *keys, tokens.astype("<u2").tobytes(), tokens[places].view(np.int64)
+        return len(hashes), *keys, tokens.astype(np.uint8).tobytes(), kernels.mix(tokens[places[::2]] * np.uint64(3) + tokens[places[1::2]]).view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,8 +96,17 @@ def _set(packed: bytes) -> np.ndarray:
     return next(kernels.shingle_sets(data, np.array([0, len(data)])))
 
 
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two full sets, as sorted distinct hashes, reach the threshold."""
+    least, most = sorted((len(a), len(b)))
+    if 100 * least < THRESHOLD * most:
+        return False
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * common >= THRESHOLD * (len(a) + len(b) - common)
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` whose full sets are similar enough, with the sizes of both sets and of their intersection."""
+    """The pairs ``a, b`` whose full sets are similar enough."""
     first = texts.select(F.col("rep").alias("a"), F.col("packed").alias("text_a"))
     second = texts.select(F.col("rep").alias("b"), F.col("packed").alias("text_b"))
     joined = pairs.join(second, "b").join(first, "a")
@@ -110,14 +119,12 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 a, b = a.as_py(), b.as_py()
                 if a != kept_id:
                     kept_id, kept = a, _set(text_a.as_py())
-                other = _set(text_b.as_py())
-                common = len(np.intersect1d(kept, other, assume_unique=True))
-                if 100 * common >= THRESHOLD * (len(kept) + len(other) - common):
-                    out.append((a, b, common))
+                if similar(kept, _set(text_b.as_py())):
+                    out.append((a, b))
             if out:
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b", "common"])
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
 
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, common long")
+    return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -155,102 +162,158 @@ def stars(members: DataFrame) -> DataFrame:
     return chosen.select("a", F.col("rep").alias("b"))
 
 
-def agreeing(sketches: list[bytes], parts: np.ndarray, first: np.ndarray, second: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs (i of first, j of second) in different components whose sketches agree enough."""
-    table = np.frombuffer(b"".join(sketches), dtype="<u2").reshape(len(sketches), PLACES)
-    out = []
-    for i in first:
-        other = second[(parts[second] != parts[i])]
-        other = other[(table[other] == table[i]).sum(axis=1) >= LEAST_AGREE]
-        out.extend((int(i), int(j)) for j in other)
-    return out
-
-
-def _pairs(pdf: pd.DataFrame, first: np.ndarray, second: np.ndarray) -> pd.DataFrame:
-    reps = pdf["rep"].to_numpy()
-    found = agreeing(pdf["sketch"].tolist(), pdf["component"].to_numpy(), first, second)
-    ends = [(min(reps[i], reps[j]), max(reps[i], reps[j])) for i, j in found]
-    return pd.DataFrame(sorted(set(ends)), columns=["a", "b"], dtype="int64")
-
+NODE = ("node", "rep", "component", "side", "tree", "small", "sketch", "roots")
 
-def _compare_small(pdf: pd.DataFrame) -> pd.DataFrame:
-    """All pairs of one node of ``SMALL`` members at most."""
-    out = [pd.DataFrame({"a": [], "b": []}, dtype="int64")]
-    everyone = np.arange(len(pdf))
-    for i in everyone:
-        out.append(_pairs(pdf, everyone[i : i + 1], everyone[i + 1 :]))
-    return pd.concat(out).drop_duplicates()
 
+def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The members of each node, from batches sorted by node; a node has ``2 * SMALL`` at most."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        nodes = batch.column("node").to_numpy()
+        edges = [0, *(np.flatnonzero(nodes[1:] != nodes[:-1]) + 1).tolist(), len(nodes)]
+        for start, end in zip(edges[:-1], edges[1:]):
+            if start == end:
+                continue
+            if held and nodes[start] != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = nodes[start]
+            held.append(batch.slice(start, end - start))
+    if held:
+        yield pa.Table.from_batches(held)
 
-def _compare_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
-    """All pairs between the two blocks of a block pair, or within one."""
-    left, right = (np.flatnonzero((pdf["side"] == side).to_numpy()) for side in (0, 1))
-    if not len(right):
-        return _compare_small(pdf)
-    return _pairs(pdf, left, right)
 
+def agreeing(node: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, places agreed) of the pairs of a node that are to be checked on full sets.
 
-def candidates(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` of different components that meet in a node and whose sketches agree.
-
-    ``members`` are ``node, rep, component``; ``classes`` have the sketches by ``rep``.
+    They are in different components and on different sides (side -1: any), their sketches
+    agree enough, and no earlier tree compares them in a small first node.
+    """
+    n = node.num_rows
+    part, side = node.column("component").to_numpy(), node.column("side").to_numpy()
+    sketch = np.frombuffer(b"".join(node.column("sketch").to_pylist()), dtype=np.uint8).reshape(n, PLACES)
+    roots = node.column("roots").combine_chunks().flatten().to_numpy().reshape(n, TREES)
+    small, tree = node.column("small").to_numpy(), int(node.column("tree")[0].as_py())
+    before = (small[:, None] >> np.arange(TREES) & 1).astype(bool) & (np.arange(TREES) < tree)
+    found = []
+    for i in range(n - 1):
+        rest = slice(i + 1, n)
+        open_ = (part[rest] != part[i]) & ((side[rest] != side[i]) | (side[i] < 0))
+        j = np.flatnonzero(open_)
+        if len(j):
+            agree = (sketch[rest][j] == sketch[i]).sum(axis=1)
+            j, agree = j[agree >= LEAST_AGREE] + i + 1, agree[agree >= LEAST_AGREE]
+            new = ~((roots[j] == roots[i]) & before[i]).any(axis=1)
+            found.append((np.full(new.sum(), i), j[new], agree[new]))
+    if not found:
+        return (np.zeros(0, dtype=np.int64),) * 3
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _involved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The members of nodes that are in some pair to be checked."""
+    for node in _nodes(batches):
+        i, j, _ = agreeing(node)
+        if len(i):
+            for batch in node.take(pa.array(np.unique(np.concatenate([i, j])))).combine_chunks().to_batches():
+                yield batch
+
+
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of nodes, checked on full sets, best pairs first, unless their ends are connected already."""
+    for node in _nodes(batches):
+        i, j, agree = agreeing(node)
+        order = np.argsort(-agree, kind="stable")
+        reps, packed = node.column("rep").to_numpy(), node.column("packed")
+        names, group = np.unique(node.column("component").to_numpy(), return_inverse=True)
+        parent, sets_, out = list(range(len(names))), {}, []
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        for a, b in zip(i[order].tolist(), j[order].tolist()):
+            ra, rb = root(int(group[a])), root(int(group[b]))
+            if ra != rb:
+                for x in (a, b):
+                    if x not in sets_:
+                        sets_[x] = _set(packed[x].as_py())
+                if similar(sets_[a], sets_[b]):
+                    parent[ra] = rb
+                    out.append((min(reps[a], reps[b]), max(reps[a], reps[b])))
+        if out:
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
+
+
+def paths(members: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links ``a, b`` between different components, found in the trees below ``members``.
+
+    ``members`` are ``node, tree, rep, component``; ``classes`` have ``sketch`` and ``roots`` by
+    ``rep``, ``texts`` the packed texts.
     """
-    found = None
-    sketches = classes.select("rep", "sketch")
+    detail = classes.select("rep", "sketch", "roots")
+    parts = []
     for depth in range(DEPTH + 1):
-        sizes = members.groupBy("node").agg(
-            F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")
-        )
-        sizes = sizes.filter("low <> high").select("node", "n")
-        members = tables.stored(members.join(sizes, "node"), f"nodes-{depth}")
-        small = members.filter(F.col("n") <= SMALL).join(sketches, "rep").select("node", "rep", "component", "sketch")
-        some = small.groupBy("node").applyInPandas(_compare_small, "a long, b long")
-        found = some if found is None else found.union(some)
+        sizes = members.groupBy("node").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+        members = members.join(sizes.filter("low <> high").select("node", "n"), "node")
+        members = tables.stored(members, f"nodes-{depth}")
+        fits = members.filter(F.col("n") <= SMALL)
+        if depth == 0:
+            masks = fits.groupBy("rep").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("tree"))).alias("small"))
+        parts.append(fits.select("node", "rep", "component", F.lit(-1).alias("side"), "tree"))
         large = members.filter(F.col("n") > SMALL)
         if depth == DEPTH or not large.take(1):
             break
         place = [F.pmod(F.xxhash64("node", F.lit(j)), F.lit(PLACES)).cast("int") for j in range(BRANCHES)]
-        token = F.array(*(F.struct(F.lit(j).alias("j"), F.hex(F.substring("sketch", 2 * p + 1, 2)).alias("t")) for j, p in enumerate(place)))
-        split = large.join(sketches, "rep").select("node", "rep", "component", F.explode(token).alias("x"))
-        members = split.select(F.xxhash64("node", "x.j", "x.t").alias("node"), "rep", "component")
+        token = F.array(*(F.struct(F.lit(j).alias("j"), F.hex(F.substring("sketch", p + 1, F.lit(1))).alias("t")) for j, p in enumerate(place)))
+        split = large.join(detail, "rep").select("node", "rep", "component", F.explode(token).alias("x"))
+        members = split.select(F.xxhash64("node", "x.j", "x.t").alias("node"), F.lit(TREES).alias("tree"), "rep", "component").distinct()
     if depth == DEPTH:
-        found = found.union(_exhausted(large, sketches))
-    return found.filter("a <> b").distinct()
-
-
-def _exhausted(large: DataFrame, sketches: DataFrame) -> DataFrame:
-    """All pairs of nodes that stayed large, block against block of ``SMALL`` members or so."""
-    blocks = F.greatest(F.lit(2), F.ceil(F.col("n") / SMALL)).cast("int")
+        parts.append(_in_blocks(large))
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    whole = whole.join(masks, "rep", "left").withColumn("small", F.coalesce("small", F.lit(0))).join(detail, "rep").select(*NODE)
+    schema = "node long, rep long, component long, side int, tree int, small int, sketch binary, roots array<long>"
+    involved = tables.stored(whole.repartition("node").sortWithinPartitions("node").mapInArrow(_involved, schema), "involved")
+    read = involved.join(texts, "rep").select(*NODE, "packed")
+    return read.repartition("node").sortWithinPartitions("node").mapInArrow(_links, "a long, b long")
+
+
+def _in_blocks(large: DataFrame) -> DataFrame:
+    """Nodes that stayed large as pairs of blocks of about half of ``SMALL`` members."""
+    blocks = F.ceil(F.col("n") * 2 / SMALL).cast("int")
     own = F.pmod(F.xxhash64("rep", F.lit("block")), blocks).cast("int")
-    other = F.explode(F.sequence(F.lit(0), blocks - 1))
-    rows = large.select("node", "rep", "component", own.alias("own"), other.alias("other"))
-    pair = rows.select(
-        "node", "rep", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-        (F.col("own") > F.col("other")).cast("int").alias("side"),
-    )
-    return pair.join(sketches, "rep").groupBy("node", "i", "j").applyInPandas(_compare_blocks, "a long, b long")
+    rows = large.select("node", "rep", "component", "tree", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    side = F.when(F.col("own") == F.col("other"), -1).otherwise((F.col("own") > F.col("other")).cast("int"))
+    pair = F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))
+    return rows.select(pair.alias("node"), "rep", "component", side.cast("int").alias("side"), "tree")
 
 
 def clusters(docs: DataFrame) -> DataFrame:
-    """``doc_id, key_, n_shingles, component_id, kept, n_links`` of every row of ``docs``.
+    """``doc_id, key_, n_shingles, component_id, kept`` of every row of ``docs``.
 
     ``component_id`` is the smallest doc_id reachable over links, its own included, and ``kept``
-    marks the rows that have it. ``n_links`` counts links of the row's class to other classes
-    that were confirmed on the way; a component may hold more. Null and empty texts, and texts
-    without words, have no shingles and are linked with nothing, each its own component. Rows
-    without a doc_id count in their class but cannot stand for it: they take its component, or
-    none if the class has no id, and are kept only then. Other columns are ignored.
+    marks the rows that have it. Null and empty texts, and texts without words, have no
+    shingles and are linked with nothing, each its own component. Rows without a doc_id count
+    in their class but cannot stand for it: they take its component, or none if the class has
+    no id, and are kept only then. Other columns are ignored.
     """
     rows = sets(docs)
     filled = rows.filter("n_shingles > 0")
     stand_in = filled.filter("doc_id IS NOT NULL").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"))
     reps = filled.join(stand_in.withColumnRenamed("rep", "doc_id"), ["set_a", "set_b", "doc_id"])
-    by_rep = Window.partitionBy("rep").orderBy("key_")  # rows that repeat one doc_id
-    reps = reps.withColumnRenamed("doc_id", "rep").withColumn("at", F.row_number().over(by_rep)).filter("at = 1").drop("at")
-    classes = tables.stored(reps, "classes")
+    by_rep = Window.partitionBy("doc_id", "set_a", "set_b").orderBy("key_")  # rows that repeat one doc_id
+    reps = reps.withColumn("at", F.row_number().over(by_rep)).filter("at = 1").drop("at")
+    # An id that stands for several sets, in rows that share it, stands for the first alone.
+    by_id = Window.partitionBy("doc_id").orderBy("set_a", "set_b")
+    reps = reps.withColumn("at", F.row_number().over(by_id)).filter("at = 1").drop("at")
+    classes = tables.stored(reps.withColumnRenamed("doc_id", "rep"), "classes")
 
     first = classes.select("rep", F.posexplode("roots").alias("tree", "token"))
-    members = first.select(F.xxhash64("tree", "token").alias("node"), "rep")
+    members = first.select(F.xxhash64("tree", "token").alias("node"), "tree", "rep")
     shared = members.groupBy("node").count().filter("count > 1").select("node")
     members = tables.stored(members.join(shared, "node", "left_semi"), "nodes")
     wanted = classes.join(members.select("rep").distinct(), "rep", "left_semi")
@@ -259,22 +322,15 @@ def clusters(docs: DataFrame) -> DataFrame:
     star_links = tables.stored(confirmed(stars(members), texts), "star-links")
     so_far = components(star_links)
     placed = members.join(so_far, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    path_pairs = tables.stored(candidates(placed.select("node", "rep", "component"), classes), "candidates")
-    path_links = tables.stored(confirmed(path_pairs, texts), "path-links")
-    links = star_links.union(path_links).select("a", "b").distinct()
-    joined = components(links)
-
-    degree = links.select(F.col("a").alias("rep")).union(links.select(F.col("b").alias("rep"))).groupBy("rep").count()
-    of_class = stand_in.join(joined, "rep", "left").join(degree, "rep", "left")
-    of_class = of_class.select(
-        "set_a", "set_b", F.coalesce("component", "rep").alias("component"), F.coalesce("count", F.lit(0)).alias("n_links")
-    )
+    path_links = tables.stored(paths(placed.select("node", "tree", "rep", "component"), classes, texts), "path-links")
+    joined = components(star_links.union(path_links))
+
+    of_class = stand_in.join(joined, "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component"))
     out = rows.select("doc_id", "key_", "n_shingles", "set_a", "set_b").join(of_class, ["set_a", "set_b"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return out.select(
         "doc_id", "key_", "n_shingles", component.alias("component_id"),
         F.when(component.isNull(), True).otherwise(F.coalesce(F.col("doc_id") == component, F.lit(False))).alias("kept"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
     )
 
 
