@@ -17,6 +17,7 @@ from datetime import datetime, timedelta, timezone
 from pyspark.sql import DataFrame, SparkSession
 
 from seqwatch import names
+from seqwatch.operators import records
 from seqwatch.plans import archive, detector as det
 from seqwatch.session import RECOMMENDED_CONF
 from seqwatch.sinks import messages
@@ -38,7 +39,7 @@ def parser() -> argparse.ArgumentParser:
     fit.add_argument("--as-of", type=datetime.fromisoformat, help="end of the history, default now")
     fit.add_argument("--days", type=float, default=names.HISTORY.days)
     fit.add_argument("--pca", type=int, help="components; without it the window mean is the model")
-    fit.add_argument("--compat", action="store_true", help="sequences restart per 10,000 rows")
+    fit.add_argument("--drop-incomplete", action="store_true", help="leave out incomplete history rows")
     for sub in (
         job("archive", "path", "checkpoint"),
         job("score", "detector", "checkpoint"),
@@ -79,9 +80,10 @@ def fit(spark: SparkSession, args: argparse.Namespace) -> det.Detector:
         as_of = as_of.replace(tzinfo=timezone.utc)
     history = archive.read_history(
         spark, args.path, as_of, timedelta(days=args.days), sort=False
-    ).dropna()
+    )
+    history = records.require_channels(history, on_invalid="drop" if args.drop_incomplete else "error")
     make_model = det.pca(args.pca) if args.pca else det.window_mean
-    fitted = det.fit_detector(history, make_model, compat=args.compat)
+    fitted = det.fit_detector(history, make_model)
     fitted.save(spark, args.detector)
     return fitted
 
@@ -111,7 +113,10 @@ JOBS = {"fit": fit, "archive": store, "score": score, "diagnose": diagnose}
 
 
 def main(argv: list[str] | None = None) -> None:
-    args = parser().parse_args(argv)
+    options = parser()
+    args = options.parse_args(argv)
+    if getattr(args, "records", None) and args.job != "archive" and not args.out:
+        options.error("--records needs --out")
     spark = SparkSession.builder.appName(f"seqwatch-{args.job}").config(map=RECOMMENDED_CONF)
     JOBS[args.job](spark.getOrCreate(), args)
 

@@ -100,8 +100,8 @@ DIGESTS = """CAST(count(*) AS INTEGER) AS n_points,
        round(CAST(sum(x1 * (pos + 1)) AS DOUBLE), 9) AS digest_v_t"""
 
 
-def latest_windows(by: str, span: str, step: str) -> str:
-    """CTE ``win``: the latest 20 points per window of the events' own time, in order."""
+def own_time_windows(by: str, span: str, step: str) -> str:
+    """CTE ``win``: all points per window of the events' own time, in order."""
     keys = f"{by}, " if by else ""
     part = f"PARTITION BY {by}, ws" if by else "PARTITION BY ws"
     n = f"({span}) // ({step})"
@@ -110,8 +110,7 @@ def latest_windows(by: str, span: str, step: str) -> str:
   FROM sensor, range(0, {n}) AS r(k)),
 win AS (
   SELECT *, row_number() OVER ({part} ORDER BY us, event_id) - 1 AS pos
-  FROM (SELECT *, row_number() OVER ({part} ORDER BY us DESC, event_id DESC) AS back FROM spread) b
-  WHERE back <= 20)"""
+  FROM spread)"""
 
 
 def stamp(seconds: str) -> str:
@@ -207,12 +206,12 @@ SELECT ws AS window_start, ws + 20 AS window_end, CAST(pos AS INTEGER) AS pos,
     "sliding_sequences_by_series": f"""WITH {SENSOR}, {scaled()}, {windowed(t="kt", by="series")}
 SELECT series, ws AS window_start, ws + 20 AS window_end, {DIGESTS} FROM win GROUP BY series, ws""",
     "sliding_sequences_irregular": f"""WITH {SENSOR},
-{latest_windows("user_id", "86400000000", "3600000000")}
+{own_time_windows("user_id", "86400000000", "3600000000")}
 SELECT user_id, ws // 1000000 AS window_start, ws // 1000000 + 86400 AS window_end, {DIGESTS}
 FROM win GROUP BY user_id, ws""",
     "vector_sequences": f"""WITH {SENSOR}, {scaled()}, {windowed()}
 SELECT ws AS window_start, ws + 20 AS window_end, {DIGESTS} FROM win GROUP BY ws""",
-    "window_completeness": f"""WITH {SENSOR}, {latest_windows("", "3600000000", "300000000")}
+    "window_completeness": f"""WITH {SENSOR}, {own_time_windows("", "3600000000", "300000000")}
 SELECT ws // 1000000 AS window_start, ws // 1000000 + 3600 AS window_end,
        CAST(count(*) AS INTEGER) AS n_points, count(*) >= 20 AS complete FROM win GROUP BY ws""",
     "sequence_shape": f"""WITH {SENSOR}, {scaled()}, {windowed()}
@@ -230,12 +229,6 @@ FROM seq""",
     "row_sequences_keyed": f"""WITH {SENSOR}, {scaled()},
 {row_windowed("scaled", "us, event_id", by="user_id")}
 SELECT user_id, first_event, {DIGESTS} FROM seq GROUP BY user_id, first_event""",
-    "row_sequences_compat": f"""WITH {SENSOR}, {scaled()},
-batched AS (SELECT *, (row_number() OVER (ORDER BY t, event_id) - 1) // 10000 AS batch FROM scaled),
-{row_windowed("batched", "t, event_id", by="batch")},
-lasts AS (SELECT batch, max(first_event) AS first_event FROM seq GROUP BY batch)
-SELECT first_event, {DIGESTS} FROM seq
-WHERE first_event NOT IN (SELECT first_event FROM lasts) GROUP BY first_event""",
     "fit_split_preview": f"""WITH {SENSOR}, {scaled()}, {row_windowed("scaled", "t, event_id")},
 firsts AS (SELECT DISTINCT first_event FROM seq ORDER BY first_event LIMIT 2)
 SELECT first_event, CAST(2 * pos + c AS INTEGER) AS pos,

@@ -405,16 +405,6 @@ def row_sequences_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query
-def row_sequences_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = rows.row_sequences(
-        scaled_readings(fixture.readings(spark, sf_dir)),
-        order_by=["timestamp", "event_id"],
-        compat=True,
-    )
-    return shaped(found).select(F.col("event_id").alias("first_event"), *digests())
-
-
 @query
 def fit_split_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rows.row_sequences(

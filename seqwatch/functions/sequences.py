@@ -49,11 +49,6 @@ def drop_first(values: Column) -> Column:
     return F.slice(values, F.lit(2), F.greatest(F.size(values) - 1, F.lit(0)))
 
 
-def latest(seq: Column, steps: int) -> Column:
-    """The last ``steps`` elements, or the whole sequence when it is shorter."""
-    return F.slice(seq, F.greatest(F.size(seq) - steps, F.lit(0)) + 1, F.lit(steps))
-
-
 def flat(seq: Column) -> Column:
     """Steps x channels to one time-major array."""
     return F.flatten(seq)

@@ -39,7 +39,8 @@ def unpivot_json(
     """JSON records to points, whatever fields the messages have.
 
     Numbers become ``_value`` points, also inside arrays and objects down to
-    ``depth`` levels (``features`` gives ``features_0_1``). Text and booleans are
+    ``depth`` levels (``features`` gives ``features_0_1``); a message nested deeper fails, so
+    that no field is lost. Text and booleans are
     kept, in ``_svalue``, only for ``string_fields``. The topic becomes ``key`` and
     ``time_key`` (epoch seconds) the time; a message without a readable time
     or that is not a JSON object has no points.
@@ -62,7 +63,11 @@ def unpivot_json(
             *place, "name", "leaf"
         )
     # As JSON, a leaf shows its kind: only a number reads as one, only text is quoted.
-    leaves = add_once(rows, {"json": F.to_json("leaf")})
+    nested = F.raise_error(F.concat(F.lit(f"nested more than {depth} levels: "), F.col("name")))
+    json = F.to_json("leaf")
+    too_deep = json.startswith("{") | json.startswith("[")
+    empty = json.isin("{}", "[]")
+    leaves = add_once(rows, {"json": F.when(too_deep & ~empty, nested).otherwise(json)})
     kept_text = F.col("name").isin(*string_fields) & (
         F.col("json").startswith('"') | F.col("json").isin("true", "false")
     )
@@ -89,7 +94,8 @@ def unpivot_columns(
     fields: Sequence[str] = names.CHANNELS,
     key: str | Column = names.READINGS_TOPIC,
     time_col: str = "timestamp",
-    arrival_col: str | None = None,
+    *,
+    arrival_col: str,
     measurement: str = names.MEASUREMENT,
 ) -> DataFrame:
     """Typed readings to points; the way around JSON when the fields are known."""
@@ -104,7 +110,7 @@ def unpivot_columns(
             F.lit(measurement).alias("measurement"),
             (F.lit(key) if isinstance(key, str) else key).alias("key"),
             F.col(time_col).alias("_time"),
-            (F.col(arrival_col) if arrival_col else F.lit(None)).cast("bigint").alias("_arrival"),
+            F.col(arrival_col).cast("bigint").alias("_arrival"),
             F.explode(cells).alias("cell"),
         )
         .filter(F.col("cell._value").isNotNull())
@@ -138,14 +144,13 @@ def pivot(
 ) -> DataFrame:
     """Points to one row per ``row_key`` with a column per field.
 
-    A repeated point counts once, the last to arrive; a missing one is null.
-    One shuffle: the columns are conditional aggregates, combined before it.
+    A repeated point counts once, the last to arrive; a missing one is null, and a point
+    without an arrival fails. One shuffle: the columns are conditional aggregates, combined
+    before it, and ordered by one number so that they are hashed and not sorted.
     """
-    order = F.struct(F.col("_arrival"), F.col("_value"))
+    missing = F.raise_error(F.lit("a point without an arrival cannot be the last"))
+    arrival = F.coalesce("_arrival", missing.cast("bigint"))
     cells = [
-        F.max_by(
-            F.when(F.col("_field") == f, F.col("_value")), F.when(F.col("_field") == f, order)
-        ).alias(f)
-        for f in fields
+        F.max_by("_value", F.when(F.col("_field") == f, arrival)).alias(f) for f in fields
     ]
     return points.filter(F.col("_field").isin(list(fields))).groupBy(*row_key).agg(*cells)

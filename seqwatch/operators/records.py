@@ -34,13 +34,13 @@ def unpack(decoded: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
 def require_channels(
     readings: DataFrame,
     channels: Sequence[str] = names.CHANNELS,
-    on_invalid: str = "drop",
+    on_invalid: str = "error",
     observed_as: str | None = None,
 ) -> DataFrame:
     """Readings with every channel present.
 
-    ``on_invalid`` is ``"drop"``, ``"keep"`` or ``"error"`` (the query fails on the
-    first incomplete reading). ``observed_as`` names an observation that counts
+    ``on_invalid`` is ``"error"`` (the query fails on the first incomplete reading), ``"keep"``,
+    or ``"drop"``, which loses readings and has to be asked for. ``observed_as`` names an observation that counts
     ``readings`` and ``invalid`` on the way, in batch and in stream progress.
     """
     if on_invalid not in ("drop", "keep", "error"):
@@ -66,7 +66,7 @@ def read_records(
     records: DataFrame,
     channels: Sequence[str] = names.CHANNELS,
     carry: Sequence[str] = (),
-    on_invalid: str = "drop",
+    on_invalid: str = "error",
     observed_as: str | None = None,
     payload_time: bool = False,
 ) -> DataFrame:

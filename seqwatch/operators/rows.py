@@ -48,8 +48,6 @@ def row_sequences(
     carry: Sequence[str] = (),
     steps: int = names.STEPS,
     chunk_rows: int = 4096,
-    compat: bool = False,
-    batch_rows: int = 10_000,
     flat: bool = True,
 ) -> DataFrame:
     """Each row with its ``steps - 1`` followers as one flat, time-major ``features``,
@@ -59,38 +57,28 @@ def row_sequences(
     all series, cut into chunks of equal size, and a chunk also gets the first
     rows of the next, so neither one long series nor one hot key ends in one task.
     ``carry`` columns are taken from a sequence's first row.
-
-    ``compat`` restarts every ``batch_rows`` sorted rows and leaves out the last
-    sequence of each batch, like a job that maps Arrow batches one by one.
     """
     keys = list(series_keys)
-    if compat and keys:
-        raise ValueError("compat batches are defined for a single series")
     if chunk_rows < steps:
         raise ValueError("a chunk must hold at least one sequence")
     kept = list(dict.fromkeys([*keys, *order_by, *carry]))
     point = F.array(*[F.col(c).cast("double") for c in channels]).alias("_point")
     indexed = row_index(df.select(*kept, point), [*keys, *order_by], "_i")
 
-    if compat:
-        chunked = indexed.withColumn("_chunk", times.floor_div(F.col("_i"), batch_rows))
-        needed = steps + 1
-    else:
-        chunk = times.floor_div(F.col("_i"), chunk_rows)
-        in_head = (chunk > 0) & (F.pmod("_i", F.lit(chunk_rows)) < steps - 1)
-        homes = F.when(in_head, F.array(chunk, chunk - 1)).otherwise(F.array(chunk))
-        chunked = indexed.withColumn("_chunk", F.explode(homes))
-        needed = steps
+    chunk = times.floor_div(F.col("_i"), chunk_rows)
+    in_head = (chunk > 0) & (F.pmod("_i", F.lit(chunk_rows)) < steps - 1)
+    homes = F.when(in_head, F.array(chunk, chunk - 1)).otherwise(F.array(chunk))
+    chunked = indexed.withColumn("_chunk", F.explode(homes))
     ahead = (
         Window.partitionBy("_chunk", *keys)
         .orderBy("_i")
-        .rowsBetween(Window.currentRow, needed - 1)
+        .rowsBetween(Window.currentRow, steps - 1)
     )
     # A copied row never starts a full sequence: its chunk ends too soon.
     framed = chunked.select(
         *kept, F.collect_list("_point").over(ahead).alias("_ahead")
-    ).filter(F.size("_ahead") == needed)
-    features = F.slice("_ahead", F.lit(1), F.lit(steps)) if compat else F.col("_ahead")
+    ).filter(F.size("_ahead") == steps)
+    features = F.col("_ahead")
     if flat:
         features = sequences.flat(features)
     return add_once(framed, {"features": features}).drop("_ahead")

@@ -65,7 +65,8 @@ def scale(
 
     ``params`` is a fitted literal set, or the result of ``fit``: its one row
     enters as a scalar subquery, and one row per series as an equi-join whose
-    physical form is left to the size of the bounds (see ``tables.stored``).
+    physical form is left to the size of the bounds (see ``tables.stored``). Rows of
+    a series without bounds, or without a series, stay, with null channels.
     """
     if isinstance(params, MinMaxParams):
         lows = dict(zip(params.channels, params.lows))
@@ -76,7 +77,7 @@ def scale(
     if series_keys:
         columns = df.columns
         return (
-            df.join(params, list(series_keys))
+            df.join(params, list(series_keys), "left")
             .withColumns(_scaled(channels, F.col))
             .select(*columns)
         )

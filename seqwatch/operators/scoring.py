@@ -81,7 +81,8 @@ def score(
 ) -> DataFrame:
     """Score records for windows with ``features``.
 
-    Incomplete windows are left out before the model sees them. With
+    A sequence longer than ``steps`` fails the job: a model takes one length. Incomplete
+    windows are left out before the model sees them. With
     ``keep_incomplete`` they come back with null scores but their thresholds.
     ``float32`` compares at a network's single precision.
     """
@@ -91,6 +92,9 @@ def score(
             "features", sequences.as_float32(F.col("features")).cast("array<array<double>>")
         )
     complete = ready.filter(is_complete(F.col("features"), steps))
+    failure = F.raise_error(F.lit(f"a sequence is longer than {steps} steps"))
+    exact = F.when(F.size("features") == steps, F.col("features"))
+    complete = complete.withColumn("features", exact.otherwise(failure.cast("array<array<double>>")))
     scored = judge(add_errors(model.reconstruct(complete), channels), threshold, channels)
     if not keep_incomplete:
         return scored

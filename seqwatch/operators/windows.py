@@ -13,19 +13,23 @@ from seqwatch.functions import sequences, times
 from seqwatch.operators.once import add_once
 
 
-def _bounded(found: DataFrame, steps: int, on_overflow: str) -> DataFrame:
-    """``features`` of at most ``steps`` points from all points ``_found``."""
+def _checked(found: DataFrame, steps: int, on_overflow: str) -> DataFrame:
+    """``features`` from all points ``_found``; with ``"error"`` no more than ``steps``."""
+    if on_overflow == "keep":
+        return found.withColumnRenamed("_found", "features")
     found = add_once(found, {"_found": F.col("_found")})
-    if on_overflow == "latest":
-        features = sequences.latest(F.col("_found"), steps)
-    else:
-        failure = F.raise_error(F.lit(f"a window holds more than {steps} points"))
-        features = F.when(F.size("_found") <= steps, F.col("_found")).otherwise(
-            failure.cast("array<array<double>>")
-        )
+    failure = F.raise_error(F.lit(f"a window holds more than {steps} points"))
+    features = F.when(F.size("_found") <= steps, F.col("_found")).otherwise(
+        failure.cast("array<array<double>>")
+    )
     return found.withColumn("features", features).drop("_found")
 
 
+def _overflow(on_overflow: str) -> None:
+    if on_overflow not in ("keep", "error"):
+        raise ValueError(f"unknown on_overflow: {on_overflow}")
+
+
 def sliding_sequences(
     df: DataFrame,
     channels: Sequence[str] = names.CHANNELS,
@@ -36,29 +40,28 @@ def sliding_sequences(
     window: timedelta = names.WINDOW,
     slide: timedelta = names.SLIDE,
     steps: int = names.STEPS,
-    on_overflow: str = "latest",
+    on_overflow: str = "keep",
     panes_per_chunk: int | None = None,
 ) -> DataFrame:
-    """Per series and window the ordered ``features`` of its latest ``steps`` points.
+    """Per series and window the ordered ``features`` of all its points.
 
     The same rows as grouping by ``window(time, ...)``, but a row is shuffled
     once or twice instead of once per window it belongs to:
 
     1. Time is cut into panes (the largest unit that divides window and slide).
-       No window needs more than the latest ``steps`` points of a pane, so a pane is
-       ranked down to those, before the shuffle and after it. A burst of any
-       size costs at most ``steps`` rows per map task.
     2. Neighbouring panes form a chunk, which also gets the last panes of the
-       one before, so that every window ending in a chunk is whole in it. A
-       chunk is of bounded size: ``steps`` points per pane.
-    3. A window is emitted by its last non-empty pane, from a frame of at most as
-       many panes as the sequence has steps. Windows that end in a gap are kept
-       so, and the frame stays short however wide the window is.
+       one before, so that every window ending in a chunk is whole in it.
+    3. A window is emitted by its last non-empty pane, from a frame over the
+       panes before it. Windows that end in a gap are kept so.
+
+    A row with a missing channel is no point, but its windows are there, if need be empty.
 
-    ``on_overflow="error"`` fails on a window with more than ``steps`` points.
+    ``on_overflow="error"`` fails on a window with more than ``steps`` points. That is known
+    from ``steps + 1`` points of a pane, or as many panes, so a pane is ranked down to those
+    before the shuffle and after it: a burst of any size costs that many rows per map
+    task, and the frame stays short however wide the window is.
     """
-    if on_overflow not in ("latest", "error"):
-        raise ValueError(f"unknown on_overflow: {on_overflow}")
+    _overflow(on_overflow)
     unit = gcd(times.micros(window), times.micros(slide))
     width = times.micros(window) // unit
     stride = times.micros(slide) // unit
@@ -66,28 +69,25 @@ def sliding_sequences(
         panes_per_chunk = max(1024, 8 * width)
     if panes_per_chunk < width:
         raise ValueError("a chunk must hold at least one window")
-    per_pane = steps if on_overflow == "latest" else steps + 1
     keys = list(series_keys)
     order = [time_col, *tie_cols]
 
-    complete = F.col(time_col).isNotNull()
+    complete = F.lit(True)
     for c in channels:
         complete = complete & F.col(c).isNotNull()
-    points = df.filter(complete).select(
+    points = df.filter(F.col(time_col).isNotNull()).select(
         *keys,
         times.floor_div(F.unix_micros(time_col), unit).alias("_pane"),
-        sequences.time_tagged(order, channels).alias("_point"),
+        F.when(complete, sequences.time_tagged(order, channels)).alias("_point"),
     )
-    newest = Window.partitionBy(*keys, "_pane").orderBy(F.desc("_point"))
-    panes = (
-        points.withColumn("_rank", F.row_number().over(newest))
-        .filter(F.col("_rank") <= per_pane)
-        .groupBy(*keys, "_pane")
-        .agg(
-            sequences.strip_time(F.array_sort(F.collect_list("_point")), len(channels)).alias(
-                "_points"
-            )
+    if on_overflow == "error":
+        newest = Window.partitionBy(*keys, "_pane").orderBy(F.desc_nulls_last("_point"))
+        points = points.withColumn("_rank", F.row_number().over(newest)).filter(
+            F.col("_rank") <= steps + 1
         )
+    gathered = F.array_sort(F.collect_list("_point"))
+    panes = points.groupBy(*keys, "_pane").agg(
+        sequences.strip_time(gathered, len(channels)).alias("_points")
     )
 
     chunk = times.floor_div(F.col("_pane"), panes_per_chunk)
@@ -96,11 +96,7 @@ def sliding_sequences(
         "_chunk", F.explode(F.when(in_tail, F.array(chunk, chunk + 1)).otherwise(F.array(chunk)))
     )
     along = Window.partitionBy(*keys, "_chunk").orderBy("_pane")
-    # Whichever is shorter: the panes of a window, or as many as hold all its points kept.
-    if width <= per_pane:
-        recent = along.rangeBetween(1 - width, Window.currentRow)
-    else:
-        recent = along.rowsBetween(1 - per_pane, Window.currentRow)
+    recent = along.rangeBetween(1 - width, Window.currentRow)
     framed = chunked.select(
         *keys,
         "_pane",
@@ -131,7 +127,7 @@ def sliding_sequences(
         ).alias("window"),
         features.alias("_found"),
     )
-    return _bounded(found, steps, on_overflow)
+    return _checked(found, steps, on_overflow)
 
 
 def grouped_sequences(
@@ -144,7 +140,7 @@ def grouped_sequences(
     window: timedelta = names.WINDOW,
     slide: timedelta = names.SLIDE,
     steps: int = names.STEPS,
-    on_overflow: str = "latest",
+    on_overflow: str = "keep",
     burst_slots: int = 1,
 ) -> DataFrame:
     """The stream form: a grouped aggregate whose state Spark keeps per window.
@@ -152,10 +148,11 @@ def grouped_sequences(
     On a stream, call it on a frame that carries a watermark. Without slots all
     points of a window meet in one group, which suits series of a steady rate.
     With ``burst_slots`` a window's points are first gathered in that many
-    groups, of which each passes on its latest points only; take as many as the
-    busiest window needs to stay small. Rows and lateness are the same either way.
+    groups; with ``on_overflow="error"`` each passes on ``steps + 1`` points at most, enough
+    to tell. Take as many as the busiest window needs. Rows and lateness are the same
+    either way.
     """
-    kept = steps if on_overflow == "latest" else steps + 1
+    _overflow(on_overflow)
     order = [time_col, *tie_cols]
     keys = list(series_keys)
     points = sequences.time_tagged(order, channels)
@@ -169,12 +166,11 @@ def grouped_sequences(
     else:
         slot = F.pmod(F.xxhash64(*order, *channels), F.lit(burst_slots)).alias("_slot")
         slots = df.groupBy(*keys, span, slot).agg(gathered.alias("_points"))
-        newest = sequences.latest(F.array_sort("_points"), kept)
-        grouped = (
-            slots.withColumn("_points", newest)
-            .groupBy(*keys, "window")
-            .agg(F.flatten(F.collect_list("_points")).alias("_points"))
+        if on_overflow == "error":
+            slots = slots.withColumn("_points", F.slice("_points", 1, steps + 1))
+        grouped = slots.groupBy(*keys, "window").agg(
+            F.flatten(F.collect_list("_points")).alias("_points")
         )
     in_order = sequences.strip_time(F.array_sort("_points"), len(channels))
     ordered = grouped.withColumn("_found", in_order).drop("_points")
-    return _bounded(ordered, steps, on_overflow)
+    return _checked(ordered, steps, on_overflow)

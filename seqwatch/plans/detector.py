@@ -84,7 +84,6 @@ def fit_detector(
     order_by: Sequence[str] = ("timestamp",),
     series_keys: Sequence[str] = (),
     steps: int = names.STEPS,
-    compat: bool = False,
 ) -> Detector:
     """Fit on history: bounds, then ``make_model(training sequences)``, then threshold.
 
@@ -97,7 +96,6 @@ def fit_detector(
         order_by=order_by,
         series_keys=series_keys,
         steps=steps,
-        compat=compat,
         flat=False,
     ).select("features")
     model = make_model(training)

@@ -48,7 +48,7 @@ def score_readings(
     time_col: str = "timestamp",
     tie_cols: Sequence[str] = (),
     series_keys: Sequence[str] = (),
-    on_overflow: str = "latest",
+    on_overflow: str = "error",
     keep_incomplete: bool = False,
     float32: bool = False,
 ) -> DataFrame:

@@ -24,8 +24,8 @@ def stream_windows(
     window: timedelta = names.WINDOW,
     slide: timedelta = names.SLIDE,
     steps: int = names.STEPS,
-    on_invalid: str = "drop",
-    on_overflow: str = "latest",
+    on_invalid: str = "error",
+    on_overflow: str = "error",
     burst_slots: int = 4,
     payload_time: bool = False,
 ) -> DataFrame:
@@ -95,7 +95,8 @@ def shape_stream(
     threshold: Sequence[float],
     **window_options,
 ) -> DataFrame:
-    """The diagnostic stream: window shapes instead of scores."""
+    """The diagnostic stream: window shapes instead of scores, of windows of any length."""
+    window_options.setdefault("on_overflow", "keep")
     return plan.window_shapes(
         stream_windows(wire, scaler, **window_options), threshold, scaler.channels
     )

@@ -38,6 +38,21 @@ def test_nested_fields_and_kinds(spark):
     }
 
 
+def test_deeper_messages_fail(spark):
+    with pytest.raises(Exception, match="nested more than 2 levels: a_0_0"):
+        unpivot(spark, '{"event_timestamp":17,"a":[[[1,2]]],"e":4}')
+    assert unpivot(spark, '{"event_timestamp":17,"a":[[]],"b":{},"e":4}') == {(0, "e"): (4.0, None)}
+
+
+def test_pivot_needs_arrivals_and_hashes(spark):
+    rows = [("k", datetime(2024, 1, 1), "set_t", 1.0, None)]
+    df = spark.createDataFrame(rows, POINTS)
+    with pytest.raises(Exception, match="without an arrival"):
+        points.pivot(df).collect()
+    plan = points.pivot(df)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
 def test_messages_without_time_or_object_have_no_points(spark):
     assert unpivot(spark, '{"a":1}', "junk", None, "[1]", "5", '{"event_timestamp":"x","a":1}') == {}
 
@@ -73,7 +88,8 @@ def test_pivot_undoes_unpivot(spark):
         (F.col("id") * 7 % 13).cast("double").alias("set_t"),
         F.when(F.col("id") % 5 > 0, F.col("id") / 4).alias("v_t"),
     )
-    back = points.pivot(points.unpivot_columns(df)).withColumnRenamed("_time", "timestamp")
+    long = points.unpivot_columns(df.withColumn("n", F.lit(1)), arrival_col="n")
+    back = points.pivot(long).withColumnRenamed("_time", "timestamp")
     assert back.exceptAll(df).count() == 0 and df.exceptAll(back).count() == 0
 
 

@@ -43,7 +43,7 @@ def test_invalid_policy(wire, policy, count):
 
 def test_invalid_error(wire):
     with pytest.raises(Exception, match="without a value for every channel"):
-        records.read_records(wire, on_invalid="error").collect()
+        records.read_records(wire).collect()
 
 
 def test_invalid_are_counted(wire):
@@ -52,7 +52,7 @@ def test_invalid_are_counted(wire):
     valid = F.col("set_t").isNotNull() & F.col("v_t").isNotNull()
     readings.observe(seen, F.count_if(~valid).alias("invalid")).collect()
     assert seen.get["invalid"] == 4
-    checked = records.require_channels(readings, observed_as="decode")
+    checked = records.require_channels(readings, on_invalid="drop", observed_as="decode")
     assert checked.count() == 1
 
 
@@ -63,7 +63,7 @@ def test_payload_time(spark):
         (datetime(2024, 1, 1), '{"set_t":1,"v_t":2}'),
     ]
     wire = spark.createDataFrame(rows, "timestamp timestamp, value string")
-    got = records.read_records(wire, payload_time=True).collect()
+    got = records.read_records(wire, payload_time=True, on_invalid="drop").collect()
     assert [r.timestamp for r in got] == [datetime(2024, 1, 1, 0, 0, 5)]
 
 

@@ -66,15 +66,6 @@ def test_series_do_not_mix(spark):
     assert {r.id: (r.series, r.features) for r in got} == want
 
 
-def test_compat_restarts_every_batch(spark):
-    got = rows.row_sequences(readings(spark, 130), compat=True, batch_rows=50)
-    starts = [b + i for b, size in ((0, 50), (50, 50), (100, 30)) for i in range(size - 20)]
-    assert firsts(got) == [float(s) for s in starts]
-    assert len(starts) == 70
-    with pytest.raises(ValueError):
-        rows.row_sequences(readings(spark, 30), compat=True, series_keys=["id"])
-
-
 def test_nested_form(spark):
     flat = rows.row_sequences(readings(spark, 60), carry=["id"])
     nested = rows.row_sequences(readings(spark, 60), carry=["id"], flat=False)

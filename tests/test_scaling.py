@@ -44,6 +44,14 @@ def test_per_series(df):
     ]
 
 
+def test_unknown_series_stay(spark, df):
+    more = df.union(spark.createDataFrame([(4, 8, "new"), (5, 9, None)], ROWS))
+    scaled = scaling.scale(more, scaling.fit(df, series_keys=["series"]), series_keys=["series"])
+    assert scaled.count() == 6
+    unknown = values(scaled.filter("series IS NULL OR series = 'new'"), "set_t", "v_t")
+    assert unknown == [(None, None)] * 2
+
+
 def test_model_agrees_after_save_and_load(df, tmp_path):
     model = scaling.fit_model(df)
     tables.save_scaler(model, str(tmp_path / "scaler"))
