@@ -6,15 +6,27 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from seqwatch.session import scratch_path
 
+#: Removes an execution's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the folder of ``spark.checkpoint.dir`` and read it back.
 
-    Lineage ends here: a lost executor costs no more than the tasks it ran.
+    Lineage ends here: a lost executor costs no more than the tasks it ran. The shuffle files
+    that led to the table are not needed any more and go with the end of the write.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
