@@ -261,7 +261,8 @@ def remove(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), tables.text_key().alias("key_"))
     found = repeated(rows).groupBy("doc_id", "key_").agg(F.collect_list(F.struct("at", "low", "width")).alias("ranges"))
-    found = found.withColumnsRenamed({"doc_id": "id_", "key_": "k_"})
+    # Stored, so that the passes' shuffle files are gone before the texts move.
+    found = tables.stored(found, "ranges").withColumnsRenamed({"doc_id": "id_", "key_": "k_"})
     joined = rows.join(found, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("key_") == F.col("k_")), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
