@@ -1,17 +1,21 @@
 """The jobs as programs, for ``spark-submit``.
 
     app.py archive  --servers HOST --path ARCHIVE --checkpoint DIR
-    app.py fit      --path ARCHIVE --detector DIR [--as-of TIME] [--days 2] [--pca 8]
-    app.py score    --servers HOST --detector DIR --checkpoint DIR [--nested]
+    app.py fit      --path ARCHIVE --detector DIR [--as-of TIME] [--days 2] [--pca 8 | --window-mean]
+    app.py score    --servers HOST --detector DIR --checkpoint DIR [--nested] [--float32]
     app.py diagnose --servers HOST --detector DIR --checkpoint DIR
 
 Streams run until they are stopped. With ``--records`` and ``--out`` folders in place of
-``--servers`` they take record files, write message files, and end.
+``--servers`` they take record files, write message files, and end. ``--model MODULE:FUNCTION``
+names a model of your own: for ``fit`` a function of the training sequences, else one of the
+model's folder and the session.
 """
 
 from __future__ import annotations
 
 import argparse
+import importlib
+from collections.abc import Callable
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +29,12 @@ from seqwatch.sources import files, kafka
 from seqwatch.streaming import run, scoring
 
 
+def named(text: str) -> Callable:
+    """The function that ``MODULE:FUNCTION`` names."""
+    module, _, function = text.partition(":")
+    return getattr(importlib.import_module(module), function)
+
+
 def parser() -> argparse.ArgumentParser:
     root = argparse.ArgumentParser(prog="seqwatch")
     jobs = root.add_subparsers(dest="job", required=True)
@@ -38,7 +48,10 @@ def parser() -> argparse.ArgumentParser:
     fit = job("fit", "path", "detector")
     fit.add_argument("--as-of", type=datetime.fromisoformat, help="end of the history, default now")
     fit.add_argument("--days", type=float, default=names.HISTORY.days)
-    fit.add_argument("--pca", type=int, help="components; without it the window mean is the model")
+    kind = fit.add_mutually_exclusive_group()
+    kind.add_argument("--pca", type=int, default=8, help="components of the fitted model")
+    kind.add_argument("--window-mean", action="store_true", help="a model that needs no fitting")
+    kind.add_argument("--model", type=named, help="MODULE:FUNCTION that fits a model of your own")
     fit.add_argument("--drop-incomplete", action="store_true", help="leave out incomplete history rows")
     for sub in (
         job("archive", "path", "checkpoint"),
@@ -53,6 +66,8 @@ def parser() -> argparse.ArgumentParser:
         sub.add_argument("--group", help="consumer group, default one per query")
         sub.add_argument("--state-partitions", type=int)
         sub.add_argument("--nested", action="store_true", help="messages without an event time")
+        sub.add_argument("--model", type=named, help="MODULE:FUNCTION that loads a model of your own")
+        sub.add_argument("--float32", action="store_true", help="compare at single precision")
     return root
 
 
@@ -82,7 +97,7 @@ def fit(spark: SparkSession, args: argparse.Namespace) -> det.Detector:
         spark, args.path, as_of, timedelta(days=args.days), sort=False
     )
     history = records.require_channels(history, on_invalid="drop" if args.drop_incomplete else "error")
-    make_model = det.pca(args.pca) if args.pca else det.window_mean
+    make_model = args.model or (det.window_mean if args.window_mean else det.pca(args.pca))
     fitted = det.fit_detector(history, make_model)
     fitted.save(spark, args.detector)
     return fitted
@@ -97,14 +112,16 @@ def store(spark: SparkSession, args: argparse.Namespace) -> None:
 
 def score(spark: SparkSession, args: argparse.Namespace) -> None:
     wire = _records(spark, args, names.READINGS_TOPIC)
-    detector = det.Detector.load(spark, args.detector)
-    sent = scoring.message_stream(wire, detector, nested=args.nested, tie_cols=["offset"])
+    detector = det.Detector.load(spark, args.detector, args.model)
+    sent = scoring.message_stream(
+        wire, detector, nested=args.nested, float32=args.float32, tie_cols=["offset"]
+    )
     _send(sent, args, names.PREDICTIONS_TOPIC)
 
 
 def diagnose(spark: SparkSession, args: argparse.Namespace) -> None:
     wire = _records(spark, args, names.DEMO_TOPIC)
-    detector = det.Detector.load(spark, args.detector)
+    detector = det.Detector.load(spark, args.detector, args.model)
     shapes = scoring.shape_stream(wire, detector.scaler, detector.threshold, tie_cols=["offset"])
     _send(messages.diagnostic_messages(shapes, detector.channels), args, names.DIAGNOSTICS_TOPIC)
 

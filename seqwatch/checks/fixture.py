@@ -76,6 +76,36 @@ def history(df: DataFrame) -> DataFrame:
     return df.filter(F.col("topic") == names.READINGS_TOPIC)
 
 
+def jumped(readings: DataFrame) -> DataFrame:
+    """Readings with a jump of the measurement now and then, never in the history."""
+    jump = F.when(F.col("event_id") % 500 == 0, 1000).otherwise(0)
+    return readings.withColumn("v_t", F.col("v_t") + jump)
+
+
+def damaged(wire: DataFrame) -> DataFrame:
+    """Records of which some are no JSON, some lack a channel and some are empty."""
+    place = F.col("offset") % 40
+    text = F.col("value").cast("string")
+    value = (
+        F.when(place == 0, F.concat(F.lit("{"), text))
+        .when(place == 1, F.regexp_replace(text, '"v_t":[^,]*,', ""))
+        .when(place != 2, text)
+    )
+    return wire.withColumn("value", value.cast("binary"))
+
+
+def nested_wire(readings: DataFrame) -> DataFrame:
+    """Readings as JSON records whose values lie four levels down."""
+    item = F.struct(F.col("set_t").alias("c"), F.array("v_t").alias("d"))
+    message = F.struct(
+        times.epoch_text(F.col("timestamp")).alias(names.TIME_KEY),
+        F.struct(F.array(item).alias("b")).alias("a"),
+    )
+    return readings.select(
+        F.to_json(message).cast("binary").alias("value"), "topic", F.col("event_id").alias("offset")
+    )
+
+
 def wire(readings: DataFrame, key: Column | None = None) -> DataFrame:
     """Readings as Kafka records, under the fixed record key or one of their own."""
     source = readings if key is None else readings.withColumn("own_key", key.cast("string"))

@@ -74,17 +74,28 @@ FITTED = ",\n".join(
         "thr AS (SELECT max(e0) AS t0, max(e1) AS t1 FROM train_errors)",
     ]
 )
-SCORED = ",\n".join(
-    [
-        FITTED,
-        scaled("sensor", "hist"),
-        windowed(),
-        errors("win", "ws", "win_errors", " WHERE n >= 20"),
-        """scores AS (
+JUMPED = """jumped AS (
+  SELECT * REPLACE (v_t + CASE WHEN event_id % 500 = 0 THEN 1000 ELSE 0 END AS v_t) FROM sensor)"""
+
+
+def scored(source: str = "sensor", *before: str) -> str:
+    """CTEs up to ``scores``: every complete window of a relation, judged by the history."""
+    return ",\n".join(
+        [
+            FITTED,
+            *before,
+            scaled(source, "hist"),
+            windowed(),
+            errors("win", "ws", "win_errors", " WHERE n >= 20"),
+            """scores AS (
   SELECT ws, ws + 20 AS we, e0 > t0 OR e1 > t1 AS flag, e0, e1, t0, t1
   FROM win_errors CROSS JOIN thr)""",
-    ]
-)
+        ]
+    )
+
+
+SCORED = scored()
+JUMP_SCORED = scored("jumped", JUMPED)
 SCORE_COLUMNS = """ws AS window_start, we AS window_end, flag AS is_anomaly,
        round(e0, 9) AS mae_set_t, round(e1, 9) AS mae_v_t,
        round(t0, 9) AS threshold_set_t, round(t1, 9) AS threshold_v_t"""
@@ -158,6 +169,10 @@ ALL: dict[str, str] = {
 SELECT event_id AS "offset", t AS event_time, set_t, v_t FROM sensor""",
     "decode_payload_time": f"""WITH {SENSOR}
 SELECT event_id AS "offset", t AS event_time, set_t, v_t FROM sensor""",
+    "damaged_records": f"""WITH {SENSOR}
+SELECT event_id AS "offset", t AS event_time,
+       CASE WHEN event_id % 40 NOT IN (0, 2) THEN set_t END AS set_t,
+       CASE WHEN event_id % 40 > 2 THEN v_t END AS v_t FROM sensor""",
     "encode_records": f"""WITH {SENSOR}
 SELECT event_id, 'modb_temp' AS key, {MESSAGE} AS message, t AS event_time FROM sensor""",
     "encode_records_plain": f"""WITH {SENSOR}
@@ -171,6 +186,9 @@ WHERE event_type IN ('click', 'error')""",
 SELECT 'kafka_consumer' AS measurement, topic AS key, t AS point_time, field, value,
        event_id AS arrival FROM points""",
     "points_unpivot_nested": NESTED,
+    "points_unpivot_deep": f"""WITH {SENSOR}
+SELECT topic AS key, t AS point_time, 'a_b_0_c' AS field, CAST(set_t AS DOUBLE) AS value FROM sensor
+UNION ALL SELECT topic, t, 'a_b_0_d_0', CAST(v_t AS DOUBLE) FROM sensor""",
     "points_pivot": f"""WITH {SENSOR}
 SELECT topic AS key, t AS point_time, CAST(set_t AS DOUBLE) AS set_t, CAST(v_t AS DOUBLE) AS v_t
 FROM sensor""",
@@ -197,6 +215,10 @@ FROM sensor GROUP BY user_id""",
     "minmax_scale": f"WITH {SENSOR}, {scaled()}\nSELECT {SCALE_COLUMNS} FROM scaled",
     "minmax_scale_by_series": f"""WITH {SENSOR}, {scaled(by="user_id")}
 SELECT user_id, {SCALE_COLUMNS} FROM scaled""",
+    "minmax_scale_unseen_series": f"""WITH {SENSOR},
+seen AS (SELECT * FROM sensor WHERE series <> 3), {scaled(bounds_of="seen", by="series")},
+every AS (SELECT s.event_id, s.series, x0, x1 FROM sensor s LEFT JOIN scaled USING (event_id))
+SELECT series, {SCALE_COLUMNS} FROM every""",
     "scaler_model_roundtrip": f"WITH {SENSOR}, {scaled()}\nSELECT {SCALE_COLUMNS} FROM scaled",
     "vector_assembly": f"""WITH {SENSOR}, {scaled()}
 SELECT {SCALE_COLUMNS}, CAST(t AS DOUBLE) AS epoch_seconds FROM scaled""",
@@ -229,6 +251,11 @@ FROM seq""",
     "row_sequences_keyed": f"""WITH {SENSOR}, {scaled()},
 {row_windowed("scaled", "us, event_id", by="user_id")}
 SELECT user_id, first_event, {DIGESTS} FROM seq GROUP BY user_id, first_event""",
+    "training_pairs": f"""WITH {SENSOR}, {scaled()}, {row_windowed("scaled", "t, event_id")}
+SELECT first_event, CAST(2 * count(*) AS INTEGER) AS n,
+       round(sum(x0 * (2 * pos + 1) + x1 * (2 * pos + 2)), 9) AS features,
+       round(sum(x0 * (2 * pos + 1) + x1 * (2 * pos + 2)), 9) AS labels
+FROM seq GROUP BY first_event""",
     "fit_split_preview": f"""WITH {SENSOR}, {scaled()}, {row_windowed("scaled", "t, event_id")},
 firsts AS (SELECT DISTINCT first_event FROM seq ORDER BY first_event LIMIT 2)
 SELECT first_event, CAST(2 * pos + c AS INTEGER) AS pos,
@@ -243,6 +270,7 @@ SELECT round(t0, 9) AS threshold_set_t, round(t1, 9) AS threshold_v_t FROM thr""
     "anomaly_scores": f"""WITH {SCORED}
 SELECT strftime(make_timestamp(we * 1000000), '%Y-%m-%d %H:%M:%S') AS window_key, {SCORE_COLUMNS}
 FROM scores""",
+    "anomaly_scores_jumps": f"WITH {JUMP_SCORED}\nSELECT {SCORE_COLUMNS} FROM scores",
     "anomaly_scores_by_series": f"""WITH {SENSOR}, {HISTORY},
 {scaled("sensor", "hist", by="series")},
 past AS (SELECT * FROM scaled WHERE topic = 'temperature_modbus'),
@@ -269,6 +297,19 @@ SELECT ws AS window_start, ws + 20 AS window_end,
        round(avg(abs(x0 / 2 - x0)), 12) > 0.2 OR round(avg(abs(x1 / 2 - x1)), 12) > 0.02
          AS "isAnomaly",
        round(avg(abs(x0 / 2 - x0)), 9) AS mae_set_t, round(avg(abs(x1 / 2 - x1)), 9) AS mae_v_t
+FROM win GROUP BY ws HAVING count(*) >= 20""",
+    "pca_fixed_basis": f"""WITH {SENSOR}, {scaled()}, {windowed()},
+y AS (SELECT ws, pos - 9.5 AS p, x0 - 0.1 * (1 - 2 * (pos % 2)) AS y0,
+             x1 - 0.1 * (1 - 2 * (pos % 2)) AS y1 FROM win WHERE n >= 20),
+line AS (SELECT ws, avg(y0) AS m0, avg(y1) AS m1, sum(p * y0) / 665 AS s0, sum(p * y1) / 665 AS s1
+         FROM y GROUP BY ws),
+found AS (SELECT ws, avg(abs(y0 - m0 - s0 * p)) AS e0, avg(abs(y1 - m1 - s1 * p)) AS e1
+          FROM y JOIN line USING (ws) GROUP BY ws)
+SELECT ws AS window_start, ws + 20 AS window_end,
+       round(e0, 12) > 0.2537 OR round(e1, 12) > 1.0 AS "isAnomaly",
+       round(e0, 9) AS mae_set_t, round(e1, 9) AS mae_v_t FROM found""",
+    "pca_full_rank": f"""WITH {SENSOR}, {scaled()}, {windowed()}
+SELECT ws AS window_start, CAST(0 AS DOUBLE) AS mae_set_t, CAST(0 AS DOUBLE) AS mae_v_t
 FROM win GROUP BY ws HAVING count(*) >= 20""",
     "fit_detector": f"""WITH {FITTED}
 SELECT 'set_t' AS channel, CAST(a0 AS DOUBLE) AS low, CAST(b0 AS DOUBLE) AS high,
@@ -286,6 +327,13 @@ SELECT {message_columns()}, we AS event_time FROM sent {CLOSED}""",
 SELECT {message_columns()}, false AS has_event_time FROM sent {CLOSED}""",
     "stream_late_drop": STREAM_SCORES,
     "stream_lifecycle": STREAM_SCORES,
+    "stream_scores_jumps": f"WITH {JUMP_SCORED}\nSELECT {SCORE_COLUMNS} FROM scores {CLOSED}",
+    "stream_user_model": f"""WITH {SENSOR}, {scaled()}, {windowed()},
+halved AS (SELECT ws, round(avg(abs(x0 / 2 - x0)), 12) AS e0, round(avg(abs(x1 / 2 - x1)), 12) AS e1
+           FROM win GROUP BY ws HAVING count(*) >= 20),
+scores AS (SELECT ws, ws + 20 AS we, e0 > 0.2537 OR e1 > 1.0 AS flag, e0, e1,
+                  CAST(0.2537 AS DOUBLE) AS t0, CAST(1.0 AS DOUBLE) AS t1 FROM halved)
+SELECT {SCORE_COLUMNS} FROM scores {CLOSED}""",
     "stream_shapes": f"""WITH {SENSOR}, {scaled()}, {windowed()}
 SELECT {stamp("ws")} AS window_start, {stamp("ws + 20")} AS window_end,
        '(' || count(*) || ', 2)' AS shape_before, '(1, ' || count(*) || ', 2)' AS shape_after,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime, timedelta, timezone
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from seqwatch import names
@@ -147,9 +148,28 @@ def topic_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen.select("event_id", F.col("event_type").alias("topic"))
 
 
+@query
+def damaged_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unreadable and incomplete records stay, with nulls, if asked for."""
+    wire = fixture.damaged(fixture.wire(fixture.readings(spark, sf_dir)))
+    kept = records.read_records(wire, carry=["offset"], on_invalid="keep")
+    return kept.select("offset", epoch("timestamp").alias("event_time"), "set_t", "v_t")
+
+
 # Points
 
 
+@query
+def points_unpivot_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wire = fixture.nested_wire(fixture.readings(spark, sf_dir))
+    return points.unpivot_json(wire, depth=4).select(
+        "key",
+        epoch("_time").alias("point_time"),
+        F.col("_field").alias("field"),
+        F.col("_value").alias("value"),
+    )
+
+
 @query
 def points_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     wire = fixture.wire(fixture.readings(spark, sf_dir))
@@ -262,6 +282,19 @@ def minmax_scale_by_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def minmax_scale_unseen_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounds that miss a series: its rows stay, with null channels."""
+    df = fixture.keyed_readings(spark, sf_dir)
+    bounds = tables.stored(
+        scaling.fit(df.filter("series != 3"), series_keys=["series"]), scratch_path(spark, "bounds")
+    )
+    scaled = scaling.scale(df, bounds, series_keys=["series"])
+    return scaled.select(
+        "event_id", "series", *[rounded(c).alias(f"scaled_{c}") for c in names.CHANNELS]
+    )
+
+
 @query
 def scaler_model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = fixture.readings(spark, sf_dir)
@@ -405,6 +438,24 @@ def row_sequences_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def training_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both sides of every pair, each as a number that depends on all its values."""
+    found = rows.row_sequences(
+        scaled_readings(fixture.readings(spark, sf_dir)), order_by=["timestamp", "event_id"]
+    )
+    pairs = rows.as_training_pairs(found, partitions=4, carry=["event_id"])
+
+    def weighted(side: str) -> Column:
+        terms = F.transform(side, lambda x, i: x * (i + 1))
+        return rounded(F.aggregate(terms, F.lit(0.0), lambda a, v: a + v)).alias(side)
+
+    return pairs.select(
+        F.col("event_id").alias("first_event"), F.size("labels").alias("n"),
+        weighted("features"), weighted("labels"),
+    )
+
+
 @query
 def fit_split_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rows.row_sequences(
@@ -459,6 +510,18 @@ def anomaly_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def anomaly_scores_jumps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows with and without anomalies; the unscored ones come along and are dropped."""
+    scored = plan.score_readings(
+        fixture.jumped(fixture.readings(spark, sf_dir)),
+        fitted(spark, sf_dir),
+        tie_cols=["event_id"],
+        keep_incomplete=True,
+    )
+    return scoring.unpack_scores(scoring.as_score_struct(scored)).select(*score_columns())
+
+
 @query
 def anomaly_scores_by_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bounds per series by join and the threshold by subquery, all lazy."""
@@ -554,6 +617,44 @@ def pca_reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.flatten_window(plan.score_readings(df, detector)).select(*score_columns())
 
 
+@query
+def pca_fixed_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reconstruction from mean and trend of each channel, about a centre outside that space."""
+    steps, width = names.STEPS, len(names.CHANNELS)
+    basis = np.zeros((steps * width, 2 * width))
+    trend = np.arange(steps) - (steps - 1) / 2
+    for c in range(width):
+        basis[c::width, 2 * c] = 1 / np.sqrt(steps)
+        basis[c::width, 2 * c + 1] = trend / np.sqrt((trend**2).sum())
+    center = np.repeat(0.1 * (-1.0) ** np.arange(steps), width)
+    path = scratch_path(spark, "model")
+    models.PcaReconstruction(center, basis).save(path, spark)
+    model = models.PcaReconstruction.load(path, spark)
+    windowed = windows.sliding_sequences(scaled_readings(fixture.readings(spark, sf_dir)))
+    return scoring.score(windowed, model, [0.2537, 1.0]).select(
+        *window_bounds(),
+        "isAnomaly",
+        rounded("mae_set_t").alias("mae_set_t"),
+        rounded("mae_v_t").alias("mae_v_t"),
+    )
+
+
+@query
+def pca_full_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many fitted components as values: every window comes back as it was."""
+    df = fixture.readings(spark, sf_dir)
+    detector = det.fit_detector(
+        fixture.history(df),
+        det.pca(names.STEPS * len(names.CHANNELS)),
+        order_by=["timestamp", "event_id"],
+    )
+    return plan.flatten_window(plan.score_readings(df, detector)).select(
+        epoch("window_start").alias("window_start"),
+        rounded("mae_set_t").alias("mae_set_t"),
+        rounded("mae_v_t").alias("mae_v_t"),
+    )
+
+
 @query
 def fit_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "detector")
@@ -664,6 +765,45 @@ def stream_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out).select(*score_columns())
 
 
+@query
+def stream_scores_jumps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four batches from four partitions of a topic; at their borders, records come out of order."""
+    wire = fixture.wire(fixture.jumped(fixture.readings(spark, sf_dir)))
+    wire = wire.withColumn("partition", (F.col("offset") % 4).cast("int"))
+    span = wire.agg(F.min("timestamp").alias("a"), F.max("timestamp").alias("b")).first()
+    source, out = scratch_path(spark, "records"), scratch_path(spark, "scores")
+    checkpoint = scratch_path(spark, "stream")
+    detector = fitted(spark, sf_dir)
+    # A record comes up to two seconds late, within the watermark.
+    arrives = F.unix_seconds("timestamp") + F.col("offset") % 3
+    first, length = F.unix_seconds(F.lit(span.a)), (span.b - span.a).total_seconds()
+    batch = F.least(F.floor((arrives - first) * 4 / F.lit(length)), F.lit(3))
+    for part in range(4):
+        wire.filter(batch == part).write.mode("append").parquet(source)
+        scored = streams.score_stream(
+            files.stream_records(spark, source, wire.schema), detector, tie_cols=["partition", "offset"]
+        )
+        _finish(spark, scored, checkpoint, out)
+    return spark.read.parquet(out).select(*score_columns())
+
+
+@query
+def stream_user_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plugged model on the stream."""
+    bounds = scaling.fit(fixture.readings(spark, sf_dir))
+    detector = det.Detector(
+        scaling.MinMaxParams.of_row(bounds, names.CHANNELS),
+        models.BatchModel(lambda: lambda x: x / 2),
+        (0.2537, 1.0),
+    )
+    scored = streams.score_stream(
+        fixture.wire_stream(spark, sf_dir), detector, tie_cols=["offset"]
+    )
+    out = scratch_path(spark, "scores")
+    _finish(spark, scored, scratch_path(spark, "stream"), out)
+    return spark.read.parquet(out).select(*score_columns())
+
+
 @query
 def stream_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounds = scaling.fit(fixture.readings(spark, sf_dir))

@@ -2,40 +2,84 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seqwatch import names
 from seqwatch.functions import sequences, times
 from seqwatch.operators.once import add_once
-from seqwatch.session import ensure_checkpoint_dir
 
 
-def row_index(df: DataFrame, order_by: Sequence[str], name: str = "row_index") -> DataFrame:
-    """Number all rows from 0 in the total order ``order_by``, without a single-task sort.
+#: Sampled rows per bucket; more make the buckets more even.
+SAMPLED = 64
+
+
+def _bounds(df: DataFrame, key: Column, buckets: int) -> Column:
+    """The keys between buckets, ascending, in groups of about the root of their number.
 
-    Rows are range-partitioned and sorted, which balances them whatever the
-    values are, as long as ``order_by`` has few full ties. The checkpoint pins
-    which row sits where, so that counting and numbering agree even when a task
-    is run again elsewhere. Offsets are one row per partition.
+    A scalar subquery over the ``SAMPLED * buckets`` rows with the smallest hash of the key.
+    Which rows these are depends on nothing but the rows, so every use sees the same bounds.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    pinned = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by).checkpoint()
-    # The id holds the partition in its upper 31 bits, the place within it below.
-    placed = pinned.withColumn("_id", F.monotonically_increasing_id()).withColumn(
-        "_part", F.shiftright("_id", 33)
+    drawn = df.select(key.alias("_k"), F.xxhash64(key).alias("_h"))
+    drawn = drawn.orderBy("_h", "_k").limit(SAMPLED * buckets)
+    ordered = F.array_sort(F.collect_list("_k"))
+    width = math.isqrt(buckets - 1) + 1
+    picked = drawn.agg(ordered.alias("k")).select(
+        F.filter(
+            F.transform(
+                F.sequence(F.lit(1), F.lit(buckets - 1)),
+                lambda i: F.get("k", (i * F.size("k") / buckets).cast("int")),
+            ),
+            lambda b: b.isNotNull(),
+        ).alias("k")
     )
-    preceding = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = F.filter(
+        F.sequence(F.lit(1), F.lit(buckets), F.lit(width)), lambda i: i <= F.size("k")
+    )
+    return picked.select(F.transform(starts, lambda i: F.slice("k", i, width))).scalar()
+
+
+def row_index(
+    df: DataFrame, order_by: Sequence[str], name: str = "row_index", buckets: int | None = None
+) -> DataFrame:
+    """Number all rows from 0 in the total order ``order_by``, without a single-task sort.
+
+    Rows are dealt to buckets by bounds taken from the rows themselves, which balances them
+    whatever the values are, as long as ``order_by`` has few full ties. A bucket is numbered
+    from the count of rows before it. Nothing is pinned or written: bounds, counts and numbers
+    come out the same if a task is run again elsewhere. Rows equal in ``order_by`` are numbered
+    by their other columns.
+    """
+    buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = F.struct(*order_by)
+    placed = df
+    if buckets > 1:
+        groups = F.col("_groups")
+        group = F.size(F.filter(groups, lambda g: g[0] <= key))
+        inside = F.size(F.filter(F.get(groups, group - 1), lambda b: b <= key))
+        width = math.isqrt(buckets - 1) + 1
+        bucket = F.when(group > 0, (group - 1) * width + inside).otherwise(0)
+        placed = add_once(df.withColumn("_groups", _bounds(df, key, buckets)), {"_bucket": bucket})
+        placed = placed.drop("_groups")
+    else:
+        placed = df.withColumn("_bucket", F.lit(0))
+    preceding = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per bucket, which bounds both the window and the broadcast.
     offsets = (
-        placed.groupBy("_part")
+        placed.groupBy("_bucket")
         .agg(F.count(F.lit(1)).alias("_n"))
-        .select("_part", F.coalesce(F.sum("_n").over(preceding), F.lit(0)).alias("_offset"))
+        .select("_bucket", F.coalesce(F.sum("_n").over(preceding), F.lit(0)).alias("_offset"))
     )
+    unordered = ("map", "variant")
+    ties = [f.name for f in df.schema if f.name not in order_by and f.dataType.typeName() not in unordered]
+    place = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order_by, *ties))
     return (
-        placed.join(F.broadcast(offsets), "_part")
-        .withColumn(name, F.col("_offset") + F.col("_id").bitwiseAND((1 << 33) - 1))
-        .drop("_id", "_part", "_offset")
+        placed.withColumn("_place", place)
+        .join(F.broadcast(offsets), "_bucket")
+        .withColumn(name, F.col("_offset") + F.col("_place") - 1)
+        .drop("_bucket", "_place", "_offset")
     )
 
 

@@ -13,14 +13,47 @@ from pyspark.sql.streaming import StreamingQuery
 from seqwatch import names
 from seqwatch.sinks import tables
 
+#: How often a running query is asked for its progress.
+POLL_SECONDS = 1
+
 
 @dataclass(frozen=True)
 class RunReport:
-    """Counts over the micro-batches of one run, as far as progress is kept."""
+    """Counts over the micro-batches of one run; ``complete`` is false if some were missed."""
+
+    input_rows: int = 0
+    dropped_by_watermark: int = 0
+    invalid: int = 0
+    complete: bool = True
+
+
+class Progress:
+    """Adds up a query's micro-batches while it runs.
+
+    Spark keeps the last updates of a query only, so ``update`` has to be called more often
+    than that many batches end. A batch that went unseen makes the report incomplete.
+    """
 
-    input_rows: int
-    dropped_by_watermark: int
-    invalid: int
+    def __init__(self) -> None:
+        self.report = RunReport()
+        self._last: tuple[int, str] | None = None
+
+    def update(self, query: StreamingQuery) -> RunReport:
+        for progress in query.recentProgress:
+            place = (progress.batchId, progress.timestamp)
+            if self._last and place <= self._last:
+                continue
+            missed = progress.batchId > self._last[0] + 1 if self._last else False
+            self._last = place
+            observed = progress.observedMetrics.get("decode")
+            late = sum(op.numRowsDroppedByWatermark for op in progress.stateOperators)
+            self.report = RunReport(
+                self.report.input_rows + progress.numInputRows,
+                self.report.dropped_by_watermark + late,
+                self.report.invalid + ((observed.invalid or 0) if observed else 0),
+                self.report.complete and not missed,
+            )
+        return self.report
 
 
 @contextmanager
@@ -90,18 +123,10 @@ def to_archive(points: DataFrame, path: str, checkpoint: str, **kw) -> Streaming
 def run_to_end(df: DataFrame, path: str, checkpoint: str, **kw) -> RunReport:
     """Process the available input into Parquet files at ``path`` and wait."""
     query = start(df, checkpoint, format="parquet", path=path, finish=True, **kw)
-    query.awaitTermination()
-    return report(query)
-
-
-def report(query: StreamingQuery) -> RunReport:
-    seen = dropped = invalid = 0
-    for progress in query.recentProgress:
-        seen += progress.numInputRows
-        dropped += sum(op.numRowsDroppedByWatermark for op in progress.stateOperators)
-        observed = progress.observedMetrics.get("decode")
-        invalid += (observed.invalid or 0) if observed else 0
-    return RunReport(seen, dropped, invalid)
+    progress = Progress()
+    while not query.awaitTermination(POLL_SECONDS):
+        progress.update(query)
+    return progress.update(query)
 
 
 def wait(query: StreamingQuery, timeout: float | None = None) -> bool:

@@ -13,7 +13,7 @@ def call(spark, *argv):
     return app.JOBS[args.job](spark, args)
 
 
-@pytest.mark.parametrize("model", [[], ["--pca", "4"]])
+@pytest.mark.parametrize("model", [["--window-mean"], ["--pca", "4"], []])
 def test_archive_fit_score_diagnose(spark, tmp_path, model):
     wire(spark, range(300)).coalesce(1).write.parquet(f"{tmp_path}/records")
     path, detector = f"{tmp_path}/archive", f"{tmp_path}/detector"
@@ -40,4 +40,5 @@ def test_arguments():
     with pytest.raises(SystemExit):
         app.parser().parse_args(["score", "--detector", "d", "--checkpoint", "c"])
     args = app.parser().parse_args(["fit", "--path", "p", "--detector", "d"])
-    assert (args.days, args.pca) == (2, None)
+    assert (args.days, args.pca, args.window_mean) == (2, 8, False)
+    assert app.named("seqwatch.plans.detector:window_mean")(None).channels == 2
