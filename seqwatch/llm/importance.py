@@ -63,6 +63,40 @@ def count(docs: DataFrame, target: Column, n_buckets: int = BUCKETS) -> tuple[np
     return raw, wanted
 
 
+#: Bits of the filter that spares unlabelled texts the join; fixed, so 1 MB whatever the corpus.
+FILTER_BITS = 1 << 23
+WORD = 64
+
+
+def possible(ids: DataFrame, bits: int = FILTER_BITS) -> Column:
+    """Whether ``doc_id`` may be among ``ids``: true for all of them, and by chance for others."""
+    at = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(bits))
+    place, shift = F.floor(at / WORD).cast("int"), (at % WORD).cast("int")
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), shift)
+    some = ids.select(place.alias("place"), mask.alias("w"))
+    none = ids.sparkSession.range(bits // WORD).select(F.col("id").cast("int").alias("place"), F.lit(0).cast("long").alias("w"))
+    full = some.union(none).groupBy("place").agg(F.bit_or("w").alias("w"))
+    ordered = F.array_sort(F.collect_list(F.struct("place", "w")))  # bits // WORD rows
+    words = tables.stored(full.agg(F.transform(ordered, lambda x: x["w"]).alias("words")), "target-filter")
+    return F.element_at(words.scalar(), place + 1).bitwiseAND(mask) != 0
+
+
+def marked(docs: DataFrame, ids: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """All rows of ``docs`` with ``target_``: whether their ``doc_id`` is among ``ids``.
+
+    Only texts that pass a filter of ``bits`` bits are joined; the others stay where they are.
+    With far more ids than bits all texts are joined. A null id is not among any; repeated
+    rows and ids change nothing.
+    """
+    docs = docs.drop("target_")
+    ids = tables.stored(ids.select(F.col("doc_id").cast("long")).filter("doc_id IS NOT NULL").distinct(), "target-ids")
+    likely = possible(ids, bits)
+    found = ids.select(F.col("doc_id").alias("target_id_"))
+    joined = docs.filter(likely).join(found, F.col("doc_id").cast("long") == F.col("target_id_"), "left")
+    joined = joined.withColumn("target_", F.col("target_id_").isNotNull()).drop("target_id_")
+    return joined.unionByName(docs.filter(~likely).withColumn("target_", F.lit(False)))
+
+
 def log_ratio(raw: np.ndarray, wanted: np.ndarray, smoothing: float = SMOOTHING) -> np.ndarray:
     """Per bucket, log of the target's smoothed probability over the raw corpus's."""
     p = (wanted + smoothing) / (wanted.sum() + smoothing * len(wanted))

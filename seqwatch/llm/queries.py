@@ -67,10 +67,9 @@ FROM p LEFT JOIN f USING (payload_digest)
 
 @query
 def op3_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    good = tables.read(spark, sf_dir, "labels").filter("quality = 1").select("doc_id").distinct()
+    good = tables.read(spark, sf_dir, "labels").filter("quality = 1")
     docs = tables.read(spark, sf_dir, "documents").select("doc_id", "text")
-    marked = docs.join(good.withColumn("good_", F.lit(True)), "doc_id", "left")
-    return importance.resample(docs, marked, F.col("good_"))
+    return importance.resample(docs, importance.marked(docs, good), F.col("target_"))
 
 
 @query

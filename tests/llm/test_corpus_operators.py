@@ -201,6 +201,17 @@ def test_threshold_is_the_kth_largest(spark):
     assert importance.threshold(df, "x", 510) == -np.inf
 
 
+def test_resampling_marks_targets(spark):
+    docs = spark.createDataFrame([(i % 300, f"text {i}") for i in range(400)] + [(None, None)], "doc_id long, text string")
+    ids = spark.createDataFrame([(i,) for i in range(0, 600, 3)] * 2 + [(None,)], "doc_id int")
+    for bits in (64, 4096):  # nearly all texts joined, and few
+        got = importance.marked(docs, ids, bits).collect()
+        assert sorted((r.text or "", r.target_) for r in got) == sorted(
+            [(f"text {i}", i % 300 % 3 == 0) for i in range(400)] + [("", False)]
+        )
+        assert {r.target_ for r in importance.marked(docs, ids.limit(0), bits).collect()} == {False}
+
+
 def test_resampling_prefers_target_text(spark, none, odd):
     rows = [(i, ("good fine text " if i % 4 == 0 else "bad poor words ") * (5 + i % 3)) for i in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
