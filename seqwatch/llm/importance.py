@@ -91,7 +91,8 @@ def marked(docs: DataFrame, ids: DataFrame, bits: int = FILTER_BITS) -> DataFram
     docs = docs.drop("target_")
     ids = tables.stored(ids.select(F.col("doc_id").cast("long")).filter("doc_id IS NOT NULL").distinct(), "target-ids")
     likely = possible(ids, bits)
-    found = ids.select(F.col("doc_id").alias("target_id_"))
+    # Never broadcast: the ids grow with the corpus, and their compressed files tell too little of their size.
+    found = ids.select(F.col("doc_id").alias("target_id_")).hint("merge")
     joined = docs.filter(likely).join(found, F.col("doc_id").cast("long") == F.col("target_id_"), "left")
     joined = joined.withColumn("target_", F.col("target_id_").isNotNull()).drop("target_id_")
     return joined.unionByName(docs.filter(~likely).withColumn("target_", F.lit(False)))
