@@ -1,8 +1,8 @@
 """Document fingerprints by one-permutation MinHash.
 
 Five-word shingles are hashed once. The hash's top bits choose one of ``BINS`` bins, and a bin
-keeps its smallest hash. An empty bin borrows from another, found by a sequence of hashed
-tries that depends on the bin alone (optimal densification), so that two documents borrow
+keeps its smallest hash. An empty bin borrows from another, the first filled one in an order
+of all bins that depends on the bin alone (optimal densification), so that two documents borrow
 alike. Only the ``BITS`` lowest bits of each bin are stored, as hexadecimal text; the estimate
 of likeness is corrected for bins that agree by chance.
 """
@@ -22,13 +22,12 @@ from seqwatch.llm import kernels, tables
 
 BINS = 256
 BITS = 4
-TRIES = 64
 
 
 def _tries(bins: int) -> np.ndarray:
-    """``[t, b]``: the bin that empty bin ``b`` asks at try ``t``."""
-    codes = np.arange(TRIES * bins, dtype=np.uint64) + np.uint64(1 << 40)
-    return (kernels.mix(codes) % np.uint64(bins)).astype(np.int64).reshape(TRIES, bins)
+    """``[t, b]``: the bin that empty bin ``b`` asks at try ``t``; each bin once, so that a filled one is found."""
+    codes = np.arange(bins * bins, dtype=np.uint64) + np.uint64(1 << 40)
+    return np.argsort(kernels.mix(codes).reshape(bins, bins), axis=0)
 
 
 def densified(sorted_hashes: np.ndarray, bins: int = BINS, tries: np.ndarray | None = None) -> np.ndarray | None:
@@ -48,9 +47,6 @@ def densified(sorted_hashes: np.ndarray, bins: int = BINS, tries: np.ndarray | N
         found = filled[asked]
         source[empty[found]] = asked[found]
         empty = empty[~found]
-    full = np.flatnonzero(filled)
-    if len(empty):  # few bins are filled: the next one in order
-        source[empty] = full[np.searchsorted(full, empty) % len(full)]
     return kept[source]
 
 

@@ -21,8 +21,14 @@ the first two steps of its path: classes of similarity J share it with probabili
    spared where earlier ones have connected its ends. The links that hold give the components.
 
 Sketches of a pair on the threshold agree on 192 of 256 places on average, with a standard
-deviation of 7; pairs under ``LEAST_AGREE`` are passed over. All trees miss such a pair with a
-probability under 0.00001, and a component mostly has more than one way to hold together.
+deviation of 6.2 for sets of 1200 shingles and 7.9 for sets of 64 (5000 simulated pairs each);
+pairs under ``LEAST_AGREE``, over five deviations below, are passed over. If places were
+independent, no tree would name such a pair with a probability of 0.000002.
+
+A set of fewer than ``EXACT`` shingles fills few places, the others repeat them, and one foreign
+shingle can spoil many at once. Pairs with such a set do not depend on sketches: *prefixes* finds
+all of them that the stars have not joined. Of two sets on the threshold each lacks a quarter of
+its shingles at most, so they share one of the rarest quarter, and sets that do are counted out.
 """
 
 from __future__ import annotations
@@ -32,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seqwatch.llm import fingerprints, kernels, tables
 
@@ -42,8 +48,9 @@ TREES = 16
 SMALL = 4096
 BRANCHES = 3
 DEPTH = 3
-LEAST_AGREE = 161
+LEAST_AGREE = 150
 LEAST_TREES = 4
+EXACT = 64
 
 ROWS = "doc_id long, key_ long, n_shingles long, set_a long, set_b long, sketch binary, roots array<long>"
 
@@ -127,6 +134,12 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def _root(parent: list[int], x: int) -> int:
+    while parent[x] != x:
+        parent[x] = x = parent[parent[x]]
+    return x
+
+
 def components(links: DataFrame) -> DataFrame:
     """``rep, component`` for every class in a link: the smallest class reachable.
 
@@ -228,14 +241,8 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reps, packed = node.column("rep").to_numpy(), node.column("packed")
         names, group = np.unique(node.column("component").to_numpy(), return_inverse=True)
         parent, sets_, out = list(range(len(names))), {}, []
-
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = x = parent[parent[x]]
-            return x
-
         for a, b in zip(i[order].tolist(), j[order].tolist()):
-            ra, rb = root(int(group[a])), root(int(group[b]))
+            ra, rb = _root(parent, int(group[a])), _root(parent, int(group[b]))
             if ra != rb:
                 for x in (a, b):
                     if x not in sets_:
@@ -292,6 +299,80 @@ def _in_blocks(large: DataFrame) -> DataFrame:
     return rows.select(pair.alias("node"), "rep", "component", side.cast("int").alias("side"), "tree")
 
 
+def _common(sets_: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """For each set but the last, how many members it shares with every set."""
+    sizes = [len(s) for s in sets_]
+    ends = np.cumsum(sizes)
+    number = np.unique(np.concatenate(sets_), return_inverse=True)[1]
+    order = np.argsort(number, kind="stable")
+    holders = np.repeat(np.arange(len(sets_)), sizes)[order]
+    bounds = np.searchsorted(number[order], np.arange(number.max() + 2))
+    for i in range(len(sets_) - 1):
+        lists = [holders[bounds[t] : bounds[t + 1]] for t in number[ends[i] - sizes[i] : ends[i]]]
+        yield np.bincount(np.concatenate(lists), minlength=len(sets_))
+
+
+def _small_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of nodes of small sets, all counted on full sets, unless their ends are connected already."""
+    for node in _nodes(batches):
+        reps, side = node.column("rep").to_numpy(), node.column("side").to_numpy()
+        sets_ = [_set(x.as_py()) for x in node.column("packed")]
+        sizes = np.array([len(s) for s in sets_])
+        names, group = np.unique(node.column("component").to_numpy(), return_inverse=True)
+        parent, out = list(range(len(names))), []
+        for i, common in enumerate(_common(sets_)):
+            fits = (100 * common >= THRESHOLD * (sizes[i] + sizes - common)) & (group != group[i])
+            fits &= (side != side[i]) | (side[i] < 0)
+            fits[:i] = False
+            for j in np.flatnonzero(fits).tolist():
+                ra, rb = _root(parent, int(group[i])), _root(parent, int(group[j]))
+                if ra != rb:
+                    parent[ra] = rb
+                    out.append((min(reps[i], reps[j]), max(reps[i], reps[j])))
+        if out:
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
+
+
+def may_be_small(n_shingles: Column) -> Column:
+    """Whether a set is small, or of a size that a small one can be similar to."""
+    return THRESHOLD * n_shingles <= 100 * (EXACT - 1)
+
+
+def prefixes(classes: DataFrame, texts: DataFrame, so_far: DataFrame) -> DataFrame:
+    """Links ``a, b`` between different components: all pairs of a small set, without sketches.
+
+    Shingles are ordered by the number of sets that have them, then by hash. A set of n goes to
+    the nodes of its first n - ceil(n * THRESHOLD / 100) + 1, without those that no other has.
+    """
+    small = classes.filter(may_be_small(F.col("n_shingles"))).select("rep")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets_ = [_set(x.as_py()) for x in batch.column("packed")]
+            if sets_:
+                sizes = [len(s) for s in sets_]
+                columns = np.repeat(batch.column("rep").to_numpy(), sizes), np.repeat(sizes, sizes), np.concatenate(sets_).view(np.int64)
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["rep", "n", "node"])
+
+    tokens = texts.join(small, "rep").select("rep", "packed").mapInArrow(run, "rep long, n long, node long")
+    tokens = tables.stored(tokens, "small-shingles")
+    often = tokens.groupBy("node").agg(F.count("*").alias("often")).filter("often > 1")
+    own = Window.partitionBy("rep")  # EXACT * 4 / 3 rows at most
+    met = tokens.join(often, "node").withColumns({
+        "alone": F.col("n") - F.count("*").over(own), "at": F.row_number().over(own.orderBy("often", "node")),
+    })
+    least = F.floor((F.col("n") * THRESHOLD + 99) / 100)
+    nodes = met.filter(F.col("alone") + F.col("at") <= F.col("n") - least + 1).select("node", "rep")
+    members = nodes.join(so_far, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    members = tables.stored(members.select("node", "rep", "component"), "small-nodes")
+    sizes = members.groupBy("node").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+    members = members.join(sizes.filter("low <> high").select("node", "n"), "node").withColumn("tree", F.lit(TREES))
+    fits = members.filter(F.col("n") <= SMALL).select("node", "rep", "component", F.lit(-1).alias("side"), "tree")
+    whole = fits.unionByName(_in_blocks(members.filter(F.col("n") > SMALL)))
+    read = whole.join(texts, "rep").select("node", "rep", "component", "side", "packed")
+    return read.repartition("node").sortWithinPartitions("node").mapInArrow(_small_links, "a long, b long")
+
+
 def clusters(docs: DataFrame) -> DataFrame:
     """``doc_id, key_, n_shingles, component_id, kept`` of every row of ``docs``.
 
@@ -316,14 +397,16 @@ def clusters(docs: DataFrame) -> DataFrame:
     members = first.select(F.xxhash64("tree", "token").alias("node"), "tree", "rep")
     shared = members.groupBy("node").count().filter("count > 1").select("node")
     members = tables.stored(members.join(shared, "node", "left_semi"), "nodes")
-    wanted = classes.join(members.select("rep").distinct(), "rep", "left_semi")
+    small = classes.filter(may_be_small(F.col("n_shingles"))).select("rep")
+    wanted = classes.join(members.select("rep").union(small).distinct(), "rep", "left_semi")
     texts = _texts_of(docs, wanted)
 
     star_links = tables.stored(confirmed(stars(members), texts), "star-links")
     so_far = components(star_links)
     placed = members.join(so_far, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     path_links = tables.stored(paths(placed.select("node", "tree", "rep", "component"), classes, texts), "path-links")
-    joined = components(star_links.union(path_links))
+    small_links = tables.stored(prefixes(classes, texts, so_far), "small-links")
+    joined = components(star_links.union(path_links).union(small_links))
 
     of_class = stand_in.join(joined, "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component"))
     out = rows.select("doc_id", "key_", "n_shingles", "set_a", "set_b").join(of_class, ["set_a", "set_b"], "left")

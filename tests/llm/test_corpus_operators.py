@@ -592,6 +592,28 @@ def test_components(spark, monkeypatch, small_node):
     assert got == want and links > 1000
 
 
+def on_the_threshold(rng: random.Random, pairs: int = 100) -> list[tuple]:
+    """Pairs of short texts, the second with a third more shingles: similar by exactly 0.75; each shares a line with others."""
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    line, docs = [word() for _ in range(6)], []
+    for n in (3, 6, 9, 12, 45, 63):
+        for at in range(pairs):
+            longer = [word() for _ in range(n + n // 3 + 4)]
+            if at % 2 and n > 9:
+                longer[:6] = line
+            docs += [" ".join(longer[: n + 4]), " ".join(longer)]
+    return list(enumerate(docs))
+
+
+@pytest.mark.parametrize("small_node", [neardup.SMALL, 12])
+def test_small_sets_on_the_threshold(spark, monkeypatch, small_node):
+    monkeypatch.setattr(neardup, "SMALL", small_node)
+    docs = on_the_threshold(random.Random(4))
+    want, links = plain_components(docs)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.clusters(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == want and links == len(docs) // 2
+
+
 def test_long_chains(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (7, 3)], "a long, b long")
     got = {r.rep: r.component for r in neardup.components(links).collect()}
