@@ -21,7 +21,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from seqwatch.llm import kernels, tables
 
 BINS = 256
-BITS = 4
+BITS = 8
 
 
 def _tries(bins: int) -> np.ndarray:
@@ -98,15 +98,15 @@ def fingerprint(docs: DataFrame, bins: int = BINS, bits: int = BITS) -> DataFram
 
 
 PAIRED = (
-    "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+    "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, "
     "near_edited double, near_next double, part long, kind string, text string"
 )
 
 
 def _row(doc_id, text: str, fp: str, next_text: str, next_fp: str, edited_fp: str, part: int) -> tuple:
     edit = edited(text, next_text)
-    digest = hashlib.sha256(edit.encode("utf-8", "surrogatepass")).hexdigest()
-    return (doc_id, len(text), digest, fp, edited_fp, likeness(fp, edited_fp), likeness(fp, next_fp), part, "done", None)
+    digest = hashlib.sha256(edit.encode("utf-8", "surrogatepass")).digest()
+    return (doc_id, len(text), digest, bytes.fromhex(fp), bytes.fromhex(edited_fp), likeness(fp, edited_fp), likeness(fp, next_fp), part, "done", None)
 
 
 def edited(text: str, following: str) -> str:
@@ -119,7 +119,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint against that of its edited text and of the next document.
 
     Next is by ascending doc_id (null first, ties by the hash of the text); after the last
-    comes the first. Rows are dealt out by range and sorted, so a text moves once. A task reads
+    comes the first. Fingerprints and digests are stored as bytes and become text at the end.
+    Rows are dealt out by range and sorted, so a text moves once. A task reads
     its rows in order and leaves its first and last row open; these, two per task, are joined
     to their neighbours afterwards. One document alone follows itself. Other columns are ignored.
     """
@@ -127,7 +128,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("tie_", F.xxhash64("text"))
     dealt = rows.repartitionByRange("doc_id", "tie_").sortWithinPartitions("doc_id", "tie_")
     names = [c.split()[0] for c in PAIRED.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.string(), pa.string()]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.int64(), pa.string(), pa.string()]
     batch_of = kernels.record_batches(zip(names, kinds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +141,7 @@ def with_next(docs: DataFrame) -> DataFrame:
                 prints = of_texts(texts)
                 out = []
                 if last is None:
-                    out.append((ids[0], None, None, prints[0], None, None, None, part, "first", texts[0]))
+                    out.append((ids[0], None, None, bytes.fromhex(prints[0]), None, None, None, part, "first", texts[0]))
                     chain = list(zip(ids, texts, prints))
                 else:
                     chain = [last, *zip(ids, texts, prints)]
@@ -149,10 +150,11 @@ def with_next(docs: DataFrame) -> DataFrame:
                 last = chain[-1]
                 yield batch_of(*zip(*out))
         if last is not None:
-            yield batch_of(*zip((last[0], None, None, last[2], None, None, None, part, "last", last[1])))
+            yield batch_of(*zip((last[0], None, None, bytes.fromhex(last[2]), None, None, None, part, "last", last[1])))
 
     made = tables.stored(dealt.select("doc_id", "text").mapInArrow(run, PAIRED), "fingerprints")
-    return made.filter("kind = 'done'").select(*names[:7]).unionByName(_borders(made).select(*names[:7]))
+    whole = made.filter("kind = 'done'").select(*names[:7]).unionByName(_borders(made).select(*names[:7]))
+    return whole.withColumns({c: F.lower(F.hex(c)) for c in names[2:5]})
 
 
 def _borders(made: DataFrame) -> DataFrame:
@@ -167,14 +169,14 @@ def _borders(made: DataFrame) -> DataFrame:
     pairs = ends.select("part", "last").join(order, "part").join(heads, "next_part")
     batch_of = kernels.record_batches([(c, t) for c, t in zip(
         ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"),
-        (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()),
+        (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64()),
     )])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
                 edit = of_texts([edited(r["text"], r["next_text"])])[0]
-                row = _row(r["doc_id"], r["text"], r["fp"], r["next_text"], r["next_fp"], edit, 0)
+                row = _row(r["doc_id"], r["text"], r["fp"].hex(), r["next_text"], r["next_fp"].hex(), edit, 0)
                 yield batch_of(*([v] for v in row[:7]))
 
     flat = pairs.select(

@@ -464,6 +464,22 @@ def test_small_sets_are_densified_alike():
     assert fingerprints.densified(np.array([], dtype=np.uint64)) is None
 
 
+def test_unrelated_documents_have_little_noise():
+    rng = random.Random(6)
+    prints = fingerprints.of_texts([" ".join(str(rng.random()) for _ in range(400)) for _ in range(200)])
+    assert np.sqrt(np.mean([fingerprints.likeness(a, b) ** 2 for a, b in zip(prints[::2], prints[1::2])])) < 0.008
+
+
+def test_few_filled_bins_are_borrowed_evenly():
+    rng = np.random.default_rng(7)
+    shares = []
+    for _ in range(200):
+        some = rng.integers(0, 2**64, 4, dtype=np.uint64)
+        kept = [fingerprints.densified(np.sort(x)) for x in (some[:3], some)]
+        shares.append((kept[0] == kept[1]).mean())
+    assert abs(np.mean(shares) - 0.75) < 0.01 and np.std(shares) < 0.05
+
+
 def test_next_documents(spark, odd, none, texts):
     rows = [(i, t or "") for i, t, *_ in odd_rows(texts)]
     order = spark.createDataFrame(rows, "doc_id long, text string").withColumn("h", F.xxhash64("text")).orderBy("doc_id", "h").collect()
