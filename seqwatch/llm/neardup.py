@@ -4,7 +4,7 @@ A document is its set of five-word shingles; two are linked from a Jaccard simil
 ``THRESHOLD`` percent on. Documents of equal sets form a class, and all that follows is about
 classes. A class has a sketch of ``PLACES`` minwise tokens.
 
-``TREES`` independent trees each send every class to the node of two of its minwise tokens,
+``TREES`` trees over this one sketch each send every class to the node of two of its minwise tokens,
 the first two steps of its path: classes of similarity J share it with probability J squared. Then
 
 1. *Stars.* Every node proposes its smallest member to each other member; a class keeps the
