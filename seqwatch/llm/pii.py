@@ -30,7 +30,8 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 GROUPS = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-LOGIN = re.compile(r"[^\s/?#@:]{1,256}(?::[^\s/?#@]{0,256})?@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,20}")
+# A login has no slash before its host, so that no failed one is read past the next ``://``.
+LOGIN = re.compile(r"[^\s/?#@:]++(?::[^\s/?#@]*+)?@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*")
 SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]{0,19}\Z")
 IDENTIFIER = re.compile(r"(?: (?:no|nr|number)\b\.?)?[ :#=.]{1,4}([A-Z]{0,3}[0-9](?:[ -]?[0-9]){5,17})(?![A-Za-z0-9])")
 IBAN = re.compile(r"[ :#=.]{1,4}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])")

@@ -344,6 +344,11 @@ def test_pii_added_spans():
     assert pii.find("accountable 123456789 http://plain.org/a@b") == []
 
 
+def test_pii_long_logins():
+    for login in ("u" * 300 + ":p@host.org", "me:" + "p" * 3000 + "@host.org", "me:secret@" + "a." * 40 + "org", "me@" + "h" * 70 + ".org"):
+        assert ("login", 8, 8 + len(login)) in pii.find(f"https://{login}/x")
+
+
 def test_pii_awkward(odd, none):
     assert pii.scan(odd).count() == odd.count() and pii.scan(none).count() == 0
     clean = pii.redact(odd.withColumn("text", F.when(F.col("doc_id") == 903, "mail a@b.cd, 1.2.3.4").otherwise(F.col("text"))))
