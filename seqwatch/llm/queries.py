@@ -8,7 +8,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from seqwatch.llm import decontamination, fingerprints, importance, neardup, packing, pii, substrings, tables, toxicity, urlfilter, warc
+from seqwatch.llm import (
+    bytebpe, conversations, decontamination, fingerprints, importance, neardup, packing, periodic, pii, substrings, tables, toxicity, urlfilter, warc,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 ALL: dict[str, Query] = {}
@@ -150,3 +152,74 @@ def op9_radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.clusters(tables.read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with fixed faults by the hash of ``conv_id:turn``; ``here_`` is false for dropped rows."""
+    cells = (F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn"))
+    fault = F.crc32(F.concat_ws(":", *cells)) % 20
+    role, text = (F.coalesce(F.col(c), F.lit(" ")) for c in ("role", "text"))
+    changed = rows.select(
+        "conv_id",
+        "turn",
+        F.when(fault == 4, "user").otherwise(role).alias("role"),
+        F.when(fault == 1, "").when(fault == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"),
+        (fault != 0).alias("here_"),
+        F.when(fault == 3, 2).otherwise(1).alias("copies_"),
+    )
+    return changed.withColumn("copies_", F.explode(F.array_repeat(F.lit(0), F.col("copies_")))).drop("copies_")
+
+
+@query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.audits(damaged(tables.read(spark, sf_dir, "conversations")), F.col("here_"))
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """Documents of which a tenth, by the hash of the id, go on periodically from some word."""
+    hashed = F.crc32(F.col("doc_id").cast("string"))  # null stays as it is
+    rest = F.floor(hashed / 10)
+    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+
+    def periodic_from(w: Column) -> Column:
+        n = F.size(w)
+        first = rest % n
+        period = 1 + F.floor((n - first) / (3 + rest % 8))
+        return F.transform(w, lambda word, i: F.when(i < first, word).otherwise(F.get(w, (first + (i - first) % period).cast("int"))))
+
+    # The words are bound by a lambda, so that they are split once, not for each use.
+    text = F.array_join(F.flatten(F.transform(F.array(words), periodic_from)), " ")
+    return docs.select("doc_id", F.when(hashed % 10 == 0, text).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.detect(planted(tables.read(spark, sf_dir, "documents").select("doc_id", "text")))
+    top = F.col("greatest")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "greatest.*",
+        F.floor(1000 * top["length"] / top["period"]).alias("exponent_milli"),
+        F.sha2(periodic.run_lines(F.col("runs")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def ranks_path() -> str:
+    """The public rank file; ``SEQWATCH_RANKS`` names another."""
+    given = os.environ.get("SEQWATCH_RANKS")
+    return given or importlib.import_module("public_tokenizers").path("byte_bpe_multi_50k.tiktoken")
+
+
+@query
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = ranks_path(), importlib.import_module("public_tokenizers").PATTERN
+    tokens = bytebpe.encode(tables.read(spark, sf_dir, "documents"), *vocabulary)
+    decoded = bytebpe.decode(tokens, *vocabulary)
+    return decoded.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("bytes", 256).alias("decoded_sha256"),
+    )
