@@ -10,15 +10,20 @@ stands is that token.
 Ids alone give back the text: their bytes one after the other. A token may hold a part of a
 character. Its offsets, in characters, then are those of the whole character, and only the
 bytes of all tokens together are decoded, never those of a single one.
+
+A text is encoded by units, which end at single spaces: a piece always starts there, so the
+ids of a text are those of its units. Units repeat; a worker keeps the ids of those it met.
 """
 
 from __future__ import annotations
 
 import base64
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +31,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from seqwatch.llm import kernels
 
-#: Texts of more characters are encoded in parts of about so many.
-PART = 1 << 19
 BATCH_TEXTS = 256
-#: Between two letters of ASCII a single space always starts a new piece of `public_tokenizers.PATTERN`.
-SAFE_CUT = re.compile("(?<=[A-Za-z]) (?=[A-Za-z])")
+#: Units that a worker remembers before it starts anew.
+REMEMBERED = 1 << 19
+JOINED = 1024
+#: At a single space between two other characters a new piece of `public_tokenizers.PATTERN` starts.
+UNITS = re.compile(r"(?<=\S) (?=\S)")
+NO_UNITS = re.compile(r" \s|\s |^ | \Z")
 
 
 def byte_characters() -> list[str]:
@@ -50,11 +57,12 @@ def ranks(path: str) -> dict[bytes, int]:
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """A tokenizer, and the tokens' bytes: token i is ``data[bounds[i]:bounds[i + 1]]``."""
+    """A tokenizer, the bytes of each id (none: no token), their numbers, and units met."""
 
     tokenizer: object
-    data: np.ndarray
-    bounds: np.ndarray
+    tokens: list[bytes]
+    sizes: np.ndarray
+    known: dict[str, bytes]
 
 
 @lru_cache(maxsize=2)
@@ -78,52 +86,61 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
     tokenizer = Tokenizer(model)
     split = pre_tokenizers.Split(Regex(pattern), "isolated")
     tokenizer.pre_tokenizer = pre_tokenizers.Sequence([split, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-    by_id = sorted((rank, token) for token, rank in of.items())
-    lengths = np.zeros(by_id[-1][0] + 1, dtype=np.int64)
-    lengths[[rank for rank, _ in by_id]] = [len(token) for _, token in by_id]
-    data = np.frombuffer(b"".join(token for _, token in by_id), dtype=np.uint8)
-    return Vocabulary(tokenizer, data, np.concatenate([[0], np.cumsum(lengths)]))
-
-
-def parts(text: str, limit: int = PART) -> list[str]:
-    """A text in pieces of about ``limit`` characters, cut where a token ends in any case."""
-    found, at = [], 0
-    while len(text) - at > limit:
-        cut = SAFE_CUT.search(text, at + limit)
-        if cut is None:
-            break
-        found.append(text[at : cut.start()])
-        at = cut.start()
-    return [*found, text[at:]]
+    tokens = [b""] * (max(of.values()) + 1)
+    for token, rank in of.items():
+        tokens[rank] = token
+    return Vocabulary(tokenizer, tokens, np.array([len(token) for token in tokens], dtype=np.int64), {})
+
+
+def units(text: str) -> list[str]:
+    """A text cut before single spaces."""
+    found = UNITS.split(text) if NO_UNITS.search(text) else text.split(" ")
+    return [found[0], *(" " + unit for unit in found[1:])]
+
+
+def _ids_of_units(new: list[str], own: Vocabulary) -> Iterator[tuple[str, bytes]]:
+    """Units and their ids. Units that a text may go on with are encoded many in one string,
+    of whose tokens each unit has those of its bytes."""
+    follow, alone = [], []
+    for unit in new:
+        joins = len(unit) > 1 and unit[0] == " " and not unit[1].isspace() and not unit[-1].isspace()
+        (follow if joins else alone).append(unit)
+    for unit, encoding in zip(alone, own.tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
+        yield unit, array("i", encoding.ids).tobytes()
+    for first in range(0, len(follow), JOINED):
+        joined = follow[first : first + JOINED]
+        ids = np.array(own.tokenizer.encode_batch_fast(["".join(joined)], add_special_tokens=False)[0].ids, dtype=np.int32)
+        ends = np.cumsum([len(unit.encode()) for unit in joined])
+        cuts = np.searchsorted(np.cumsum(own.sizes[ids]), ends, "right") * ids.itemsize
+        data, at = ids.tobytes(), 0
+        for unit, cut in zip(joined, cuts.tolist()):
+            yield unit, data[at:cut]
+            at = cut
 
 
 def encoded(texts: list[str], own: Vocabulary) -> list[np.ndarray]:
     """The ids of each text."""
-    pieces = [parts(text) for text in texts]
-    flat = iter(own.tokenizer.encode_batch_fast([p for of_text in pieces for p in of_text], add_special_tokens=False))
-    return [np.concatenate([np.array(next(flat).ids, dtype=np.int32) for _ in of_text]) for of_text in pieces]
+    of_texts, known = [units(text) for text in texts], own.known
+    if len(known) > REMEMBERED:
+        known.clear()
+    known.update(_ids_of_units(list(set(chain.from_iterable(of_texts)).difference(known)), own))
+    return [np.frombuffer(b"".join(map(known.__getitem__, own_units)), np.int32) for own_units in of_texts]
 
 
-def token_bytes(ids: np.ndarray, own: Vocabulary) -> np.ndarray:
+def token_bytes(ids: np.ndarray, own: Vocabulary) -> bytes:
     """The bytes of the tokens, one after the other. Ids that no token has fail."""
-    if len(ids) and (ids.min() < 0 or ids.max() >= len(own.bounds) - 1):
-        raise ValueError("an id is not in the vocabulary")
-    start, length = own.bounds[ids], own.bounds[ids + 1] - own.bounds[ids]
-    if len(ids) and not length.all():
+    if len(ids) and (ids.min() < 0 or ids.max() >= len(own.tokens) or not own.sizes[ids].all()):
         raise ValueError("an id is not in the vocabulary")
-    ends = np.cumsum(length)
-    step = np.arange(ends[-1] if len(ends) else 0)
-    return own.data[step + np.repeat(start - ends + length, length)]
+    return b"".join(map(own.tokens.__getitem__, ids.tolist()))
 
 
 def character_offsets(ids: np.ndarray, own: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of each token in characters; a token with a part of a character has all of it."""
-    data = token_bytes(ids, own)
-    first = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # characters begun before a byte
-    ends = np.cumsum(own.bounds[ids + 1] - own.bounds[ids])
-    starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-    within = (data[starts] & 0xC0) == 0x80 if len(ids) else np.zeros(0, dtype=bool)
-    return (first[starts] - within).astype(np.int32), first[ends].astype(np.int32)
+    within = (np.frombuffer(token_bytes(ids, own), dtype=np.uint8) & 0xC0) == 0x80  # not a character's first byte
+    first = np.concatenate([[0], np.cumsum(~within)])  # characters begun before a byte
+    ends = np.cumsum(own.sizes[ids])
+    starts = ends - own.sizes[ids]
+    return (first[starts] - within[starts]).astype(np.int32), first[ends].astype(np.int32)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, offsets: bool = False) -> DataFrame:
@@ -165,7 +182,7 @@ def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = vocabulary(path, pattern)
-        names = ["doc_id", "ids", "n_tokens", "bytes", "text"]
+        names = ["doc_id", "ids", "n_tokens", "bytes"]
         for batch in batches:
             lists = batch.column("ids")
             sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
@@ -173,11 +190,11 @@ def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
             flat = lists.flatten().to_numpy(zero_copy_only=False)
             for first in range(0, batch.num_rows, BATCH_TEXTS):
                 rows = range(first, min(first + BATCH_TEXTS, batch.num_rows))
-                found = [token_bytes(flat[bounds[i] : bounds[i + 1]], own).tobytes() for i in rows]
+                found = pa.array([token_bytes(flat[bounds[i] : bounds[i + 1]], own) for i in rows], pa.binary())
                 part = batch.slice(first, len(found))
-                texts = pa.array([b.decode("utf-8", "replace") for b in found], pa.string())
                 counts = pa.array(sizes[first : first + len(found)], pa.int64())
-                yield pa.record_batch([part.column("doc_id"), part.column("ids"), counts, pa.array(found, pa.binary()), texts], names=names)
+                yield pa.record_batch([part.column("doc_id"), part.column("ids"), counts, found], names=names)
 
-    schema = "doc_id long, ids array<int>, n_tokens long, bytes binary, text string"
-    return tokens.select(F.col("doc_id").cast("long"), "ids").mapInArrow(run, schema)
+    rows = tokens.select(F.col("doc_id").cast("long"), "ids")
+    decoded = rows.mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, bytes binary")
+    return decoded.withColumn("text", F.make_valid_utf8(F.col("bytes").cast("string")))
