@@ -47,6 +47,8 @@ class Progress:
             self._last = place
             observed = progress.observedMetrics.get("decode")
             late = sum(op.numRowsDroppedByWatermark for op in progress.stateOperators)
+            missed = progress.observedMetrics.get("late")
+            late += (missed.missed or 0) if missed else 0
             self.report = RunReport(
                 self.report.input_rows + progress.numInputRows,
                 self.report.dropped_by_watermark + late,
@@ -56,17 +58,29 @@ class Progress:
         return self.report
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 @contextmanager
-def _state_partitions(spark: SparkSession, partitions: int | None):
-    """A new query takes its number of state partitions from the session, once."""
-    name = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(name)
+def _state_settings(spark: SparkSession, partitions: int | None):
+    """A new query takes its number of state partitions and its state store from the session, once.
+
+    State with timers is kept by RocksDB only.
+    """
+    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB}
     if partitions:
-        spark.conf.set(name, partitions)
+        wanted["spark.sql.shuffle.partitions"] = str(partitions)
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def start(
@@ -97,7 +111,7 @@ def start(
         writer = writer.trigger(availableNow=True)
     elif every:
         writer = writer.trigger(processingTime=f"{every.total_seconds()} seconds")
-    with _state_partitions(df.sparkSession, state_partitions):
+    with _state_settings(df.sparkSession, state_partitions):
         return writer.start(path) if path else writer.start()
 
 

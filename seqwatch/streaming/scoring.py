@@ -12,29 +12,19 @@ from seqwatch.operators import records as rec, scaling, windows
 from seqwatch.plans import scoring as plan
 from seqwatch.plans.detector import Detector
 from seqwatch.sinks import messages
+from seqwatch.streaming import windows as stateful
 
 
-def stream_windows(
+def read_scaled(
     wire: DataFrame,
     scaler: scaling.MinMaxParams,
     *,
     series_keys: Sequence[str] = (),
     tie_cols: Sequence[str] = (),
-    watermark: timedelta = names.WATERMARK,
-    window: timedelta = names.WINDOW,
-    slide: timedelta = names.SLIDE,
-    steps: int = names.STEPS,
     on_invalid: str = "error",
-    on_overflow: str = "error",
-    burst_slots: int = 4,
     payload_time: bool = False,
 ) -> DataFrame:
-    """Records to ordered sequences per window; append mode emits a window once,
-    when the watermark has passed its end.
-
-    One busy series must not end in one task, so a window is gathered in
-    ``burst_slots`` groups; for many series of a steady low rate 1 is the leaner choice.
-    """
+    """Records to scaled readings."""
     carry = list(dict.fromkeys([*series_keys, *tie_cols]))
     readings = rec.read_records(
         wire,
@@ -44,20 +34,88 @@ def stream_windows(
         observed_as="decode",
         payload_time=payload_time,
     )
-    scaled = scaling.scale(readings, scaler, scaler.channels)
-    return windows.grouped_sequences(
-        scaled.withWatermark("timestamp", f"{watermark.total_seconds()} seconds"),
+    return scaling.scale(readings, scaler, scaler.channels)
+
+
+def stream_blocks(
+    wire: DataFrame,
+    scaler: scaling.MinMaxParams,
+    *,
+    series_keys: Sequence[str] = (),
+    tie_cols: Sequence[str] = (),
+    watermark: timedelta = names.WATERMARK,
+    window: timedelta = names.WINDOW,
+    slide: timedelta = names.SLIDE,
+    **reading,
+) -> DataFrame:
+    """Records to ended windows by the block, and late readings; see `stateful`."""
+    scaled = read_scaled(wire, scaler, series_keys=series_keys, tie_cols=tie_cols, **reading)
+    return stateful.block_rows(
+        scaled,
         scaler.channels,
+        watermark=watermark,
         tie_cols=tie_cols,
         series_keys=series_keys,
         window=window,
         slide=slide,
-        steps=steps,
-        on_overflow=on_overflow,
-        burst_slots=burst_slots,
     )
 
 
+def stream_windows(
+    wire: DataFrame,
+    scaler: scaling.MinMaxParams,
+    *,
+    series_keys: Sequence[str] = (),
+    tie_cols: Sequence[str] = (),
+    watermark: timedelta = names.WATERMARK,
+    window: timedelta = names.WINDOW,
+    slide: timedelta = names.SLIDE,
+    steps: int = names.STEPS,
+    on_overflow: str = "error",
+    burst_slots: int = 4,
+    **reading,
+) -> DataFrame:
+    """Records to ordered sequences per window; append mode emits a window once,
+    when the watermark has passed its end.
+
+    Windows of at most ``steps`` points are cut out of state that has each point once. With
+    ``on_overflow="keep"`` a window may have any number of points: it is then gathered in
+    ``burst_slots`` groups, so that one busy series does not end in one task.
+    """
+    if on_overflow == "keep":
+        scaled = read_scaled(wire, scaler, series_keys=series_keys, tie_cols=tie_cols, **reading)
+        return windows.grouped_sequences(
+            scaled.withWatermark("timestamp", f"{watermark.total_seconds()} seconds"),
+            scaler.channels,
+            tie_cols=tie_cols,
+            series_keys=series_keys,
+            window=window,
+            slide=slide,
+            steps=steps,
+            on_overflow=on_overflow,
+            burst_slots=burst_slots,
+        )
+    shape = dict(tie_cols=tie_cols, series_keys=series_keys, window=window, slide=slide)
+    found = stream_blocks(wire, scaler, watermark=watermark, **shape, **reading)
+    return stateful.cut_windows(
+        found, scaler.channels, steps=steps, on_overflow=on_overflow, **shape
+    )
+
+
+def late_stream(
+    wire: DataFrame,
+    scaler: scaling.MinMaxParams,
+    *,
+    series_keys: Sequence[str] = (),
+    tie_cols: Sequence[str] = (),
+    **options,
+) -> DataFrame:
+    """Records to the readings that came too late for some window, scaled, and how many they missed."""
+    shape = dict(tie_cols=tie_cols, series_keys=series_keys)
+    found = stream_blocks(wire, scaler, **shape, **options)
+    return stateful.late_readings(found, scaler.channels, **shape)
+
+
 def score_stream(
     wire: DataFrame,
     detector: Detector,
