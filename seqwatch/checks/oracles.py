@@ -100,6 +100,73 @@ SCORE_COLUMNS = """ws AS window_start, we AS window_end, flag AS is_anomaly,
        round(e0, 9) AS mae_set_t, round(e1, 9) AS mae_v_t,
        round(t0, 9) AS threshold_set_t, round(t1, 9) AS threshold_v_t"""
 
+# Leading components by squaring the covariance until only the first one is left, then taking
+# it out of the covariance, and so on. Matrices are lists of lists and symmetric.
+SQUARINGS = 22
+
+
+def _each(a: str, b: str, value: str) -> str:
+    """Two matrices, element by element: ``value`` of x and y."""
+    cell = f"list_transform(list_zip(z[1], z[2]), lambda c: {value})".replace("x", "c[1]").replace("y", "c[2]")
+    return f"list_transform(list_zip({a}, {b}), lambda z: {cell})"
+
+
+def _scaled_to_trace(m: str) -> str:
+    trace = f"list_sum(list_transform(range(1, len({m}) + 1), lambda i: {m}[i][i]))"
+    return f"list_transform({m}, lambda r: list_transform(r, lambda v: v / {trace}))"
+
+
+def components(k: int) -> str:
+    """CTEs up to ``scores``: every complete window, rebuilt from the first k of the history."""
+    square = "list_transform(m, lambda r: list_transform(m, lambda s: list_dot_product(r, s)))"
+    return ",\n".join(
+        [
+            FITTED,
+            scaled("sensor", "hist"),
+            windowed(),
+            f"""tv AS MATERIALIZED (
+  SELECT first_event AS s, 2 * pos AS d, x0 AS x FROM train
+  UNION ALL SELECT first_event, 2 * pos + 1, x1 FROM train),
+center AS MATERIALIZED (SELECT d, avg(x) AS mid FROM tv GROUP BY d),
+dev AS MATERIALIZED (SELECT s, d, x - mid AS y FROM tv JOIN center USING (d)),
+cov AS MATERIALIZED (SELECT a.d AS i, b.d AS j, sum(a.y * b.y) AS v FROM dev a JOIN dev b USING (s) GROUP BY a.d, b.d),
+lists AS (SELECT i, list(v ORDER BY j) AS r FROM cov GROUP BY i),
+matrix AS (SELECT list(r ORDER BY i) AS c FROM lists),
+power AS (
+  SELECT 0 AS found, 0 AS n, c, {_scaled_to_trace("c")} AS m,
+         list_transform(c, lambda r: list_transform(r, lambda v: CAST(0 AS DOUBLE))) AS total FROM matrix
+  UNION ALL
+  SELECT found + CAST(n = {SQUARINGS} AS INTEGER), CASE WHEN n = {SQUARINGS} THEN 0 ELSE n + 1 END, c,
+         {_scaled_to_trace("m")}, total
+  FROM (SELECT found, n, CASE WHEN n = {SQUARINGS} THEN less ELSE c END AS c,
+               CASE WHEN n = {SQUARINGS} THEN less ELSE {square} END AS m,
+               CASE WHEN n = {SQUARINGS} THEN {_each("total", "m", "x + y")} ELSE total END AS total
+        FROM (SELECT *, {_each("c", "m", "x - value * y")} AS less
+              FROM (SELECT *, list_dot_product(flatten(c), flatten(m)) AS value FROM power)))
+  WHERE found < {k}),
+projection AS MATERIALIZED (
+  SELECT i, generate_subscripts(r, 1) - 1 AS j, unnest(r) AS v
+  FROM (SELECT generate_subscripts(total, 1) - 1 AS i, unnest(total) AS r FROM power WHERE found = {k} AND n = 0)),
+wv AS MATERIALIZED (
+  SELECT ws AS s, 2 * pos AS d, x0 AS x FROM win WHERE n >= 20
+  UNION ALL SELECT ws, 2 * pos + 1, x1 FROM win WHERE n >= 20)""",
+            *(
+                f"""{name} AS MATERIALIZED (
+  SELECT s, round(avg(gap) FILTER (d % 2 = 0), 12) AS e0, round(avg(gap) FILTER (d % 2 = 1), 12) AS e1
+  FROM (SELECT a.s, a.d, abs(any_value(a.x) - any_value(o.mid) - sum(p.v * (b.x - c.mid))) AS gap
+        FROM {rows} a JOIN center o ON o.d = a.d JOIN projection p ON p.i = a.d
+        JOIN {rows} b ON b.s = a.s AND b.d = p.j JOIN center c ON c.d = b.d GROUP BY a.s, a.d)
+  GROUP BY s)"""
+                for name, rows in (("fit_errors", "tv"), ("found_errors", "wv"))
+            ),
+            """limits AS (SELECT max(e0) AS t0, max(e1) AS t1 FROM fit_errors),
+scores AS (
+  SELECT s AS ws, s + 20 AS we, e0 > t0 OR e1 > t1 AS flag, e0, e1, t0, t1
+  FROM found_errors CROSS JOIN limits)""",
+        ]
+    )
+
+
 CLOSED = "WHERE we <= (SELECT max(t) - 5 FROM sensor)"
 STREAM_SCORES = f"WITH {SCORED}\nSELECT {SCORE_COLUMNS} FROM scores {CLOSED}"
 
@@ -196,6 +263,11 @@ FROM sensor""",
 SELECT topic AS key, kt AS point_time, CAST(arg_max(set_t, event_id) AS DOUBLE) AS set_t,
        CAST(arg_max(v_t, event_id) AS DOUBLE) AS v_t
 FROM sensor GROUP BY topic, kt""",
+    "points_pivot_partitions": f"""WITH {SENSOR},
+placed AS (SELECT *, (event_id % 4) * 1000000000 + event_id // 4 AS arrived FROM sensor)
+SELECT topic AS key, kt AS point_time, CAST(arg_max(set_t, arrived) AS DOUBLE) AS set_t,
+       CAST(arg_max(v_t, arrived) AS DOUBLE) AS v_t
+FROM placed GROUP BY topic, kt""",
     "history_scan": f"""WITH {SENSOR}
 SELECT us AS time_us, CAST(set_t AS FLOAT) AS set_t, CAST(v_t AS FLOAT) AS v_t FROM sensor
 WHERE topic = 'temperature_modbus'
@@ -308,6 +380,8 @@ found AS (SELECT ws, avg(abs(y0 - m0 - s0 * p)) AS e0, avg(abs(y1 - m1 - s1 * p)
 SELECT ws AS window_start, ws + 20 AS window_end,
        round(e0, 12) > 0.2537 OR round(e1, 12) > 1.0 AS "isAnomaly",
        round(e0, 9) AS mae_set_t, round(e1, 9) AS mae_v_t FROM found""",
+    "pca_reconstruct": f"WITH RECURSIVE {components(8)}\nSELECT {SCORE_COLUMNS} FROM scores",
+    "pca_leading": f"WITH RECURSIVE {components(1)}\nSELECT {SCORE_COLUMNS} FROM scores",
     "pca_full_rank": f"""WITH {SENSOR}, {scaled()}, {windowed()}
 SELECT ws AS window_start, CAST(0 AS DOUBLE) AS mae_set_t, CAST(0 AS DOUBLE) AS mae_v_t
 FROM win GROUP BY ws HAVING count(*) >= 20""",
@@ -326,6 +400,26 @@ SELECT {message_columns()}, we AS event_time FROM sent {CLOSED}""",
     "stream_predictions_message_nested": f"""WITH {MESSAGES}
 SELECT {message_columns()}, false AS has_event_time FROM sent {CLOSED}""",
     "stream_late_drop": STREAM_SCORES,
+    "stream_late_rows": f"""WITH {SENSOR}, {scaled()}, edge AS (SELECT max(t) - 5 AS w FROM sensor)
+SELECT event_id AS "offset", t AS event_time, round(x0, 9) AS set_t, round(x1, 9) AS v_t,
+       least(20, w - t) AS missed_windows FROM scaled CROSS JOIN edge WHERE t < w""",
+    # A block is 160 windows of a series; a point is in those that start in its last 20 seconds.
+    "stream_state": f"""WITH {SENSOR}, {scaled()}, edge AS (SELECT max(kt) - 5 - 20 AS ended FROM sensor),
+homes AS (SELECT *, unnest(generate_series((kt - 19) // 160, kt // 160)) AS block FROM scaled)
+SELECT series, block, count(*) AS n_points, min(event_id) AS first_offset, max(event_id) AS last_offset,
+       round(sum(x1), 9) AS total
+FROM homes CROSS JOIN edge WHERE least(kt, 160 * block + 159) > ended GROUP BY series, block""",
+    "stream_rejects": f"""WITH {SENSOR}, r AS (
+  SELECT t, event_id, event_id % 40 AS place, {MESSAGE} AS text FROM sensor),
+bad AS (SELECT CASE place WHEN 0 THEN '{{' || text WHEN 1 THEN regexp_replace(text, '"v_t":[^,]*,', '') END AS value,
+               CASE place WHEN 0 THEN 'no JSON' WHEN 1 THEN 'no v_t' ELSE 'no value' END AS reason
+        FROM r WHERE place < 3),
+ends AS (SELECT (SELECT max(t) - 5 FROM r WHERE place > 2) AS w),
+full_ AS (SELECT ws FROM r, range(0, 20) AS k(k), LATERAL (SELECT t - k AS ws) WHERE place > 2
+          GROUP BY ws HAVING count(*) >= 20)
+SELECT reason, count(*) AS n_records, count(value) AS n_values, min(value) AS first_value, max(value) AS last_value,
+       (SELECT count(*) FROM full_, ends WHERE ws + 20 <= w) AS n_messages
+FROM bad GROUP BY reason""",
     "stream_lifecycle": STREAM_SCORES,
     "stream_scores_jumps": f"WITH {JUMP_SCORED}\nSELECT {SCORE_COLUMNS} FROM scores {CLOSED}",
     "stream_user_model": f"""WITH {SENSOR}, {scaled()}, {windowed()},

@@ -16,7 +16,7 @@ from seqwatch.plans import archive, detector as det, scoring as plan
 from seqwatch.session import scratch_path
 from seqwatch.sinks import messages, tables
 from seqwatch.sources import files
-from seqwatch.streaming import run, scoring as streams
+from seqwatch.streaming import run, scoring as streams, windows as stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
 ALL: dict[str, Query] = {}
@@ -219,6 +219,18 @@ def points_pivot_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def points_pivot_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last point to arrive, from four partitions that have the same offsets."""
+    df = fixture.keyed_readings(spark, sf_dir).withColumns(
+        {"partition": (F.col("event_id") % 4).cast("int"), "offset": F.floor(F.col("event_id") / 4)}
+    )
+    long = points.unpivot_columns(df, key=F.col("topic"), arrival_col=points.arrival())
+    return points.pivot(long, row_key=["key", "_time"]).select(
+        "key", epoch("_time").alias("point_time"), "set_t", "v_t"
+    )
+
+
 @query
 def history_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = points.unpivot_columns(
@@ -617,6 +629,14 @@ def pca_reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.flatten_window(plan.score_readings(df, detector)).select(*score_columns())
 
 
+@query
+def pca_leading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first component alone."""
+    df = fixture.readings(spark, sf_dir)
+    detector = det.fit_detector(fixture.history(df), det.pca(1), order_by=["timestamp", "event_id"])
+    return plan.flatten_window(plan.score_readings(df, detector)).select(*score_columns())
+
+
 @query
 def pca_fixed_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reconstruction from mean and trend of each channel, about a centre outside that space."""
@@ -746,6 +766,75 @@ def stream_late_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out).select(*score_columns())
 
 
+@query
+def stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole table twice; what of the second time is late, and for how many windows."""
+    df = fixture.readings(spark, sf_dir)
+    wire = fixture.wire(df)
+    scaler = scaling.MinMaxParams.of_row(scaling.fit(df), names.CHANNELS)
+    source, out = scratch_path(spark, "records"), scratch_path(spark, "late")
+    checkpoint = scratch_path(spark, "stream")
+    for _ in range(2):
+        wire.write.mode("append").parquet(source)
+        late = streams.late_stream(
+            files.stream_records(spark, source, wire.schema), scaler, tie_cols=["offset"]
+        )
+        _finish(spark, late, checkpoint, out)
+    return spark.read.parquet(out).select(
+        "offset",
+        epoch("timestamp").alias("event_time"),
+        *[rounded(c).alias(c) for c in names.CHANNELS],
+        "missed_windows",
+    )
+
+
+@query
+def stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a finished stream still holds: points of windows to come, by the block."""
+    df = fixture.keyed_readings(spark, sf_dir)
+    scaler = scaling.MinMaxParams.of_row(scaling.fit(df), names.CHANNELS)
+    checkpoint = scratch_path(spark, "stream")
+    windowed = streams.stream_windows(
+        fixture.keyed_wire_stream(spark, sf_dir), scaler, series_keys=["key"], tie_cols=["offset"]
+    )
+    _finish(spark, windowed, checkpoint, scratch_path(spark, "windows"))
+    held = stateful.held_points(spark, checkpoint)
+    return held.groupBy(
+        F.col("key.key").cast("string").cast("bigint").alias("series"), F.col("key._block").alias("block")
+    ).agg(
+        F.count("*").alias("n_points"),
+        F.min("point.o0").alias("first_offset"),
+        F.max("point.o0").alias("last_offset"),
+        rounded(F.sum("point.x1")).alias("total"),
+    )
+
+
+@query
+def stream_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged records go to a table of their own, the messages of the others to theirs."""
+    wire = fixture.damaged(fixture.wire_stream(spark, sf_dir))
+    scaler = scaling.MinMaxParams(names.CHANNELS, (0.0, 0.0), (100.0, 100.0))
+    detector = det.Detector(scaler, models.WindowMean(), (0.25, 0.25), names.STEPS)
+    sent = streams.message_stream(wire, detector, tie_cols=["offset"], on_invalid="drop")
+    both = streams.with_rejects(sent, wire)
+    good, bad = scratch_path(spark, "messages"), scratch_path(spark, "rejects")
+    parts = {
+        "messages": (good, lambda batch: batch.filter("reason IS NULL").drop("reason")),
+        "rejects": (bad, lambda batch: batch.filter("reason IS NOT NULL")),
+    }
+    checkpoint = scratch_path(spark, "stream")
+    run.finished(
+        run.to_parts(both, parts, checkpoint, finish=True, state_partitions=state_partitions(spark))
+    )
+    rejected = spark.read.parquet(bad).select("value", "reason")
+    return rejected.groupBy("reason").agg(
+        F.count("*").alias("n_records"),
+        F.count("value").alias("n_values"),
+        F.min("value").alias("first_value"),
+        F.max("value").alias("last_value"),
+    ).crossJoin(spark.read.parquet(good).agg(F.count("*").alias("n_messages")))
+
+
 @query
 def stream_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both halves of the time range in turn, with a stop and a restart between them."""

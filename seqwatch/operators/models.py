@@ -6,14 +6,13 @@ None of them is a neural network; a user's own network goes in through ``BatchMo
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import ClassVar
 
 import numpy as np
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, predict_batch_udf
-from pyspark.ml.stat import Summarizer
+import pyarrow as pa
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
@@ -71,6 +70,32 @@ class BatchModel:
         ).drop("_flat")
 
 
+def moments(training: DataFrame, width: int) -> tuple[float, np.ndarray, np.ndarray]:
+    """Count, sum and sum of products of flat ``features``, in one pass.
+
+    Each task adds up its own sums, which are then added by their place: what is shuffled
+    and collected depends on ``width`` and the number of tasks, never on the rows.
+    """
+    upper = np.triu_indices(width)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(1 + width + len(upper[0]))
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            sums += np.concatenate([[len(x)], x.sum(axis=0), (x.T @ x)[upper]])
+        places = np.arange(len(sums), dtype=np.int32)
+        yield pa.record_batch([pa.array(places), pa.array(sums)], names=["place", "value"])
+
+    flat = training.select(sequences.flat(F.col("features")).alias("x"))
+    added = flat.mapInArrow(partial, "place int, value double").groupBy("place").agg(F.sum("value").alias("value"))
+    sums = np.zeros(1 + width + len(upper[0]))
+    for row in added.collect():
+        sums[row.place] = row.value
+    products = np.zeros((width, width))
+    products[upper] = products.T[upper] = sums[1 + width :]
+    return sums[0], sums[1 : 1 + width], products
+
+
 @dataclass(frozen=True)
 class PcaReconstruction:
     """Projection on the leading components: the best linear autoencoder under squared error."""
@@ -89,11 +114,13 @@ class PcaReconstruction:
         steps: int = names.STEPS,
         channels: int = len(names.CHANNELS),
     ) -> PcaReconstruction:
-        """From training sequences; every pass aggregates into fixed-size sums."""
-        vectors = training.select(array_to_vector(sequences.flat(F.col("features"))).alias("v"))
-        center = vectors.select(Summarizer.mean(F.col("v")).alias("m")).first()["m"].toArray()
-        model = PCA(k=k, inputCol="v", outputCol="scores").fit(vectors)
-        return cls(center, model.pc.toArray(), steps, channels)
+        """From training sequences, which are read once: the eigenvectors of their covariance."""
+        count, total, products = moments(training, steps * channels)
+        if not count:
+            raise ValueError("no training sequences")
+        center = total / count
+        _, vectors = np.linalg.eigh(products / count - np.outer(center, center))
+        return cls(center, vectors[:, ::-1][:, :k].copy(), steps, channels)
 
     def reconstruct(self, df: DataFrame) -> DataFrame:
         center, projection = self.center, self.components @ self.components.T

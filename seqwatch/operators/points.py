@@ -12,6 +12,10 @@ from seqwatch.functions import times
 from seqwatch.operators.once import add_once
 
 
+#: 14 digits of milliseconds, 5 of the partition, 19 of the offset.
+ARRIVAL = "decimal(38,0)"
+
+
 def _children(name: Column, value: Column) -> Column:
     """A nested value's members with their joined names; a scalar stays itself."""
 
@@ -29,12 +33,31 @@ def _children(name: Column, value: Column) -> Column:
     return F.coalesce(items, members, F.array(entry(name, value)))
 
 
+def arrival(
+    time_col: str = "timestamp", partition_col: str = "partition", offset_col: str = "offset"
+) -> Column:
+    """When a record arrived, as one number over all partitions of a topic.
+
+    Offsets say it within a partition only. Milliseconds of the record's time come first, then five
+    digits of the partition, then 19 of the offset: a fixed-width decimal, which an aggregate
+    hashes. Null if a part is missing, or before 1970.
+    """
+    millis = F.unix_millis(time_col)
+    digits = F.concat(
+        F.when(millis >= 0, millis).cast("string"),
+        F.lpad(F.col(partition_col).cast("string"), 5, "0"),
+        F.lpad(F.col(offset_col).cast("string"), 19, "0"),
+    )
+    return digits.cast(ARRIVAL)
+
+
 def unpivot_json(
     records: DataFrame,
     string_fields: Sequence[str] = names.STRING_FIELDS,
     time_key: str = names.TIME_KEY,
     measurement: str = names.MEASUREMENT,
     depth: int = 2,
+    arrival: Column | None = None,
 ) -> DataFrame:
     """JSON records to points, whatever fields the messages have.
 
@@ -43,17 +66,22 @@ def unpivot_json(
     that no field is lost. Text and booleans are
     kept, in ``_svalue``, only for ``string_fields``. The topic becomes ``key`` and
     ``time_key`` (epoch seconds) the time; a message without a readable time
-    or that is not a JSON object has no points.
+    or that is not a JSON object has no points. A point arrived at its record's offset,
+    or, with several partitions, at the ``arrival`` of a record.
     """
     message = F.try_parse_json(F.col("value").cast("string"))
     opened = add_once(
-        records.select("topic", "offset", message.alias("message")),
+        records.select(
+            "topic",
+            (F.col("offset") if arrival is None else arrival).alias("_arrived"),
+            message.alias("message"),
+        ),
         {"fields": F.try_variant_get("message", "$", "map<string,variant>")},
     )
     time_text = F.try_variant_get(F.try_element_at("fields", F.lit(time_key)), "$", "string")
     rows = opened.select(
         F.col("topic").alias("key"),
-        F.col("offset").alias("_arrival"),
+        F.col("_arrived").alias("_arrival"),
         times.from_epoch_text(time_text).alias("_time"),
         F.explode("fields").alias("name", "leaf"),
     ).filter(F.col("_time").isNotNull() & (F.col("name") != time_key))
@@ -95,10 +123,11 @@ def unpivot_columns(
     key: str | Column = names.READINGS_TOPIC,
     time_col: str = "timestamp",
     *,
-    arrival_col: str,
+    arrival_col: str | Column,
     measurement: str = names.MEASUREMENT,
 ) -> DataFrame:
     """Typed readings to points; the way around JSON when the fields are known."""
+    arrived = F.col(arrival_col).cast("bigint") if isinstance(arrival_col, str) else arrival_col
     cells = F.array(
         *[
             F.struct(F.lit(c).alias("_field"), F.col(c).cast("double").alias("_value"))
@@ -110,7 +139,7 @@ def unpivot_columns(
             F.lit(measurement).alias("measurement"),
             (F.lit(key) if isinstance(key, str) else key).alias("key"),
             F.col(time_col).alias("_time"),
-            F.col(arrival_col).cast("bigint").alias("_arrival"),
+            arrived.alias("_arrival"),
             F.explode(cells).alias("cell"),
         )
         .filter(F.col("cell._value").isNotNull())
@@ -149,7 +178,8 @@ def pivot(
     before it, and ordered by one number so that they are hashed and not sorted.
     """
     missing = F.raise_error(F.lit("a point without an arrival cannot be the last"))
-    arrival = F.coalesce("_arrival", missing.cast("bigint"))
+    kind = points.schema["_arrival"].dataType
+    arrival = F.when(F.col("_arrival").isNull(), missing.cast(kind)).otherwise(F.col("_arrival"))
     cells = [
         F.max_by("_value", F.when(F.col("_field") == f, arrival)).alias(f) for f in fields
     ]

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from seqwatch import names
 from seqwatch.functions import times
+from seqwatch.operators.once import add_once
 
 
 def decode(
@@ -88,6 +89,32 @@ def read_records(
     return require_channels(readings, ["timestamp", *channels], on_invalid, observed_as)
 
 
+def reason(channels: Sequence[str] = names.CHANNELS, timed: bool = False) -> Column:
+    """Why a record gives no complete reading, or null if it does.
+
+    The first of: no value; no JSON; no time in the message, if that is asked for; no readable
+    value for a channel.
+    """
+    text = F.col("value").cast("string")
+    message = F.try_parse_json(text)
+    schema = StructType([f for f in names.PAYLOAD_SCHEMA if f.name in channels])
+    found = F.when(F.col("value").isNull(), "no value").when(message.isNull(), "no JSON")
+    if timed:
+        own_time = times.from_epoch_text(F.try_variant_get(message, f"$.{names.TIME_KEY}", "string"))
+        found = found.when(own_time.isNull(), "no time")
+    if channels:
+        payload = F.from_json(text, schema)
+        for c in channels:
+            found = found.when(payload[c].isNull(), f"no {c}")
+    return found
+
+
+def rejects(records: DataFrame, channels: Sequence[str] = names.CHANNELS, timed: bool = False) -> DataFrame:
+    """The records that give no complete reading, whole, with the ``reason``."""
+    marked = add_once(records, {"reason": reason(channels, timed)})
+    return marked.filter(F.col("reason").isNotNull())
+
+
 def encode(
     readings: DataFrame,
     channels: Sequence[str] = names.CHANNELS,

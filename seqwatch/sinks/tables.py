@@ -50,6 +50,11 @@ def write_archive(points: DataFrame, path: str, mode: str = "append") -> None:
     )
 
 
+def write_batch(points: DataFrame, path: str, number: int) -> None:
+    """A numbered batch of points to its own folder of the archive, in place of an earlier try."""
+    write_archive(points, f"{path}/batch={number}", mode="overwrite")
+
+
 def preview(df: DataFrame, order_by: list[str], n: int = 2) -> tuple[StructType, DataFrame]:
     """Schema and the first ``n`` rows of a stated order."""
     return df.schema, df.orderBy(*order_by).limit(n)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from contextlib import contextmanager
 from dataclasses import dataclass
 from datetime import timedelta
@@ -87,7 +87,8 @@ def start(
     df: DataFrame,
     checkpoint: str,
     *,
-    format: str,
+    format: str | None = None,
+    write_batch: Callable[[DataFrame, int], None] | None = None,
     options: Mapping[str, str] | None = None,
     path: str | None = None,
     partition_by: list[str] | None = None,
@@ -99,9 +100,11 @@ def start(
     """Start an append query with its own ``checkpoint`` folder.
 
     ``finish`` processes what is there and ends; ``every`` sets a fixed interval;
-    otherwise batches follow each other as fast as they can.
+    otherwise batches follow each other as fast as they can. ``write_batch`` takes the place of
+    a ``format``: it gets each batch and its number, which is the same if the batch is repeated.
     """
-    writer = df.writeStream.format(format).option("checkpointLocation", checkpoint)
+    writer = df.writeStream.option("checkpointLocation", checkpoint)
+    writer = writer.foreachBatch(write_batch) if write_batch else writer.format(format)
     writer = writer.options(**(options or {}))
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -121,28 +124,52 @@ def to_kafka(messages: DataFrame, checkpoint: str, options: Mapping[str, str], *
 
 
 def to_archive(points: DataFrame, path: str, checkpoint: str, **kw) -> StreamingQuery:
-    """Points to the partitioned archive, flushed every ten seconds unless told otherwise."""
+    """Points to the partitioned archive, flushed every ten seconds unless told otherwise.
+
+    Each batch has a folder of its own, which a repeated batch replaces, so a point is there
+    once. Its small partitions are gathered into one file each.
+    """
     if not kw.get("finish"):
         kw.setdefault("every", names.ARCHIVE_FLUSH)
-    return start(
-        tables.with_date(points),
-        checkpoint,
-        format="parquet",
-        path=path,
-        partition_by=["key", "date"],
-        **kw,
-    )
+    return start(points, checkpoint, write_batch=lambda batch, n: tables.write_batch(batch, path, n), **kw)
 
 
-def run_to_end(df: DataFrame, path: str, checkpoint: str, **kw) -> RunReport:
-    """Process the available input into Parquet files at ``path`` and wait."""
-    query = start(df, checkpoint, format="parquet", path=path, finish=True, **kw)
+Part = Callable[[DataFrame], DataFrame]
+
+
+def to_parts(
+    df: DataFrame, parts: Mapping[str, tuple[str, Part]], checkpoint: str, **kw
+) -> StreamingQuery:
+    """One query with several sinks: of every batch, each part goes to its own folder.
+
+    ``parts`` are a folder and a function of the batch by name. The batch is computed once. A
+    repeated batch replaces what it wrote before, in all folders.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        try:
+            for path, part in parts.values():
+                part(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        finally:
+            batch.unpersist()
+
+    return start(df, checkpoint, write_batch=write, **kw)
+
+
+def finished(query: StreamingQuery) -> RunReport:
+    """Wait for a query that ends by itself."""
     progress = Progress()
     while not query.awaitTermination(POLL_SECONDS):
         progress.update(query)
     return progress.update(query)
 
 
+def run_to_end(df: DataFrame, path: str, checkpoint: str, **kw) -> RunReport:
+    """Process the available input into Parquet files at ``path`` and wait."""
+    return finished(start(df, checkpoint, format="parquet", path=path, finish=True, **kw))
+
+
 def wait(query: StreamingQuery, timeout: float | None = None) -> bool:
     """Wait for the query and tell whether it has ended; an interrupt stops it cleanly."""
     try:

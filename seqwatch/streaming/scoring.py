@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from seqwatch import names
 from seqwatch.operators import records as rec, scaling, windows
@@ -147,6 +147,19 @@ def message_stream(
     return messages.prediction_messages(scored, detector.channels)
 
 
+def with_rejects(
+    sent: DataFrame, wire: DataFrame, channels: Sequence[str] = names.CHANNELS, timed: bool = False
+) -> DataFrame:
+    """Messages and, beside them, the records that gave no reading: ``key, value, reason``.
+
+    Both come out of one query, so that `run.to_parts` can write them batch by batch; messages
+    have no reason. The messages' stream has to drop such records (``on_invalid="drop"``).
+    """
+    columns = [F.col(c).cast("string").alias(c) for c in ("key", "value")]
+    good = sent.select(*columns, F.lit(None).cast("string").alias("reason"))
+    return good.unionByName(rec.rejects(wire, channels, timed).select(*columns, "reason"))
+
+
 def shape_stream(
     wire: DataFrame,
     scaler: scaling.MinMaxParams,

@@ -17,7 +17,7 @@ from datetime import timedelta
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import ArrayType, DataType, DoubleType, IntegerType, IntegralType, LongType, StructField, StructType
 
@@ -233,3 +233,9 @@ def late_readings(
         *[value(i).alias(c) for i, c in enumerate(channels)],
         F.col("missed").alias("missed_windows"),
     )
+
+
+def held_points(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """``partition_id, key, point``: the state of a stopped query over `block_rows`."""
+    state = spark.read.format("statestore").option("stateVarName", "points").load(checkpoint)
+    return state.select("partition_id", "key", F.col("list_element").alias("point"))

@@ -146,3 +146,27 @@ def test_archive_takes_known_topics_and_sizes(spark):
         WIRE,
     )
     assert archive.archive_points(wire, max_bytes=60).count() == 1
+
+
+def test_arrival_orders_records_of_all_partitions(spark):
+    rows = [(1000, 3, 5), (1000, 3, 6), (1000, 4, 0), (1001, 0, 0), (10_000_000_000, 99_999, 2**63 - 1)]
+    df = spark.createDataFrame(rows, "s long, partition int, offset long").select(
+        F.timestamp_seconds("s").alias("timestamp"), "partition", "offset"
+    )
+    found = [r[0] for r in df.select(points.arrival()).collect()]
+    assert found == sorted(found) and len(set(found)) == len(rows)
+    none = spark.range(1).select(
+        F.lit(None).cast("timestamp").alias("timestamp"), F.lit(0).alias("partition"), F.lit(0).alias("offset")
+    )
+    assert none.select(points.arrival()).first()[0] is None
+
+
+def test_pivot_by_arrival_is_hashed(spark):
+    df = spark.range(8).select(
+        F.timestamp_seconds(F.lit(5)).alias("timestamp"), F.col("id").alias("set_t"), F.col("id").alias("v_t"),
+        (F.col("id") % 4).cast("int").alias("partition"), F.floor(F.col("id") / 4).alias("offset"),
+    )
+    wide = points.pivot(points.unpivot_columns(df, arrival_col=points.arrival()))
+    assert wide.first()[1:] == (7.0, 7.0)
+    plan = wide._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan and "ObjectHash" not in plan

@@ -105,3 +105,13 @@ def test_naive_time_is_utc_in_any_zone(spark):
 def test_floor_div(spark):
     df = spark.range(-7, 8).select("id", times.floor_div(F.col("id"), 3).alias("q"))
     assert all(r.q == r.id // 3 for r in df.collect())
+
+
+def test_rejects_say_why(spark):
+    good = '{"set_t":1,"v_t":2,"event_timestamp":"5"}'
+    texts = [good, None, "{", "5", '{"v_t":2}', '{"set_t":1}', '{"set_t":1.5,"v_t":2}', '{"set_t":1,"v_t":2}']
+    wire = spark.createDataFrame([(t,) for t in texts], "value string").select(F.col("value").cast("binary"))
+    found = [(r.value and bytes(r.value).decode(), r.reason) for r in records.rejects(wire).collect()]
+    assert found == list(zip(texts[1:7], ["no value", "no JSON", "no set_t", "no set_t", "no v_t", "no set_t"]))
+    timed = [r.reason for r in records.rejects(wire, channels=(), timed=True).collect()]
+    assert timed == ["no value", "no JSON", *["no time"] * 5]

@@ -201,3 +201,17 @@ def test_model_runs_once_per_window(spark, history):
     scored = scoring.unpack_scores(scoring.as_score_struct(plan.score_readings(history, fitted)))
     text = scored._jdf.queryExecution().executedPlan().toString()
     assert text.count("ArrowEvalPython") == 1
+
+
+def test_pca_is_numpys_on_the_same_sequences(spark, history):
+    training = rows.row_sequences(history, flat=False)
+    source = np.array([np.ravel(r.features) for r in training.collect()])
+    count, total, products = models.moments(training.repartition(7), 40)
+    assert count == len(source)
+    assert np.allclose(total, source.sum(axis=0)) and np.allclose(products, source.T @ source)
+    _, _, right = np.linalg.svd(source - source.mean(axis=0), full_matrices=False)
+    for k in (1, 3):
+        model = models.PcaReconstruction.fit(training, k)
+        assert np.allclose(model.components @ model.components.T, right[:k].T @ right[:k], atol=1e-8)
+    with pytest.raises(ValueError, match="no training"):
+        models.PcaReconstruction.fit(training.limit(0), 2)

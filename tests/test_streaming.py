@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from seqwatch import names
 from seqwatch.operators import models, records, scaling, windows
 from seqwatch.plans import archive, detector as det, scoring as plan
+from seqwatch.sinks import tables
 from seqwatch.sources import files, kafka
-from seqwatch.streaming import run, scoring as streams
+from seqwatch.streaming import run, scoring as streams, windows as stateful
 
 BASE = 1_704_067_200
 DETECTOR = det.Detector(
@@ -203,3 +204,93 @@ def test_grouped_sequences_in_batch_match_the_stream_plan(spark):
     one = windows.grouped_sequences(readings, tie_cols=["offset"])
     many = windows.grouped_sequences(readings, tie_cols=["offset"], burst_slots=5)
     assert one.exceptAll(many).count() == 0 and many.count() == one.count()
+
+
+def late_job(spark, root, part, first=0):
+    wire(spark, part, first).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    late = streams.late_stream(files.stream_records(spark, f"{root}/in"), DETECTOR.scaler, tie_cols=["offset"])
+    return run.run_to_end(late, f"{root}/late", f"{root}/state")
+
+
+def test_late_rows_are_kept_with_the_windows_they_missed(spark, tmp_path):
+    late_job(spark, tmp_path, [*range(60), 200])
+    report = late_job(spark, tmp_path, [10, 180, 194, 195, 199], 61)
+    found = spark.read.parquet(f"{tmp_path}/late").orderBy("offset").collect()
+    # The watermark is 195: a window that ends there is out.
+    assert [(r.offset, r.missed_windows) for r in found] == [(61, 20), (62, 15), (63, 1)]
+    assert report.dropped_by_watermark == 36
+    assert found[0].set_t == pytest.approx(70 % 50 / 50) and found[0].v_t == pytest.approx(110 % 50 / 50)
+
+
+def test_late_for_some_windows_counts_in_the_others(spark, tmp_path):
+    job = Job(spark, tmp_path)
+    job.add(wire(spark, [t for t in range(101) if t != 90]))
+    job.run()
+    job.add(wire(spark, [90], 101))
+    job.run()
+    job.add(wire(spark, [300], 102))
+    job.run()
+    # The windows that end at 91 to 95 went out without it, as ended windows of 19 points.
+    assert [r[0] for r in job.rows()] == [*range(20, 91), *range(96, 102)]
+
+
+def test_blocks_do_not_show(spark, tmp_path):
+    source = wire(spark, [*range(0, 90), *range(400, 470, 2)])
+    source.coalesce(1).write.parquet(f"{tmp_path}/in")
+    readings = records.read_records(source, carry=["offset"])
+    want = windows.sliding_sequences(readings, tie_cols=["offset"], on_overflow="error")
+    want = want.filter(F.col("window.end") <= F.timestamp_seconds(F.lit(BASE + 468 - 5)))
+    for block in (1, 7, 33):
+        stream = records.read_records(files.stream_records(spark, f"{tmp_path}/in"), carry=["offset"])
+        found = stateful.cut_windows(
+            stateful.block_rows(stream, tie_cols=["offset"], block=block), tie_cols=["offset"]
+        )
+        run.run_to_end(found, f"{tmp_path}/out{block}", f"{tmp_path}/state{block}", state_partitions=2)
+        have = spark.read.parquet(f"{tmp_path}/out{block}")
+        assert sorted(map(tuple, have.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_windows_with_gaps_and_rows_without_channels(spark, tmp_path):
+    how = dict(window=timedelta(seconds=4), slide=timedelta(seconds=6), steps=4)
+    source = wire(spark, range(60)).withColumn(
+        "value", F.when(F.col("offset") % 9 == 0, F.lit("junk")).otherwise(F.col("value").cast("string")).cast("binary")
+    )
+    source.coalesce(1).write.parquet(f"{tmp_path}/in")
+    kept = dict(carry=["offset"], on_invalid="keep")
+    want = windows.sliding_sequences(records.read_records(source, **kept), tie_cols=["offset"], **how)
+    want = want.filter(F.col("window.end") <= F.timestamp_seconds(F.lit(BASE + 59 - 5)))
+    stream = records.read_records(files.stream_records(spark, f"{tmp_path}/in"), **kept)
+    blocks = stateful.block_rows(stream, tie_cols=["offset"], window=how["window"], slide=how["slide"])
+    run.run_to_end(stateful.cut_windows(blocks, tie_cols=["offset"], **how), f"{tmp_path}/out", f"{tmp_path}/state")
+    have = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted(map(tuple, have.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_state_has_each_point_of_open_windows_once(spark, tmp_path):
+    job = Job(spark, tmp_path)
+    job.add(wire(spark, range(200)))
+    job.run()
+    held = stateful.held_points(spark, f"{tmp_path}/state").collect()
+    # Windows from 175 on are open; block 1 starts at window 160 and has them all.
+    own = [r.point.o0 for r in held if r.key._block == (BASE + 199) // 160]
+    assert sorted(own) == list(range(175, 200)) and len(held) <= 2 * 25
+
+
+def test_a_repeated_batch_leaves_no_second_copy(spark, tmp_path):
+    batch = archive.archive_points(wire(spark, range(30)))
+    for number in (0, 1, 0):
+        tables.write_batch(batch, f"{tmp_path}/archive", number)
+    stored = spark.read.parquet(f"{tmp_path}/archive")
+    assert stored.count() == 2 * batch.count() and {"key", "date"} < set(stored.columns)
+    assert len(stored.inputFiles()) == 2
+
+
+def test_parts_of_a_batch_go_to_their_folders(spark, tmp_path):
+    wire(spark, range(40)).write.parquet(f"{tmp_path}/in")
+    parts = {
+        "even": (f"{tmp_path}/even", lambda b: b.filter("offset % 2 = 0")),
+        "odd": (f"{tmp_path}/odd", lambda b: b.filter("offset % 2 = 1")),
+    }
+    stream = files.stream_records(spark, f"{tmp_path}/in")
+    assert run.finished(run.to_parts(stream, parts, f"{tmp_path}/state", finish=True)).input_rows == 40
+    assert [spark.read.parquet(f"{tmp_path}/{n}").count() for n in parts] == [20, 20]
