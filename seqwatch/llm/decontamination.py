@@ -326,8 +326,9 @@ def contamination(docs: DataFrame, tests: DataFrame, least_share: int = 20) -> D
 
 
 def without_contaminated(docs: DataFrame, tests: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with all their columns."""
+    """The rows of ``docs`` that are not contaminated, with all their columns, whatever their names."""
     dirty = contamination(docs, tests).filter("contaminated").select("doc_id", "key_").distinct()
-    dirty = tables.stored(dirty, "contaminated").withColumnsRenamed({"doc_id": "dirty_id_", "key_": "dirty_key_"})
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("dirty_id_")) & (tables.text_key() == F.col("dirty_key_"))
+    dirty_id, dirty_key = tables.unused(docs, "dirty_id", "dirty_key")
+    dirty = tables.stored(dirty, "contaminated").withColumnsRenamed({"doc_id": dirty_id, "key_": dirty_key})
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(dirty_id)) & (tables.text_key() == F.col(dirty_key))
     return docs.join(dirty, same, "left_anti")

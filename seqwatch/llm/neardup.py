@@ -93,8 +93,8 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 small = [zlib.compress(t.encode(), 6) for t in part.column("text").to_pylist()]
                 yield pa.record_batch([part.column("rep"), pa.array(small, pa.binary())], names=["rep", "packed"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("rep"), tables.text_key().alias("key_"), F.coalesce("text", F.lit("")).alias("text"))
-    joined = rows.join(wanted.select("rep", "key_"), ["rep", "key_"]).select("rep", "text")
+    rows = docs.select(F.col("doc_id").cast("long"), tables.text_key().alias("key_"), F.coalesce("text", F.lit("")).alias("text"))
+    joined = rows.join(wanted.select("rep", "one.*"), ["doc_id", "key_"]).select("rep", "text")
     return tables.stored(joined.mapInArrow(run, "rep long, packed binary").dropDuplicates(["rep"]), "class-texts")
 
 
@@ -384,14 +384,12 @@ def clusters(docs: DataFrame) -> DataFrame:
     """
     rows = sets(docs)
     filled = rows.filter("n_shingles > 0")
-    stand_in = filled.filter("doc_id IS NOT NULL").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"))
-    reps = filled.join(stand_in.withColumnRenamed("rep", "doc_id"), ["set_a", "set_b", "doc_id"])
-    by_rep = Window.partitionBy("doc_id", "set_a", "set_b").orderBy("key_")  # rows that repeat one doc_id
-    reps = reps.withColumn("at", F.row_number().over(by_rep)).filter("at = 1").drop("at")
-    # An id that stands for several sets, in rows that share it, stands for the first alone.
-    by_id = Window.partitionBy("doc_id").orderBy("set_a", "set_b")
-    reps = reps.withColumn("at", F.row_number().over(by_id)).filter("at = 1").drop("at")
-    classes = tables.stored(reps.withColumnRenamed("doc_id", "rep"), "classes")
+    # A class is named by its set, so rows that share an id may be in several; its texts are those of one row.
+    same_set = filled.filter("doc_id IS NOT NULL").groupBy("set_a", "set_b").agg(
+        F.min(F.struct("doc_id", "key_")).alias("one"),
+        *(F.any_value(c).alias(c) for c in ("n_shingles", "sketch", "roots")),  # alike in all rows of a set
+    )
+    classes = tables.stored(same_set.withColumn("rep", F.xxhash64("set_a", "set_b")), "classes")
 
     first = classes.select("rep", F.posexplode("roots").alias("tree", "token"))
     members = first.select(F.xxhash64("tree", "token").alias("node"), "tree", "rep")
@@ -408,7 +406,10 @@ def clusters(docs: DataFrame) -> DataFrame:
     small_links = tables.stored(prefixes(classes, texts, so_far), "small-links")
     joined = components(star_links.union(path_links).union(small_links))
 
-    of_class = stand_in.join(joined, "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component"))
+    named = classes.select("rep", "set_a", "set_b", F.col("one.doc_id").alias("first")).join(joined, "rep", "left")
+    named = named.withColumn("group", F.coalesce("component", "rep"))
+    smallest = named.groupBy("group").agg(F.min("first").alias("smallest"))
+    of_class = named.join(smallest, "group").select("set_a", "set_b", F.col("smallest").alias("component"))
     out = rows.select("doc_id", "key_", "n_shingles", "set_a", "set_b").join(of_class, ["set_a", "set_b"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return out.select(
@@ -421,11 +422,13 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, one of each component, with all their columns.
 
     Of rows that repeat a doc_id and text one stays; rows kept for want of an id all stay.
+    Columns may have any names.
     """
     kept = tables.stored(clusters(docs).filter("kept").select("doc_id", "key_").distinct(), "kept")
-    kept = kept.withColumnsRenamed({"doc_id": "kept_id_", "key_": "kept_key_"})
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id_")) & (F.col("text_key_") == F.col("kept_key_"))
-    found = docs.withColumn("text_key_", tables.text_key()).join(kept, same, "left_semi")
-    repeats = Window.partitionBy("doc_id", "text_key_").orderBy("doc_id")
-    numbered = found.withColumn("at_", F.when(F.col("doc_id").isNull(), 1).otherwise(F.row_number().over(repeats)))
-    return numbered.filter("at_ = 1").drop("at_", "text_key_")
+    kept_id, kept_key, key, at = tables.unused(docs, "kept_id", "kept_key", "text_key", "at")
+    kept = kept.withColumnsRenamed({"doc_id": kept_id, "key_": kept_key})
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(kept_id)) & (F.col(key) == F.col(kept_key))
+    found = docs.withColumn(key, tables.text_key()).join(kept, same, "left_semi")
+    repeats = Window.partitionBy("doc_id", key).orderBy("doc_id")
+    numbered = found.withColumn(at, F.when(F.col("doc_id").isNull(), 1).otherwise(F.row_number().over(repeats)))
+    return numbered.filter(F.col(at) == 1).drop(at, key)

@@ -131,9 +131,12 @@ def refined(units: DataFrame, label: str, *keys: str) -> DataFrame:
     group = [*keys, "digit"]
     digits = units.groupBy(*group).agg(F.count("*").alias("n"), F.min("span").alias("low_"), F.max("span").alias("high_"))
     digits = digits.filter("n > 1").select(*group, (F.col("low_") != F.col("high_")).alias("several"))
-    some = tables.stored(units.join(digits, group), label)
+    # Stored, so that the join has nothing but two shuffles below it: a digit that is in a third
+    # of all units is then split by the planner.
+    some = tables.stored(units.join(tables.stored(digits, f"{label}-often"), group), label)
     mixed = some.filter("several")
     spans = mixed.groupBy(*group, "span").count().filter("count > 1").select(*group, "span", F.lit(True).alias("alike"))
+    spans = tables.stored(spans, f"{label}-alike")
     mixed = mixed.join(spans, [*group, "span"], "left").withColumn("alike", F.coalesce("alike", F.lit(False)))
     return some.filter("NOT several").withColumn("alike", F.lit(True)).unionByName(mixed)
 
@@ -231,8 +234,9 @@ def repeated(docs: DataFrame) -> DataFrame:
     lows = lows.withColumnsRenamed({"doc_id": "id_", "key_": "k_", "at": "at_"})
     same = F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("key_") == F.col("k_")) & (F.col("at") == F.col("at_"))
     single = ranges(near.join(lows, same).drop("id_", "k_", "at_"), 1)
-    again = single.groupBy("digit", "low").count().filter("count > 1").select("digit", "low")
-    third = single.join(again, ["digit", "low"], "left_semi")
+    window = ["digit", "span", "low"]  # both hashes of the window, and where its anchor is
+    again = tables.stored(single.groupBy(*window).count().filter("count > 1").select(*window), "digit-3-often")
+    third = single.join(again, window, "left_semi")
     return equal(first.filter("alike"), STEPS).unionByName(equal(second.filter("alike"), RANGE)).unionByName(equal(third, 1))
 
 

@@ -112,14 +112,15 @@ def judge(urls: DataFrame, rules: DataFrame, default: str = "allow") -> DataFram
     ``rules`` has ``rule`` (host, then a path that starts with a slash) and ``verdict`` (allow
     or block). A rule fits its host and all subdomains if the path starts with its path; the
     longest wins; a rule given with both verdicts blocks. Without one, ``rule`` is null and the
-    verdict is ``default``. Existing columns of the new names are replaced; a null URL has no host.
+    verdict is ``default``. Existing columns of these four names are replaced, others stay whatever
+    their names; a null URL has no host.
 
     The keys of a URL are its host suffixes with its path prefixes, in the few shapes (labels,
     path length) that occur among the rules. The cascades' universe is the keys of all URLs.
     """
-    names = ("host", "path", "rule", "verdict", "keys_")
     host, path = host_and_path(F.col("url"))
-    urls = urls.drop(*names).withColumns({"host": host, "path": path})
+    own, block_bits, allow_bits, blocks, allows = tables.unused(urls, "keys", "block_bits", "allow_bits", "block", "allow")
+    urls = urls.drop("host", "path", "rule", "verdict").withColumns({"host": host, "path": path})
     listed = rules.select(F.col("rule").alias("key"), "verdict").filter(F.col("key").isNotNull())
     listed = tables.stored(listed.distinct(), "filter-rules")
     labels = F.size(F.split(F.substring_index("key", "/", 1), r"\."))
@@ -129,23 +130,23 @@ def judge(urls: DataFrame, rules: DataFrame, default: str = "allow") -> DataFram
         F.concat(F.substring_index("host", ".", -s.labels), F.substring("path", 1, s.length))
         for s in sorted(shapes, key=lambda s: (-s.length, -s.labels))
     ]
-    keyed = urls.withColumn("keys_", F.array_distinct(F.array(*keys)) if keys else F.array().cast("array<string>"))
-    universe = keyed.select(F.explode("keys_").alias("key")).distinct()
+    keyed = urls.withColumn(own, F.array_distinct(F.array(*keys)) if keys else F.array().cast("array<string>"))
+    universe = keyed.select(F.explode(own).alias("key")).distinct()
     universe = tables.stored(universe, "filter-universe")
     block = build(listed.filter("verdict = 'block'"), universe)
     allow = build(listed.filter("verdict = 'allow'"), universe)
-    found = allow.attach(block.attach(keyed, "block_bits_"), "allow_bits_")
+    found = allow.attach(block.attach(keyed, block_bits), allow_bits)
 
     def longest(member) -> Column:
-        hits = F.transform(F.filter("keys_", member), lambda k: F.struct(F.length(k).alias("n"), k.alias("key")))
+        hits = F.transform(F.filter(own, member), lambda k: F.struct(F.length(k).alias("n"), k.alias("key")))
         return F.array_max(hits)
 
     found = found.withColumns({
-        "block_": longest(lambda k: block.member(k, "block_bits_")),
-        "allow_": longest(lambda k: allow.member(k, "allow_bits_")),
+        blocks: longest(lambda k: block.member(k, block_bits)),
+        allows: longest(lambda k: allow.member(k, allow_bits)),
     })
-    blocked = F.coalesce(F.col("block_.n") >= F.coalesce(F.col("allow_.n"), F.lit(0)), F.lit(False))
-    rule = F.when(blocked, F.col("block_.key")).otherwise(F.col("allow_.key"))
-    verdict = F.when(blocked, "block").when(F.col("allow_.key").isNotNull(), "allow").otherwise(default)
+    blocked = F.coalesce(F.col(blocks)["n"] >= F.coalesce(F.col(allows)["n"], F.lit(0)), F.lit(False))
+    rule = F.when(blocked, F.col(blocks)["key"]).otherwise(F.col(allows)["key"])
+    verdict = F.when(blocked, "block").when(F.col(allows)["key"].isNotNull(), "allow").otherwise(default)
     columns = [F.col(f"`{c}`") for c in urls.columns]
     return found.select(*columns, rule.alias("rule"), verdict.alias("verdict"))
