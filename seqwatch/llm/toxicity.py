@@ -26,9 +26,9 @@ from seqwatch.llm import kernels, tables
 FEATURES = 1 << 17
 MAX_ROWS = 12_000
 FOLDS = 4
-KEPT_FEATURES = 4096
+KEPT_FEATURES = 1024
 LEAST_DOCS = 4
-PREFIXES = (4, 5)
+PREFIXES = (5, 6, 7, 8)
 STEPS = 250
 RIDGE = 2e-4
 

@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -100,15 +101,63 @@ def test_shingles_do_not_cross_documents(texts):
 
 
 def test_toxicity_held_out(spark, small):
+    """Two folds: every labelled document is scored by a chain that saw the other half only."""
     large = small.replace("sf0.001", "sf0.1")  # the small table has a few toxic documents only
     docs, labels = tables.read(spark, large, "documents"), tables.read(spark, large, "labels")
-    half = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2)) == 0
-    chain = toxicity.fit(docs, labels.filter(half), queries.CATEGORIES)
-    scored = toxicity.score(docs, chain).join(labels.filter(~half), "doc_id")
-    rows = scored.select("toxic", "p_toxic", "quality", "p_low_quality").collect()
-    assert np.mean([(r.p_toxic >= 0.5) == (r.toxic == 1) for r in rows]) > 0.95
+    half = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2))
+    rows = []
+    for fold in (0, 1):
+        chain = toxicity.fit(docs, labels.filter(half != fold), queries.CATEGORIES)
+        scored = toxicity.score(docs, chain).join(labels.filter(half == fold), "doc_id")
+        rows += scored.select("toxic", "p_toxic", "quality", "p_low_quality").collect()
+        assert [len(link.earlier) for link in chain.links] == [0, 1]
+    assert np.mean([r.p_toxic >= 0.5 for r in rows if r.toxic]) > 0.9
+    assert np.mean([r.p_toxic < 0.5 for r in rows if not r.toxic]) > 0.97
     assert np.mean([(r.p_low_quality >= 0.5) == (r.quality == 0) for r in rows]) > 0.85
-    assert [len(link.earlier) for link in chain.links] == [0, 1]
+
+
+def labelled(texts: list[str], toxic: list[int], folds: list[int]) -> pd.DataFrame:
+    """Rows as the operator's fit takes them, from features found per text."""
+    slots = []
+    for t in texts:
+        data = np.frombuffer(t.encode(), np.uint8)
+        slots.append(toxicity.features(data, np.array([0, len(data)]))[1].astype("<i4").tobytes())
+    return pd.DataFrame({"id": range(len(texts)), "fold": folds, "y0": toxic, "y1": toxic, "slots": slots})
+
+
+def toy_rows() -> pd.DataFrame:
+    rng = random.Random(5)
+    toxic = [rng.random() < 0.4 for _ in range(60)]
+    texts = [" ".join(rng.choices(["alpha", "betaword", "gammawords", "mean" if y else "nice", "more"], k=8)) for y in toxic]
+    return labelled(texts, [int(y) for y in toxic], [rng.randrange(toxicity.FOLDS) for _ in texts])
+
+
+def test_a_link_is_the_ridge_optimum_of_a_plain_model():
+    """Gradient of the weighted loss by a dense matrix, at the fitted weights."""
+    pdf = toy_rows()
+    row, col = toxicity._matrix(pdf)
+    y, dense = pdf["y0"].to_numpy(float), np.random.default_rng(1).random((len(pdf), 1))
+    ridge = 0.05
+    bias, weights, more = toxicity.fit_logistic(row, col, dense, y, ridge, steps=4000)
+    x = np.zeros((len(y), toxicity.FEATURES), np.float32)
+    x[row, col] = 1
+    x = np.hstack([x[:, weights != 0], dense])
+    w = np.concatenate([weights[weights != 0], more])
+    sample = np.where(y > 0, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+    error = sample * (1 / (1 + np.exp(-(x @ w + bias))) - y)
+    assert abs(error.sum()) < 1e-4 and np.abs(x.T @ error + ridge * w).max() < 1e-4
+
+
+def test_no_feature_comes_from_a_model_that_saw_the_row():
+    """Other labels for one fold change neither its own probabilities nor leave the others' as they were."""
+    pdf = toy_rows()
+    for fold in range(toxicity.FOLDS):
+        turned = pdf.assign(y0=np.where(pdf["fold"] == fold, 1 - pdf["y0"], pdf["y0"]))
+        have = toxicity._fold_task(0)((fold,), pdf)
+        same = toxicity._fold_task(0)((fold,), turned)
+        assert sorted(have["id"]) == sorted(pdf["id"][pdf["fold"] == fold]) and have.equals(same)
+        other = (fold + 1) % toxicity.FOLDS
+        assert not toxicity._fold_task(0)((other,), pdf).equals(toxicity._fold_task(0)((other,), turned))
 
 
 def test_earlier_probability_feeds_the_next_link():
