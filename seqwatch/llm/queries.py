@@ -38,7 +38,7 @@ def tokenizer_path() -> str:
 
 
 #: The chain of the toxicity query, over the label columns there are.
-CATEGORIES = [toxicity.Category("low_quality", "quality", 0), toxicity.Category("toxic", "toxic", 1)]
+CATEGORIES = [toxicity.Category("low_quality", "quality", 0), toxicity.Category("toxic", "toxic", 1, kept=512)]
 
 
 @query

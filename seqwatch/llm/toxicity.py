@@ -26,11 +26,11 @@ from seqwatch.llm import kernels, tables
 FEATURES = 1 << 17
 MAX_ROWS = 12_000
 FOLDS = 4
-KEPT_FEATURES = 1024
+KEPT_FEATURES = 4096
 LEAST_DOCS = 4
-PREFIXES = (5, 6, 7, 8)
+PREFIXES = (6, 7)
 STEPS = 250
-RIDGE = 2e-4
+RIDGE = 5e-4
 
 #: Letters and digits of any script; the rest parts words.
 LETTERS = kernels.byte_class((0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F))
@@ -38,11 +38,16 @@ LETTERS = kernels.byte_class((0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x
 
 @dataclass(frozen=True)
 class Category:
-    """``name`` is predicted; a row is positive where the label ``column`` equals ``value``."""
+    """``name`` is predicted; a row is positive where the label ``column`` equals ``value``.
+
+    Its model takes the ``kept`` features that depend most on it: a few for a matter of some
+    words, more for one of style.
+    """
 
     name: str
     column: str
     value: int = 1
+    kept: int = KEPT_FEATURES
 
 
 @dataclass(frozen=True)
@@ -79,10 +84,10 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit_logistic(row: np.ndarray, col: np.ndarray, dense: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = STEPS) -> tuple[float, np.ndarray, np.ndarray]:
+def fit_logistic(row: np.ndarray, col: np.ndarray, dense: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = STEPS, most: int = KEPT_FEATURES) -> tuple[float, np.ndarray, np.ndarray]:
     """Bias, feature weights and dense weights of a ridge logistic model, classes weighted equally.
 
-    Only the ``KEPT_FEATURES`` features that depend most on the label (chi-square, in at least
+    Only the ``most`` features that depend most on the label (chi-square, in at least
     ``LEAST_DOCS`` rows) take part. One class alone gives a constant.
     """
     n, n_dense = len(y), dense.shape[1]
@@ -94,7 +99,7 @@ def fit_logistic(row: np.ndarray, col: np.ndarray, dense: np.ndarray, y: np.ndar
     expected = seen * (positive / n)
     with np.errstate(divide="ignore", invalid="ignore"):
         chi = np.where(seen >= LEAST_DOCS, (hits - expected) ** 2 / (expected * (1 - seen / (n + 1))), 0.0)
-    kept = np.sort(np.argsort(-chi, kind="stable")[:KEPT_FEATURES])
+    kept = np.sort(np.argsort(-chi, kind="stable")[:most])
     kept = kept[chi[kept] > 0]
     place = np.full(FEATURES, -1)
     place[kept] = np.arange(len(kept))
@@ -150,7 +155,7 @@ def _matrix(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return rows, np.concatenate(slots) if slots else np.zeros(0, dtype=np.int64)
 
 
-def _fold_task(i: int):
+def _fold_task(i: int, kept: int = KEPT_FEATURES):
     """Fit category ``i`` without the fold of the key (none left out: -1) and predict that fold."""
     earlier = [f"p{j}" for j in range(i)]
 
@@ -160,7 +165,7 @@ def _fold_task(i: int):
         out = (pdf["fold"] == left_out).to_numpy()
         y, dense = pdf[f"y{i}"].to_numpy(float), pdf[earlier].to_numpy(float)
         row, col = _matrix(pdf[~out])
-        bias, weights, more = fit_logistic(row, col, dense[~out], y[~out])
+        bias, weights, more = fit_logistic(row, col, dense[~out], y[~out], most=kept)
         if left_out < 0:
             model = np.concatenate([[bias], more, weights]).astype("<f4").tobytes()
             return pd.DataFrame({"id": [None], "p": [None], "model": [model]}, dtype=object)
@@ -181,7 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[Category], max_rows
     links: list[Link] = []
     for i, category in enumerate(categories):
         folds = F.explode(F.array(*(F.lit(f) for f in range(-1, FOLDS)))).alias("left_out")
-        fitted = rows.select("*", folds).groupBy("left_out").applyInPandas(_fold_task(i), "id long, p double, model binary")
+        fitted = rows.select("*", folds).groupBy("left_out").applyInPandas(_fold_task(i, category.kept), "id long, p double, model binary")
         fitted = tables.stored(fitted, "toxicity-fold")
         model = fitted.filter("model IS NOT NULL").select("model").collect()
         numbers = np.frombuffer(model[0][0], dtype="<f4").astype(float) if model else np.zeros(1 + i + FEATURES)
