@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from seqwatch import names
 from seqwatch.functions import times
@@ -16,21 +19,38 @@ from seqwatch.operators.once import add_once
 ARRIVAL = "decimal(38,0)"
 
 
-def _children(name: Column, value: Column) -> Column:
-    """A nested value's members with their joined names; a scalar stays itself."""
+#: A number inside a nested field, or a text or boolean, by the names and places that lead to it.
+LEAF = StructType(
+    [StructField("path", StringType()), StructField("number", DoubleType()), StructField("text", StringType())]
+)
 
-    def entry(name: Column, value: Column) -> Column:
-        return F.struct(name.alias("name"), value.alias("value"))
 
-    items = F.transform(
-        F.try_variant_get(value, "$", "array<variant>"),
-        lambda v, i: entry(F.concat_ws("_", name, i.cast("string")), v),
-    )
-    members = F.transform(
-        F.map_entries(F.try_variant_get(value, "$", "map<string,variant>")),
-        lambda e: entry(F.concat_ws("_", name, e["key"]), e["value"]),
+@F.arrow_udf(ArrayType(LEAF))
+def _leaves(nested: pa.Array) -> pa.Array:
+    """All leaves of JSON arrays and objects, at any depth; null for null.
+
+    Read with a stack, so that the depth of a message is no matter, and given back by the column.
+    """
+    ends, paths, numbers, texts = [0], [], [], []
+    for text in nested.to_pylist():
+        stack = [("", json.loads(text, parse_int=float))] if text is not None else []
+        while stack:
+            path, value = stack.pop()
+            if isinstance(value, dict):
+                stack.extend((f"{path}_{name}", v) for name, v in value.items())
+            elif isinstance(value, list):
+                stack.extend((f"{path}_{i}", v) for i, v in enumerate(value))
+            elif value is not None:
+                is_number = isinstance(value, float)
+                paths.append(path)
+                numbers.append(value if is_number else None)
+                texts.append(None if is_number else value if isinstance(value, str) else str(value).lower())
+        ends.append(len(paths))
+    leaf = pa.StructArray.from_arrays(
+        [pa.array(paths, pa.string()), pa.array(numbers, pa.float64()), pa.array(texts, pa.string())],
+        ["path", "number", "text"],
     )
-    return F.coalesce(items, members, F.array(entry(name, value)))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), leaf, mask=nested.is_null())
 
 
 def arrival(
@@ -56,15 +76,13 @@ def unpivot_json(
     string_fields: Sequence[str] = names.STRING_FIELDS,
     time_key: str = names.TIME_KEY,
     measurement: str = names.MEASUREMENT,
-    depth: int = 2,
     arrival: Column | None = None,
 ) -> DataFrame:
     """JSON records to points, whatever fields the messages have.
 
-    Numbers become ``_value`` points, also inside arrays and objects down to
-    ``depth`` levels (``features`` gives ``features_0_1``); a message nested deeper fails, so
-    that no field is lost. Text and booleans are
-    kept, in ``_svalue``, only for ``string_fields``. The topic becomes ``key`` and
+    Numbers become ``_value`` points, also inside arrays and objects of any depth
+    (``features`` gives ``features_0_1``). Text and booleans are kept, in ``_svalue``, only for
+    ``string_fields``. Flat fields stay in the JVM; nested ones are opened in Arrow batches. The topic becomes ``key`` and
     ``time_key`` (epoch seconds) the time; a message without a readable time
     or that is not a JSON object has no points. A point arrived at its record's offset,
     or, with several partitions, at the ``arrival`` of a record.
@@ -85,26 +103,26 @@ def unpivot_json(
         times.from_epoch_text(time_text).alias("_time"),
         F.explode("fields").alias("name", "leaf"),
     ).filter(F.col("_time").isNotNull() & (F.col("name") != time_key))
-    place = ["key", "_arrival", "_time"]
-    for _ in range(depth):
-        rows = rows.select(*place, F.inline(_children(F.col("name"), F.col("leaf")))).toDF(
-            *place, "name", "leaf"
-        )
-    # As JSON, a leaf shows its kind: only a number reads as one, only text is quoted.
-    nested = F.raise_error(F.concat(F.lit(f"nested more than {depth} levels: "), F.col("name")))
-    json = F.to_json("leaf")
-    too_deep = json.startswith("{") | json.startswith("[")
-    empty = json.isin("{}", "[]")
-    leaves = add_once(rows, {"json": F.when(too_deep & ~empty, nested).otherwise(json)})
-    kept_text = F.col("name").isin(*string_fields) & (
-        F.col("json").startswith('"') | F.col("json").isin("true", "false")
+    # As JSON, a field shows its kind: only a number reads as one, only text is quoted.
+    shown = add_once(rows, {"json": F.to_json("leaf")})
+    is_nested = F.col("json").startswith("{") | F.col("json").startswith("[")
+    is_text = F.col("json").startswith('"') | F.col("json").isin("true", "false")
+    own = F.struct(
+        F.lit("").alias("path"),
+        F.col("json").try_cast("double").alias("number"),
+        F.when(is_text, F.try_variant_get("leaf", "$", "string")).alias("text"),
     )
-    cells = add_once(
-        leaves,
-        {
-            "_value": F.col("json").try_cast("double"),
-            "_svalue": F.when(kept_text, F.try_variant_get("leaf", "$", "string")),
-        },
+    opened = shown.withColumn("inside", _leaves(F.when(is_nested, F.col("json"))))
+    leaves = opened.select(
+        "key", "_arrival", "_time", "name", F.inline(F.coalesce("inside", F.array(own)))
+    ).withColumn("name", F.concat("name", "path"))
+    cells = leaves.select(
+        "key",
+        "_arrival",
+        "_time",
+        "name",
+        F.col("number").alias("_value"),
+        F.when(F.col("name").isin(*string_fields), F.col("text")).alias("_svalue"),
     ).filter(F.col("_value").isNotNull() | F.col("_svalue").isNotNull())
     return cells.select(
         F.lit(measurement).alias("measurement"),

@@ -38,10 +38,26 @@ def test_nested_fields_and_kinds(spark):
     }
 
 
-def test_deeper_messages_fail(spark):
-    with pytest.raises(Exception, match="nested more than 2 levels: a_0_0"):
-        unpivot(spark, '{"event_timestamp":17,"a":[[[1,2]]],"e":4}')
-    assert unpivot(spark, '{"event_timestamp":17,"a":[[]],"b":{},"e":4}') == {(0, "e"): (4.0, None)}
+def test_messages_of_any_depth(spark):
+    deep = "[" * 400 + "1.5" + "]" * 400
+    got = unpivot(spark, '{"event_timestamp":17,"a":[[[1,{"b":[2]}]]],"e":4}', f'{{"event_timestamp":17,"d":{deep}}}')
+    assert got == {
+        (0, "a_0_0_0"): (1.0, None),
+        (0, "a_0_0_1_b_0"): (2.0, None),
+        (0, "e"): (4.0, None),
+        (1, "d" + "_0" * 400): (1.5, None),
+    }
+    assert unpivot(spark, '{"event_timestamp":17,"a":[[]],"b":{},"c":[null,{}],"e":4}') == {(0, "e"): (4.0, None)}
+
+
+def test_nested_text_is_kept_by_its_name(spark):
+    message = '{"event_timestamp":17,"a":{"note":"x","ok":true,"big":123456789012345678901,"n":[1e3]}}'
+    assert unpivot(spark, message, string_fields=["a_note", "a_ok"]) == {
+        (0, "a_note"): (None, "x"),
+        (0, "a_ok"): (None, "true"),
+        (0, "a_big"): (123456789012345678901.0, None),
+        (0, "a_n_0"): (1000.0, None),
+    }
 
 
 def test_pivot_needs_arrivals_and_hashes(spark):
