@@ -421,6 +421,15 @@ SELECT reason, count(*) AS n_records, count(value) AS n_values, min(value) AS fi
        (SELECT count(*) FROM full_, ends WHERE ws + 20 <= w) AS n_messages
 FROM bad GROUP BY reason""",
     "stream_lifecycle": STREAM_SCORES,
+    "stream_restart_counts": f"""WITH {SENSOR},
+placed AS (SELECT t, event_id % 40 >= 3 AS ok, CAST(t >= (SELECT (min(t) + max(t)) / 2.0 FROM sensor) AS INT) AS run
+           FROM sensor),
+filled AS (SELECT t, sum(CAST(ok AS INT)) OVER (ORDER BY t ROWS 19 PRECEDING) AS n FROM placed),
+runs AS (SELECT run, count(*) AS n_records, count(*) FILTER (NOT ok) AS n_invalid, max(t) FILTER (ok) - 5 AS w
+         FROM placed GROUP BY run)
+SELECT run, n_records, n_invalid, CAST(0 AS BIGINT) AS n_dropped, true AS complete,
+       (SELECT count(*) FROM filled WHERE n = 20 AND t + 1 <= w) AS n_scores
+FROM runs""",
     "stream_scores_jumps": f"WITH {JUMP_SCORED}\nSELECT {SCORE_COLUMNS} FROM scores {CLOSED}",
     "stream_user_model": f"""WITH {SENSOR}, {scaled()}, {windowed()},
 halved AS (SELECT ws, round(avg(abs(x0 / 2 - x0)), 12) AS e0, round(avg(abs(x1 / 2 - x1)), 12) AS e1

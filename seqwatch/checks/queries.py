@@ -854,6 +854,33 @@ def stream_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out).select(*score_columns())
 
 
+@query
+def stream_restart_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A job with the default trigger, stopped and restarted: what was told of each of its runs."""
+    df = fixture.readings(spark, sf_dir)
+    wire = fixture.damaged(fixture.wire(df))
+    span = df.agg(F.min("timestamp").alias("a"), F.max("timestamp").alias("b")).first()
+    middle = F.lit(span.a + (span.b - span.a) / 2)
+    source, out = scratch_path(spark, "records"), scratch_path(spark, "scores")
+    checkpoint = scratch_path(spark, "stream")
+    detector = fitted(spark, sf_dir)
+    told = []
+    for number, half in enumerate((F.col("timestamp") < middle, F.col("timestamp") >= middle)):
+        wire.filter(half).write.mode("append").parquet(source)
+        stream = files.stream_records(spark, source, wire.schema)
+        scored = streams.score_stream(stream, detector, tie_cols=["offset"], on_invalid="drop")
+        job = run.start(
+            scored, checkpoint, format="parquet", path=out, state_partitions=state_partitions(spark)
+        )
+        job.processAllAvailable()
+        job.stop()
+        report = run.finished(job, spark)
+        counts = (report.input_rows, report.invalid, report.dropped_by_watermark, report.complete)
+        told.append((number, *counts, spark.read.parquet(out).count()))
+    columns = "run int, n_records bigint, n_invalid bigint, n_dropped bigint, complete boolean, n_scores bigint"
+    return spark.createDataFrame(told, columns)
+
+
 @query
 def stream_scores_jumps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four batches from four partitions of a topic; at their borders, records come out of order."""

@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable, Mapping
 from contextlib import contextmanager
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import timedelta
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from seqwatch import names
 from seqwatch.sinks import tables
 
-#: How often a running query is asked for its progress.
-POLL_SECONDS = 1
-
 
 @dataclass(frozen=True)
 class RunReport:
@@ -27,35 +26,75 @@ class RunReport:
     complete: bool = True
 
 
-class Progress:
-    """Adds up a query's micro-batches while it runs.
+class Counts(StreamingQueryListener):
+    """Adds up the micro-batches of every run of a session, as Spark reports them.
 
-    Spark keeps the last updates of a query only, so ``update`` has to be called more often
-    than that many batches end. A batch that went unseen makes the report incomplete.
+    Each batch is told once, so none is lost between two looks at a query. Should Spark's event
+    queue overflow and a batch's number be missing, the report says that it is not complete.
     """
 
     def __init__(self) -> None:
-        self.report = RunReport()
-        self._last: tuple[int, str] | None = None
-
-    def update(self, query: StreamingQuery) -> RunReport:
-        for progress in query.recentProgress:
-            place = (progress.batchId, progress.timestamp)
-            if self._last and place <= self._last:
-                continue
-            missed = progress.batchId > self._last[0] + 1 if self._last else False
-            self._last = place
-            observed = progress.observedMetrics.get("decode")
-            late = sum(op.numRowsDroppedByWatermark for op in progress.stateOperators)
-            missed = progress.observedMetrics.get("late")
-            late += (missed.missed or 0) if missed else 0
-            self.report = RunReport(
-                self.report.input_rows + progress.numInputRows,
-                self.report.dropped_by_watermark + late,
-                self.report.invalid + ((observed.invalid or 0) if observed else 0),
-                self.report.complete and not missed,
+        self._lock = threading.Condition()
+        self._reports: dict[str, RunReport] = {}
+        self._batch: dict[str, int] = {}
+        self._ended: set[str] = set()
+
+    def onQueryStarted(self, event) -> None:
+        with self._lock:
+            self._reports.setdefault(str(event.runId), RunReport())
+
+    def onQueryProgress(self, event) -> None:
+        progress = event.progress
+        run, batch = str(progress.runId), progress.batchId
+        decode, late = (progress.observedMetrics.get(name) for name in ("decode", "late"))
+        dropped = sum(op.numRowsDroppedByWatermark for op in progress.stateOperators)
+        with self._lock:
+            before = self._reports.get(run, RunReport())
+            last = self._batch.get(run, batch)  # an idle query tells the same number again
+            self._batch[run] = batch
+            self._reports[run] = RunReport(
+                before.input_rows + progress.numInputRows,
+                before.dropped_by_watermark + dropped + ((late.missed or 0) if late else 0),
+                before.invalid + ((decode.invalid or 0) if decode else 0),
+                before.complete and batch <= last + 1,
             )
-        return self.report
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        with self._lock:
+            self._ended.add(str(event.runId))
+            self._lock.notify_all()
+
+    def so_far(self, run: str) -> RunReport:
+        """What has been told of a run up to now."""
+        with self._lock:
+            return self._reports.get(run, RunReport())
+
+    def of_ended(self, run: str, seconds: float) -> RunReport:
+        """The report of a run that has ended: waits for its last event, and forgets the run."""
+        with self._lock:
+            told = self._lock.wait_for(lambda: run in self._ended, seconds)
+            report = self._reports.pop(run, RunReport())
+            self._batch.pop(run, None)
+            self._ended.discard(run)
+        return report if told else replace(report, complete=False)
+
+
+#: How long the events of an ended query may take to arrive.
+EVENTS_SECONDS = 60.0
+
+_COUNTS: WeakKeyDictionary[SparkSession, Counts] = WeakKeyDictionary()
+
+
+def counts(spark: SparkSession) -> Counts:
+    """The session's listener, added to it with its first query."""
+    if spark not in _COUNTS:
+        found = Counts()
+        spark.streams.addListener(found)
+        _COUNTS[spark] = found
+    return _COUNTS[spark]
 
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -114,6 +153,7 @@ def start(
         writer = writer.trigger(availableNow=True)
     elif every:
         writer = writer.trigger(processingTime=f"{every.total_seconds()} seconds")
+    counts(df.sparkSession)
     with _state_settings(df.sparkSession, state_partitions):
         return writer.start(path) if path else writer.start()
 
@@ -157,17 +197,22 @@ def to_parts(
     return start(df, checkpoint, write_batch=write, **kw)
 
 
-def finished(query: StreamingQuery) -> RunReport:
-    """Wait for a query that ends by itself."""
-    progress = Progress()
-    while not query.awaitTermination(POLL_SECONDS):
-        progress.update(query)
-    return progress.update(query)
+def finished(query: StreamingQuery, spark: SparkSession | None = None) -> RunReport:
+    """Wait for a query that ends by itself, or has been stopped, and tell its counts."""
+    query.awaitTermination()
+    spark = spark or SparkSession.getActiveSession()
+    return counts(spark).of_ended(str(query.runId), EVENTS_SECONDS)
+
+
+def so_far(query: StreamingQuery, spark: SparkSession | None = None) -> RunReport:
+    """The counts of a running query up to its last reported batch."""
+    return counts(spark or SparkSession.getActiveSession()).so_far(str(query.runId))
 
 
 def run_to_end(df: DataFrame, path: str, checkpoint: str, **kw) -> RunReport:
     """Process the available input into Parquet files at ``path`` and wait."""
-    return finished(start(df, checkpoint, format="parquet", path=path, finish=True, **kw))
+    query = start(df, checkpoint, format="parquet", path=path, finish=True, **kw)
+    return finished(query, df.sparkSession)
 
 
 def wait(query: StreamingQuery, timeout: float | None = None) -> bool:

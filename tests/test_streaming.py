@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 from datetime import timedelta
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -294,3 +295,40 @@ def test_parts_of_a_batch_go_to_their_folders(spark, tmp_path):
     stream = files.stream_records(spark, f"{tmp_path}/in")
     assert run.finished(run.to_parts(stream, parts, f"{tmp_path}/state", finish=True)).input_rows == 40
     assert [spark.read.parquet(f"{tmp_path}/{n}").count() for n in parts] == [20, 20]
+
+
+def test_counts_are_told_by_the_batch(spark, tmp_path):
+    """A running job with the default trigger, looked at while it runs and after it was stopped."""
+    source = wire(spark, range(60)).withColumn(
+        "value", F.when(F.col("offset") % 20 == 3, F.lit("junk")).otherwise(F.col("value").cast("string")).cast("binary")
+    )
+    source.filter("offset < 40").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = streams.score_stream(
+        files.stream_records(spark, f"{tmp_path}/in"), DETECTOR, tie_cols=["offset"], on_invalid="drop"
+    )
+    job = run.start(stream, f"{tmp_path}/state", format="parquet", path=f"{tmp_path}/out")
+    try:
+        job.processAllAvailable()
+        source.filter("offset >= 40").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        job.processAllAvailable()
+        assert job.isActive and run.so_far(job, spark).input_rows <= 60
+    finally:
+        job.stop()
+    report = run.finished(job, spark)
+    assert (report.input_rows, report.invalid, report.complete) == (60, 3, True)
+    assert run.so_far(job, spark) == run.RunReport()  # told once, then forgotten
+
+
+def test_a_missing_batch_makes_the_report_incomplete():
+    def event(batch, rows):
+        progress = SimpleNamespace(runId="r", batchId=batch, numInputRows=rows, observedMetrics={}, stateOperators=[])
+        return SimpleNamespace(progress=progress, runId="r")
+
+    told = run.Counts()
+    for batch in (4, 4, 5):
+        told.onQueryProgress(event(batch, 10))
+    assert told.so_far("r") == run.RunReport(30, complete=True)
+    told.onQueryProgress(event(7, 1))
+    told.onQueryTerminated(event(7, 0))
+    assert told.of_ended("r", 1) == run.RunReport(31, complete=False)
+    assert not told.of_ended("never told", 0.01).complete
