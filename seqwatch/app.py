@@ -1,7 +1,7 @@
 """The jobs as programs, for ``spark-submit``.
 
     app.py archive  --servers HOST --path ARCHIVE --checkpoint DIR
-    app.py fit      --path ARCHIVE --detector DIR [--as-of TIME] [--days 2] [--pca 8 | --window-mean]
+    app.py fit      --path ARCHIVE --detector DIR [--as-of TIME] [--days 2] [--pca 8 | --absolute 8 | --window-mean]
     app.py score    --servers HOST --detector DIR --checkpoint DIR [--nested] [--float32]
     app.py diagnose --servers HOST --detector DIR --checkpoint DIR
 
@@ -50,6 +50,7 @@ def parser() -> argparse.ArgumentParser:
     fit.add_argument("--days", type=float, default=names.HISTORY.days)
     kind = fit.add_mutually_exclusive_group()
     kind.add_argument("--pca", type=int, default=8, help="components of the fitted model")
+    kind.add_argument("--absolute", type=int, help="components of a model fitted under the absolute error")
     kind.add_argument("--window-mean", action="store_true", help="a model that needs no fitting")
     kind.add_argument("--model", type=named, help="MODULE:FUNCTION that fits a model of your own")
     fit.add_argument("--drop-incomplete", action="store_true", help="leave out incomplete history rows")
@@ -97,7 +98,8 @@ def fit(spark: SparkSession, args: argparse.Namespace) -> det.Detector:
         spark, args.path, as_of, timedelta(days=args.days), sort=False
     )
     history = records.require_channels(history, on_invalid="drop" if args.drop_incomplete else "error")
-    make_model = args.model or (det.window_mean if args.window_mean else det.pca(args.pca))
+    components = det.absolute(args.absolute) if args.absolute else det.pca(args.pca)
+    make_model = args.model or (det.window_mean if args.window_mean else components)
     fitted = det.fit_detector(history, make_model)
     fitted.save(spark, args.detector)
     return fitted

@@ -629,6 +629,18 @@ def pca_reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.flatten_window(plan.score_readings(df, detector)).select(*score_columns())
 
 
+@query
+def absolute_reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of the autoencoder that is fitted under the absolute error, saved and loaded."""
+    df = fixture.readings(spark, sf_dir)
+    path = scratch_path(spark, "detector")
+    det.fit_detector(
+        fixture.history(df), det.absolute(8), order_by=["timestamp", "event_id"]
+    ).save(spark, path)
+    detector = det.Detector.load(spark, path)
+    return plan.flatten_window(plan.score_readings(df, detector)).select(*score_columns())
+
+
 @query
 def pca_leading(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first component alone."""

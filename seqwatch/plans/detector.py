@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from seqwatch import names
 from seqwatch.operators import models, rows, scaling, scoring
+from seqwatch.session import scratch_path
 from seqwatch.sinks import tables
 from seqwatch.sources import files
 
@@ -111,3 +112,21 @@ def window_mean(_training: DataFrame) -> models.WindowMean:
 def pca(k: int, steps: int = names.STEPS, channels: int = len(names.CHANNELS)):
     """For ``fit_detector``: principal components of the training sequences."""
     return lambda training: models.PcaReconstruction.fit(training, k, steps, channels)
+
+
+def absolute(k: int, steps: int = names.STEPS, channels: int = len(names.CHANNELS), rounds: int = 8):
+    """For ``fit_detector``: components with a decoder of least absolute error.
+
+    Its rounds read the training sequences again and again, so they are stored first.
+    """
+
+    def make(training: DataFrame) -> models.AbsoluteReconstruction:
+        spark = training.sparkSession
+        path = scratch_path(spark, "training")
+        kept = tables.stored(training, path)
+        try:
+            return models.AbsoluteReconstruction.fit(kept, k, steps, channels, rounds)
+        finally:
+            tables.remove(spark, path)
+
+    return make

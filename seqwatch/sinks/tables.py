@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import MinMaxScalerModel
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 
@@ -30,6 +30,12 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a stored table that a job is done with, on whatever file system it is."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+
+
 def with_date(points: DataFrame) -> DataFrame:
     """The archive's partition column."""
     return points.withColumn("date", F.to_date("_time"))

@@ -13,7 +13,7 @@ def call(spark, *argv):
     return app.JOBS[args.job](spark, args)
 
 
-@pytest.mark.parametrize("model", [["--window-mean"], ["--pca", "4"], []])
+@pytest.mark.parametrize("model", [["--window-mean"], ["--pca", "4"], ["--absolute", "4"], []])
 def test_archive_fit_score_diagnose(spark, tmp_path, model):
     wire(spark, range(300)).coalesce(1).write.parquet(f"{tmp_path}/records")
     path, detector = f"{tmp_path}/archive", f"{tmp_path}/detector"

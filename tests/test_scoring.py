@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -215,3 +216,57 @@ def test_pca_is_numpys_on_the_same_sequences(spark, history):
         assert np.allclose(model.components @ model.components.T, right[:k].T @ right[:k], atol=1e-8)
     with pytest.raises(ValueError, match="no training"):
         models.PcaReconstruction.fit(training.limit(0), 2)
+
+
+def total_error(found: list, model) -> float:
+    x = np.array([r.features for r in found]).reshape(len(found), -1)
+    y = (x - model.center) @ model.encoder @ model.decoder[:-1] + model.decoder[-1]
+    return np.abs(x - y).sum()
+
+
+def plain_rounds(x, center, encoder, rounds):
+    """The same reweighting value by value, with weighted least squares from NumPy."""
+    code = np.hstack([(x - center) @ encoder, np.ones((len(x), 1))])
+    decoder = np.vstack([encoder.T, center])
+    tried = [decoder]
+    for _ in range(rounds):
+        error = np.abs(x - code @ decoder)
+        columns = []
+        for j in range(x.shape[1]):
+            root = 1 / np.sqrt(np.maximum(error[:, j], models.LEAST_ERROR))
+            columns.append(np.linalg.lstsq(code * root[:, None], x[:, j] * root)[0])
+        decoder = np.stack(columns, axis=1)
+        tried.append(decoder)
+    return min(tried, key=lambda d: np.abs(x - code @ d).sum())
+
+
+def test_absolute_error_is_least_and_numpys(spark, history):
+    """Jumps in one row of fifty pull principal components; the decoder under absolute error resists."""
+    jump = F.when(F.rand(3) < 0.02, 40.0).otherwise(0.0)
+    training = rows.row_sequences(
+        history.withColumn("v_t", F.col("v_t") + jump), flat=False
+    ).select("features").cache()
+    found = training.collect()
+    x = np.array([r.features for r in found]).reshape(len(found), -1)
+    pca = models.PcaReconstruction.fit(training, 3)
+    start = models.AbsoluteReconstruction(pca.center, pca.components, np.vstack([pca.components.T, pca.center]))
+    model = models.AbsoluteReconstruction.fit(training, 3, rounds=4)
+    assert np.allclose(model.encoder, pca.components)
+    want = plain_rounds(x, pca.center, pca.components, 4)
+    assert np.allclose(model.decoder, want, atol=1e-5)
+    assert total_error(found, model) < 0.99 * total_error(found, start)
+
+
+def test_absolute_model_is_saved_and_its_training_removed(spark, history, tmp_path):
+    root = Path(spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    fitted = det.fit_detector(history, det.absolute(2, rounds=1))
+    fitted.save(spark, f"{tmp_path}/detector")
+    again = det.Detector.load(spark, f"{tmp_path}/detector")
+    assert np.array_equal(again.model.decoder, fitted.model.decoder)
+    assert not list(Path(str(root).removeprefix("file:")).rglob("training-*"))
+    assert plan.score_readings(history, again).filter("isAnomaly").count() == 0
+
+
+def test_absolute_model_needs_sequences(spark, history):
+    with pytest.raises(ValueError, match="no training sequences"):
+        det.fit_detector(history.limit(5), det.absolute(2))
