@@ -68,6 +68,7 @@ def parser() -> argparse.ArgumentParser:
         sub.add_argument("--state-partitions", type=int)
         sub.add_argument("--nested", action="store_true", help="messages without an event time")
         sub.add_argument("--model", type=named, help="MODULE:FUNCTION that loads a model of your own")
+        sub.add_argument("--rejects", help="folder for records without a reading, which then end no job")
         sub.add_argument("--float32", action="store_true", help="compare at single precision")
     return root
 
@@ -90,6 +91,20 @@ def _send(sent: DataFrame, args: argparse.Namespace, topic: str) -> None:
     )
 
 
+def _send_with_rejects(
+    sent: DataFrame, wire: DataFrame, args: argparse.Namespace, topic: str
+) -> None:
+    """Messages to where they go, and the records that gave no reading to ``--rejects``."""
+    target = args.out if args.records else run.kafka_target(kafka.sink_options(args.servers, topic))
+    parts = {
+        "messages": (target, lambda batch: batch.filter("reason IS NULL").drop("reason")),
+        "rejects": (args.rejects, lambda batch: batch.filter("reason IS NOT NULL")),
+    }
+    both = scoring.with_rejects(sent, wire)
+    options = dict(finish=bool(args.records), state_partitions=args.state_partitions)
+    run.wait(run.to_parts(both, parts, args.checkpoint, **options))
+
+
 def fit(spark: SparkSession, args: argparse.Namespace) -> det.Detector:
     as_of = args.as_of or datetime.now(timezone.utc)
     if as_of.tzinfo is None:
@@ -109,16 +124,32 @@ def store(spark: SparkSession, args: argparse.Namespace) -> None:
     topics = [names.READINGS_TOPIC, names.PREDICTIONS_TOPIC]
     wire = _records(spark, args, topics)
     points = archive.archive_points(wire)
-    run.wait(run.to_archive(points, args.path, args.checkpoint, finish=bool(args.records)))
+    finish = bool(args.records)
+    archived = run.to_archive(points, args.path, args.checkpoint, finish=finish)
+    if args.rejects:
+        # Points and records have nothing in common, so the records without a point have their own query.
+        bad = records.rejects(wire, channels=(), timed=True)
+        beside = run.start(bad, f"{args.checkpoint}-rejects", format="parquet", path=args.rejects, finish=finish)
+        if finish:
+            run.wait(beside)
+    run.wait(archived)
 
 
 def score(spark: SparkSession, args: argparse.Namespace) -> None:
     wire = _records(spark, args, names.READINGS_TOPIC)
     detector = det.Detector.load(spark, args.detector, args.model)
     sent = scoring.message_stream(
-        wire, detector, nested=args.nested, float32=args.float32, tie_cols=["offset"]
+        wire,
+        detector,
+        nested=args.nested,
+        float32=args.float32,
+        tie_cols=["offset"],
+        on_invalid="drop" if args.rejects else "error",
     )
-    _send(sent, args, names.PREDICTIONS_TOPIC)
+    if args.rejects:
+        _send_with_rejects(sent, wire, args, names.PREDICTIONS_TOPIC)
+    else:
+        _send(sent, args, names.PREDICTIONS_TOPIC)
 
 
 def diagnose(spark: SparkSession, args: argparse.Namespace) -> None:

@@ -175,28 +175,38 @@ def to_archive(points: DataFrame, path: str, checkpoint: str, **kw) -> Streaming
 
 
 Part = Callable[[DataFrame], DataFrame]
+Target = str | Callable[[DataFrame, int], None]
 
 
 def to_parts(
-    df: DataFrame, parts: Mapping[str, tuple[str, Part]], checkpoint: str, **kw
+    df: DataFrame, parts: Mapping[str, tuple[Target, Part]], checkpoint: str, **kw
 ) -> StreamingQuery:
-    """One query with several sinks: of every batch, each part goes to its own folder.
+    """One query with several sinks: of every batch, each part goes to its own target.
 
-    ``parts`` are a folder and a function of the batch by name. The batch is computed once. A
-    repeated batch replaces what it wrote before, in all folders.
+    ``parts`` are a target and a function of the batch by name. The batch is computed once. A
+    target is a folder, where a repeated batch replaces what it wrote before, or a function of
+    the rows and the batch's number.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         batch.persist()
         try:
-            for path, part in parts.values():
-                part(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+            for target, part in parts.values():
+                if callable(target):
+                    target(part(batch), number)
+                else:
+                    part(batch).write.mode("overwrite").parquet(f"{target}/batch={number}")
         finally:
             batch.unpersist()
 
     return start(df, checkpoint, write_batch=write, **kw)
 
 
+def kafka_target(options: Mapping[str, str]) -> Target:
+    """For ``to_parts``: messages to a topic. A repeated batch is sent again, as by any Kafka sink."""
+    return lambda rows, _number: rows.write.format("kafka").options(**options).save()
+
+
 def finished(query: StreamingQuery, spark: SparkSession | None = None) -> RunReport:
     """Wait for a query that ends by itself, or has been stopped, and tell its counts."""
     query.awaitTermination()

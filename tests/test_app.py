@@ -36,6 +36,32 @@ def test_archive_fit_score_diagnose(spark, tmp_path, model):
     assert spark.read.parquet(shapes).columns == ["value"]
 
 
+def test_damaged_records_end_no_job_and_are_kept(spark, tmp_path):
+    good = wire(spark, range(300))
+    text = F.col("value").cast("string")
+    bad = good.withColumn(
+        "value", F.when(F.col("offset") % 100 == 7, F.concat(F.lit("{"), text)).otherwise(text).cast("binary")
+    )
+    good.coalesce(1).write.parquet(f"{tmp_path}/history")
+    bad.coalesce(1).write.parquet(f"{tmp_path}/records")
+    path, detector = f"{tmp_path}/archive", f"{tmp_path}/detector"
+    call(spark, "archive", "--records", f"{tmp_path}/history", "--path", path, "--checkpoint", f"{tmp_path}/c1")
+    call(spark, "fit", "--path", path, "--detector", detector, "--as-of", "2024-01-02", "--window-mean")
+
+    records = ["--records", f"{tmp_path}/records"]
+    out, rejects = f"{tmp_path}/scores", f"{tmp_path}/rejects"
+    call(spark, "score", *records, "--detector", detector, "--out", out, "--rejects", rejects, "--checkpoint", f"{tmp_path}/c2")
+    kept = spark.read.parquet(rejects).select("reason").collect()
+    assert [r.reason for r in kept] == ["no JSON"] * 3
+    # Of the windows that end in time, those with a missing reading are not scored: 20 for each of the three but the first.
+    assert spark.read.parquet(out).count() == 275 - 8 - 20 - 20
+
+    beside = f"{tmp_path}/unreadable"
+    call(spark, "archive", *records, "--path", f"{tmp_path}/second", "--rejects", beside, "--checkpoint", f"{tmp_path}/c3")
+    assert spark.read.parquet(beside).count() == 3
+    assert spark.read.parquet(f"{tmp_path}/second").count() == 297 * 2
+
+
 def test_arguments():
     with pytest.raises(SystemExit):
         app.parser().parse_args(["score", "--detector", "d", "--checkpoint", "c"])
