@@ -323,6 +323,16 @@ FROM seq""",
     "row_sequences_keyed": f"""WITH {SENSOR}, {scaled()},
 {row_windowed("scaled", "us, event_id", by="user_id")}
 SELECT user_id, first_event, {DIGESTS} FROM seq GROUP BY user_id, first_event""",
+    "row_sequences_tied": f"""WITH {SENSOR}, {scaled()},
+{row_windowed("scaled", "CASE WHEN event_id % 3 = 0 THEN -1 ELSE event_id END, event_id")}
+SELECT first_event, {DIGESTS} FROM seq GROUP BY first_event""",
+    "row_index_equal_rows": f"""WITH {SENSOR},
+numbered AS (
+  SELECT topic, CAST(set_t % 2 AS INTEGER) AS odd,
+         row_number() OVER (ORDER BY topic, set_t % 2 NULLS FIRST) - 1 AS row_index
+  FROM sensor)
+SELECT topic, odd, min(row_index) AS first_row, max(row_index) AS last_row, count(*) AS n_rows
+FROM numbered GROUP BY topic, odd""",
     "training_pairs": f"""WITH {SENSOR}, {scaled()}, {row_windowed("scaled", "t, event_id")}
 SELECT first_event, CAST(2 * count(*) AS INTEGER) AS n,
        round(sum(x0 * (2 * pos + 1) + x1 * (2 * pos + 2)), 9) AS features,

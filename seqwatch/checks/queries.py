@@ -450,6 +450,29 @@ def row_sequences_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def row_sequences_tied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of all rows are equal in the order asked for; they follow each other by event."""
+    readings = scaled_readings(fixture.readings(spark, sf_dir))
+    third = F.when(F.col("event_id") % 3 == 0, -1).otherwise(F.col("event_id"))
+    found = rows.row_sequences(
+        readings.withColumn("place", third), order_by=["place"], carry=["event_id"], chunk_rows=512
+    )
+    return shaped(found).select(F.col("event_id").alias("first_event"), *digests())
+
+
+@query
+def row_index_equal_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows equal in all columns, thousands of each: the numbers each group of them takes."""
+    readings = fixture.readings(spark, sf_dir).select("topic", (F.col("set_t") % 2).alias("odd"))
+    numbered = rows.row_index(readings, ["topic"])
+    return numbered.groupBy("topic", "odd").agg(
+        F.min("row_index").alias("first_row"),
+        F.max("row_index").alias("last_row"),
+        F.countDistinct("row_index").alias("n_rows"),
+    )
+
+
 @query
 def training_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both sides of every pair, each as a number that depends on all its values."""

@@ -15,15 +15,33 @@ from seqwatch.operators.once import add_once
 #: Sampled rows per bucket; more make the buckets more even.
 SAMPLED = 64
 
+#: Keys of fewer equal rows than this are never split.
+TIED = 1024
 
-def _bounds(df: DataFrame, key: Column, buckets: int) -> Column:
+
+def _tied(df: DataFrame, key_hash: Column, buckets: int) -> tuple[int, list[int]]:
+    """The number of rows, and the hashes of the keys that fill a quarter of a bucket or more.
+
+    A frequent-items sketch finds them in one pass over the key columns: it tracks four times
+    as many keys as there can be such ones. A key that is named too often costs time, not rows.
+    """
+    most = 4 * buckets
+    found = df.select(key_hash.alias("_h")).agg(
+        F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(_h, {most}, {4 * most})").alias("top")
+    ).first()
+    least = max(TIED, found.n / most)
+    return found.n, [item["item"] for item in found.top or [] if item["count"] >= least]
+
+
+def _bounds(df: DataFrame, key: Column, key_hash: Column, buckets: int, every: float) -> Column:
     """The keys between buckets, ascending, in groups of about the root of their number.
 
-    A scalar subquery over the ``SAMPLED * buckets`` rows with the smallest hash of the key.
-    Which rows these are depends on nothing but the rows, so every use sees the same bounds.
+    A scalar subquery over the distinct keys of about one row in ``every``, drawn by the hash of
+    the key; a row that stands for ``_n`` equal ones is drawn ``_n`` times as often. Which rows
+    these are depends on nothing but the rows, so every use sees the same bounds.
     """
-    drawn = df.select(key.alias("_k"), F.xxhash64(key).alias("_h"))
-    drawn = drawn.orderBy("_h", "_k").limit(SAMPLED * buckets)
+    share = F.shiftrightunsigned(key_hash, 11) * 2.0**-53
+    drawn = df.filter(share * every < F.col("_n")).select(key.alias("_k")).distinct()
     ordered = F.array_sort(F.collect_list("_k"))
     width = math.isqrt(buckets - 1) + 1
     picked = drawn.agg(ordered.alias("k")).select(
@@ -41,46 +59,79 @@ def _bounds(df: DataFrame, key: Column, buckets: int) -> Column:
     return picked.select(F.transform(starts, lambda i: F.slice("k", i, width))).scalar()
 
 
+def _folded(df: DataFrame, key_hash: Column, tied: list[int], most: int) -> DataFrame:
+    """Equal rows of the tied keys as one row for up to ``most`` of them: their number is ``_n``,
+    ``_part`` tells rows apart that stand for the same. All other rows stay."""
+    is_tied = key_hash.isin(tied)
+    equal = df.filter(is_tied).groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_all"))
+    parts = equal.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_all") - 1, F.lit(most))))
+    parts = parts.withColumn("_n", F.least(F.lit(most), F.col("_all") - F.col("_part"))).drop("_all")
+    rest = df.filter(~is_tied).withColumns({"_part": F.lit(0).cast("long"), "_n": F.lit(1).cast("long")})
+    return rest.unionByName(parts)
+
+
+def dealt(df: DataFrame, order_by: Sequence[str], buckets: int) -> tuple[DataFrame, list[str]]:
+    """``df`` with ``_bucket``, ascending in the total order, and the columns of that order.
+
+    Rows are dealt by bounds taken from the rows themselves, which balances the buckets whatever
+    the values are. Keys with more rows than a bucket should have are split by the other columns
+    too, and rows that are equal in these as well are folded to one row for ``_n`` of them. Tables
+    with map or variant columns are split, but not folded.
+    """
+    unordered = ("map", "variant")
+    ties = [f.name for f in df.schema if f.name not in order_by and f.dataType.typeName() not in unordered]
+    order = [*order_by, *ties]
+    if buckets == 1:
+        return df.withColumns({"_bucket": F.lit(0), "_n": F.lit(1).cast("long")}), order
+    key_hash = F.xxhash64(*order_by)
+    n, tied = _tied(df, key_hash, buckets)
+    every = n / (SAMPLED * buckets)
+    weighted, split_by = df.withColumn("_n", F.lit(1).cast("long")), list(order_by)
+    if tied:
+        split_by = order
+        if len(order) == len(df.columns):
+            weighted = _folded(df, key_hash, tied, max(1, int(every)))
+            order = split_by = [*order, "_part"]
+    key = F.struct(*split_by)
+    groups = F.col("_groups")
+    group = F.size(F.filter(groups, lambda g: g[0] <= key))
+    inside = F.size(F.filter(F.get(groups, group - 1), lambda b: b <= key))
+    width = math.isqrt(buckets - 1) + 1
+    bucket = F.when(group > 0, (group - 1) * width + inside).otherwise(0)
+    bounds = _bounds(weighted, key, F.xxhash64(*split_by), buckets, every)
+    placed = add_once(weighted.withColumn("_groups", bounds), {"_bucket": bucket})
+    return placed.drop("_groups"), order
+
+
 def row_index(
     df: DataFrame, order_by: Sequence[str], name: str = "row_index", buckets: int | None = None
 ) -> DataFrame:
     """Number all rows from 0 in the total order ``order_by``, without a single-task sort.
 
-    Rows are dealt to buckets by bounds taken from the rows themselves, which balances them
-    whatever the values are, as long as ``order_by`` has few full ties. A bucket is numbered
-    from the count of rows before it. Nothing is pinned or written: bounds, counts and numbers
-    come out the same if a task is run again elsewhere. Rows equal in ``order_by`` are numbered
-    by their other columns.
+    Rows are :func:`dealt` to buckets, and a bucket is numbered from the count of rows before
+    it. Nothing is pinned or written: bounds, counts and numbers come out the same if a task is
+    run again elsewhere. Rows equal in ``order_by`` are numbered by their other columns, however
+    many they are. One pass over the columns of ``order_by`` runs at once, to find keys that hold
+    more rows than a bucket should. In rows of such keys -0.0 may become 0.0.
     """
     buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    key = F.struct(*order_by)
-    placed = df
-    if buckets > 1:
-        groups = F.col("_groups")
-        group = F.size(F.filter(groups, lambda g: g[0] <= key))
-        inside = F.size(F.filter(F.get(groups, group - 1), lambda b: b <= key))
-        width = math.isqrt(buckets - 1) + 1
-        bucket = F.when(group > 0, (group - 1) * width + inside).otherwise(0)
-        placed = add_once(df.withColumn("_groups", _bounds(df, key, buckets)), {"_bucket": bucket})
-        placed = placed.drop("_groups")
-    else:
-        placed = df.withColumn("_bucket", F.lit(0))
+    placed, order = dealt(df, order_by, buckets)
     preceding = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     # One row per bucket, which bounds both the window and the broadcast.
     offsets = (
         placed.groupBy("_bucket")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select("_bucket", F.coalesce(F.sum("_n").over(preceding), F.lit(0)).alias("_offset"))
-    )
-    unordered = ("map", "variant")
-    ties = [f.name for f in df.schema if f.name not in order_by and f.dataType.typeName() not in unordered]
-    place = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order_by, *ties))
-    return (
-        placed.withColumn("_place", place)
-        .join(F.broadcast(offsets), "_bucket")
-        .withColumn(name, F.col("_offset") + F.col("_place") - 1)
-        .drop("_bucket", "_place", "_offset")
+        .agg(F.sum("_n").alias("_size"))
+        .select("_bucket", F.coalesce(F.sum("_size").over(preceding), F.lit(0)).alias("_offset"))
     )
+    sorted_rows = Window.partitionBy("_bucket").orderBy(*order)
+    folded = "_part" in placed.columns
+    place = F.sum("_n").over(sorted_rows.rowsBetween(Window.unboundedPreceding, 0)) if folded else F.row_number().over(sorted_rows)
+    numbered = placed.withColumn("_place", place).join(F.broadcast(offsets), "_bucket")
+    last = F.col("_offset") + F.col("_place") - 1
+    if folded:
+        # Rows of one part are in one bucket; a part is a small share of it.
+        last = F.explode(F.sequence(last - F.col("_n") + 1, last))
+    return numbered.select(*df.columns, last.alias(name))
 
 
 def row_sequences(

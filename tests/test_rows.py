@@ -83,3 +83,62 @@ def test_no_task_holds_a_whole_series(spark):
     df = rows.row_sequences(readings(spark, 500), chunk_rows=50)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(_chunk" in plan and "Python" not in plan
+
+
+def tied_rows(spark):
+    """30,000 rows, a third of them at one key: half of those equal, half told apart by ``v``."""
+    row = F.col("id")
+    return spark.range(0, 30_000, 1, 7).select(
+        F.when(row % 3 == 0, 500).otherwise(row % 1_000).cast("int").alias("t"),
+        F.when((row % 3 == 0) & (row % 2 == 0), -1).otherwise(row).cast("long").alias("v"),
+    )
+
+
+@pytest.mark.parametrize("buckets", [2, 8, 50])
+def test_a_third_of_all_rows_at_one_key_spreads(spark, buckets, monkeypatch):
+    monkeypatch.setattr(rows, "TIED", 100)
+    df = tied_rows(spark)
+    got = rows.row_index(df, ["t"], buckets=buckets).collect()
+    want = sorted((r.t, r.v) for r in df.collect())
+    assert [(r.t, r.v) for r in sorted(got, key=lambda r: r.row_index)] == want
+    assert sorted(r.row_index for r in got) == list(range(30_000))
+
+    placed, order = rows.dealt(df, ["t"], buckets)
+    sizes = [r.n for r in placed.groupBy("_bucket").agg(F.sum("_n").alias("n")).collect()]
+    assert order == ["t", "v", "_part"] and sum(sizes) == 30_000
+    assert max(sizes) < 2 * 30_000 / buckets
+
+
+def test_all_rows_equal(spark, monkeypatch):
+    monkeypatch.setattr(rows, "TIED", 100)
+    df = spark.range(20_000).select(F.lit(1.5).alias("t"), F.lit(None).cast("string").alias("x"))
+    placed, _ = rows.dealt(df, ["t"], 8)
+    sizes = [r.n for r in placed.groupBy("_bucket").agg(F.sum("_n").alias("n")).collect()]
+    assert sum(sizes) == 20_000 and max(sizes) < 5_000
+    got = rows.row_index(df, ["t"], buckets=8)
+    assert sorted(r.row_index for r in got.collect()) == list(range(20_000))
+
+
+def test_tied_keys_with_map_columns(spark, monkeypatch):
+    monkeypatch.setattr(rows, "TIED", 100)
+    df = tied_rows(spark).withColumn("m", F.create_map(F.lit("a"), "v"))
+    got = rows.row_index(df, ["t"], buckets=8).collect()
+    want = sorted((r.t, r.v) for r in df.collect())
+    assert [(r.t, r.v) for r in sorted(got, key=lambda r: r.row_index)] == want
+    assert all(r.m == {"a": r.v} for r in got)
+
+
+def test_no_key_is_split_without_ties(spark, monkeypatch):
+    monkeypatch.setattr(rows, "TIED", 2)
+    placed, _ = rows.dealt(readings(spark, 2_000), ["timestamp"], 8)
+    assert "_part" not in placed.columns
+    sizes = [r.n for r in placed.groupBy("_bucket").agg(F.sum("_n").alias("n")).collect()]
+    assert sum(sizes) == 2_000 and max(sizes) < 600
+
+
+def test_sequences_across_a_tied_key(spark, monkeypatch):
+    plain = readings(spark, 400).withColumn("timestamp", F.timestamp_seconds(F.floor(F.col("set_t") / 200)))
+    want = sorted(r.features for r in rows.row_sequences(plain).collect())
+    monkeypatch.setattr(rows, "TIED", 100)
+    assert sorted(r.features for r in rows.row_sequences(plain).collect()) == want
+    assert len(want) == 381
