@@ -8,8 +8,10 @@ segment starts from the rarest term of each window, shifts its positions by the
 in the window, and intersects them with the next rarest term's until a list is empty or all
 terms agree.
 
-Test texts are searched in blocks of at most ``BLOCK_WINDOWS`` windows, which bounds what a
-task is sent; the index is read once per block.
+Windows of the tests are made in tasks and grouped to distinct ones. They are searched in blocks of
+at most ``BLOCK_WINDOWS``, by exact counts, which bounds what the driver holds and a task is sent; the
+index is read twice per block, for counts and for the search. Windows with the same items share
+an owner set, known by a hash of the items; occurrences name owner sets, and a join gives the items.
 """
 
 from __future__ import annotations
@@ -23,10 +25,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from seqwatch.llm import kernels, tables
+from seqwatch.session import scratch_path
 
 WINDOW = 13
 SEGMENT_BYTES = 8 << 20
 BLOCK_WINDOWS = 200_000
+EMITTED = 1 << 14
+SALTS = 16
 
 #: Digits, letters and everything beyond ASCII.
 LETTERS = kernels.byte_class((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
@@ -72,41 +77,71 @@ def index(docs: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Windows:
-    """Distinct test windows: rows of term numbers (-1 beyond the length), and who has them."""
+    """Distinct test windows: rows of term numbers (-1 beyond the length), and their owner sets."""
 
     terms: np.ndarray  # distinct term hashes, sorted
     rows: np.ndarray  # [window, place] -> term number
     lengths: np.ndarray
-    owner_window: np.ndarray  # pairs (window, item), by window
-    owner_item: np.ndarray
+    owners: np.ndarray  # window -> number of its owner set
+    names: list[str]  # owner sets
 
     def __len__(self) -> int:
         return len(self.lengths)
 
 
-def windows_of(texts: list[str | None], items: list[int], size: int = WINDOW) -> Windows:
-    """All runs of ``size`` words of each text; a shorter text, but not an empty one, is one window."""
-    batch = pa.record_batch([pa.array(texts, pa.large_string())], names=["text"])
-    found: dict[bytes, set[int]] = {}
-    at = 0
-    for first, end, data, offsets in kernels.blocks(batch):
+def _binaries(rows: np.ndarray) -> pa.Array:
+    """Rows of term hashes as binary values."""
+    n, width = rows.shape
+    offsets = np.arange(n + 1, dtype=np.int32) * (8 * width)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(rows.tobytes())])
+
+
+def windows_of(texts: pa.Array, items: np.ndarray, size: int = WINDOW) -> Iterator[pa.RecordBatch]:
+    """``window, item`` of all runs of ``size`` words of each text, some thousands at a time; a shorter
+    text, but not an empty one, is one window. A window is the hashes of its words."""
+    batch = pa.record_batch([texts], names=["text"])
+    for first, _, data, offsets in kernels.blocks(batch):
         starts, ends, counts = kernels.words(data, offsets, LETTERS)
         hashes = kernels.word_hashes(data, starts, ends)
+        item = np.repeat(items[first : first + len(counts)], counts)
+        text = np.repeat(np.arange(len(counts)), counts)
+        whole = np.flatnonzero(text[: max(0, len(text) - size + 1)] == text[size - 1 :])
+        for at in range(0, len(whole), EMITTED):
+            some = whole[at : at + EMITTED]
+            yield pa.record_batch([_binaries(hashes[some[:, None] + np.arange(size)]), pa.array(item[some])], names=["window", "item"])
         bounds = np.concatenate([[0], np.cumsum(counts)])
-        for i in range(end - first):
-            own = hashes[bounds[i] : bounds[i + 1]]
-            for j in range(max(1, len(own) - size + 1) if len(own) else 0):
-                found.setdefault(own[j : j + size].tobytes(), set()).add(items[at + i])
-        at += end - first
-    keys = sorted(found)
-    lengths = np.array([len(k) // 8 for k in keys], dtype=np.int64)
-    flat = np.frombuffer(b"".join(keys), dtype=np.uint64)
-    terms, number = np.unique(flat, return_inverse=True)
-    rows = np.full((len(keys), size), -1)
+        short = np.flatnonzero((counts > 0) & (counts < size))
+        if len(short):
+            own = [hashes[bounds[i] : bounds[i + 1]].tobytes() for i in short]
+            yield pa.record_batch([pa.array(own, pa.binary()), pa.array(item[bounds[short]])], names=["window", "item"])
+
+
+def window_table(windows: list[bytes], owners: list[str], size: int = WINDOW) -> Windows:
+    """One block of windows for the search."""
+    lengths = np.array([len(k) // 8 for k in windows], dtype=np.int64)
+    terms, number = np.unique(np.frombuffer(b"".join(windows), dtype=np.uint64), return_inverse=True)
+    rows = np.full((len(windows), size), -1)
     rows[np.arange(size) < lengths[:, None]] = number
-    owners = [(w, item) for w, k in enumerate(keys) for item in sorted(found[k])]
-    window, item = (np.array(x, dtype=np.int64) for x in zip(*owners)) if owners else (np.zeros(0, dtype=np.int64),) * 2
-    return Windows(terms, rows, lengths, window, item)
+    names, owner = np.unique(np.array(owners, dtype=object), return_inverse=True)
+    return Windows(terms, rows, lengths, owner, names.tolist())
+
+
+def test_windows(tests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stored ``window, owners`` of the distinct windows of ``item_id, text`` rows, and ``owners, item``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from windows_of(batch.column("text"), batch.column("item").to_numpy())
+
+    rows = tests.select(F.col("item_id").cast("long").alias("item"), "text").filter("item IS NOT NULL")
+    pairs = tables.stored(rows.mapInArrow(run, "window binary, item long").distinct(), "test-windows")
+    # The items of a window are told apart by the exclusive or of two hashes of each, and their number.
+    owners = F.concat_ws(
+        ":", F.bit_xor(F.xxhash64("item")), F.bit_xor(F.xxhash64("item", F.lit(1))), F.count("item")
+    )
+    windows = tables.stored(pairs.groupBy("window").agg(owners.alias("owners")), "owned-windows")
+    one_of_each = windows.groupBy("owners").agg(F.min("window").alias("window"))
+    return windows, tables.stored(one_of_each.join(pairs, "window").select("owners", "item"), "owners")
 
 
 def _lookup(terms: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -134,6 +169,7 @@ def frequencies(stored: DataFrame, wanted: np.ndarray) -> np.ndarray:
     out = np.zeros(len(wanted), dtype=np.int64)
     for row in sums.collect():  # as many rows as wanted terms at most
         out[row.term] = row.n
+    shared.destroy()
     return out
 
 
@@ -180,8 +216,12 @@ def _segments(batches: Iterator[pa.RecordBatch]):
 SEARCHED = ("segment", "terms", "counts", "positions", "first_words")
 
 
+HITS = "segment long, doc long, starts array<long>, ends array<long>, owners array<string>"
+
+
 def search(stored: DataFrame, found: Windows) -> DataFrame:
-    """``segment, doc, item, starts, ends``: per document and item, the word runs that windows cover."""
+    """``segment, doc, starts, ends, owners``: per document with occurring windows, the word runs
+    that they cover and their owner sets."""
     counts = frequencies(stored, found.terms)
     rarity = np.where(found.rows >= 0, counts[found.rows], np.iinfo(np.int64).max)
     orders = np.argsort(rarity, axis=1, kind="stable")
@@ -190,25 +230,27 @@ def search(stored: DataFrame, found: Windows) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, orders = shared.value
         for segment, terms, positions, first_words in _segments(batches):
-            hits: dict[tuple[int, int], list[tuple[int, int]]] = {}
+            runs: dict[int, list[tuple[int, int]]] = {}
+            owners: dict[int, set[int]] = {}
             at = _lookup(terms, found.terms)
             for w, starts in occurrences(positions, first_words, at, found, orders):
                 docs = np.searchsorted(first_words, starts, "right") - 1
-                low, high = np.searchsorted(found.owner_window, [w, w + 1])
+                length, owner = int(found.lengths[w]), int(found.owners[w])
                 for doc, start in zip(docs.tolist(), starts.tolist()):
-                    for item in found.owner_item[low:high].tolist():
-                        hits.setdefault((doc, item), []).append((start, start + int(found.lengths[w])))
-            if hits:
-                runs = [_merged(x) for x in hits.values()]
+                    runs.setdefault(doc, []).append((start, start + length))
+                    owners.setdefault(doc, set()).add(owner)
+            if runs:
+                merged = [_merged(x) for x in runs.values()]
                 yield pa.record_batch(
                     [
-                        pa.array([segment] * len(hits)), pa.array([d for d, _ in hits]), pa.array([i for _, i in hits]),
-                        pa.array([[a for a, _ in r] for r in runs]), pa.array([[b for _, b in r] for r in runs]),
+                        pa.array([segment] * len(runs)), pa.array(list(runs)),
+                        pa.array([[a for a, _ in r] for r in merged]), pa.array([[b for _, b in r] for r in merged]),
+                        pa.array([[found.names[o] for o in sorted(owners[d])] for d in runs]),
                     ],
-                    names=["segment", "doc", "item", "starts", "ends"],
+                    names=["segment", "doc", "starts", "ends", "owners"],
                 )
 
-    return stored.select(*SEARCHED).mapInArrow(run, "segment long, doc long, item long, starts array<long>, ends array<long>")
+    return stored.select(*SEARCHED).mapInArrow(run, HITS)
 
 
 def _merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -242,10 +284,12 @@ def documents(stored: DataFrame) -> DataFrame:
 def near(stored: DataFrame, words: list[str], within: int) -> DataFrame:
     """Proximity matches: ``segment, doc, position`` where each of the words is at most ``within``
     words away from the rarest of them, at ``position``, in the same document. No words match nothing."""
-    joined = windows_of([" ".join(words)], [0], size=max(1, len(words)))
-    counts = frequencies(stored, joined.terms)
+    data = np.frombuffer(" ".join(words).encode(), dtype=np.uint8)
+    starts, ends, _ = kernels.words(data, np.array([0, len(data)]), LETTERS)
+    terms = np.unique(kernels.word_hashes(data, starts, ends))
+    counts = frequencies(stored, terms)
     order = np.argsort(counts, kind="stable")
-    shared = stored.sparkSession.sparkContext.broadcast((joined.terms, order))
+    shared = stored.sparkSession.sparkContext.broadcast((terms, order))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, order = shared.value
@@ -282,19 +326,21 @@ def _union_size(starts: Column, ends: Column) -> Column:
     return F.aggregate(runs, zero, add)["n"]
 
 
-def test_blocks(tests: DataFrame, limit: int = BLOCK_WINDOWS) -> Iterator[Windows]:
-    """Test rows ``item_id, text`` as window tables, a bounded number of windows at a time."""
-    texts, items, n = [], [], 0
-    for row in tests.select(F.col("item_id").cast("long"), "text").toLocalIterator():
-        if row.item_id is not None:
-            texts.append(row.text)
-            items.append(row.item_id)
-            n += 1 + len(row.text or "") // 5
-        if n >= limit:
-            yield windows_of(texts, items)
-            texts, items, n = [], [], 0
-    if texts:
-        yield windows_of(texts, items)
+def test_blocks(windows: DataFrame, limit: int | None = None) -> Iterator[Windows]:
+    """Distinct windows as tables of at most ``limit`` of them, one at a time."""
+    limit = limit or BLOCK_WINDOWS
+    blocks = -(-windows.count() // limit)
+    dealt = windows.withColumn("block", F.lit(0).cast("long"))
+    while blocks > 1:
+        dealt = windows.withColumn("block", F.pmod(F.xxhash64("window"), F.lit(blocks)))
+        if dealt.groupBy("block").count().agg(F.max("count")).first()[0] <= limit:
+            dealt = tables.stored(dealt.repartitionByRange("block").sortWithinPartitions("block"), "window-blocks")
+            break
+        blocks += 1 + blocks // 8
+    for block in range(blocks):
+        rows = dealt.filter(F.col("block") == block).select("window", "owners").toArrow()
+        if len(rows):
+            yield window_table(rows.column("window").to_pylist(), rows.column("owners").to_pylist())
 
 
 def contamination(docs: DataFrame, tests: DataFrame, least_share: int = 20) -> DataFrame:
@@ -305,20 +351,25 @@ def contamination(docs: DataFrame, tests: DataFrame, least_share: int = 20) -> D
     Repeated rows get a row each; test rows without an id or words are left out. Without tests
     nothing is hit. ``key_`` is :func:`tables.text_key`, to join decisions back to documents.
     """
+    spark = docs.sparkSession
     stored = index(docs)
-    hits = None
-    for block in test_blocks(tests):
-        if len(block):
-            some = search(stored, block)
-            hits = some if hits is None else hits.unionByName(some)
+    windows, owned = test_windows(tests)
+    path = scratch_path(spark, "hits")
+    spark.createDataFrame([], HITS).write.parquet(path)
+    for block in test_blocks(windows):
+        search(stored, block).write.mode("append").parquet(path)
+    hits = spark.read.schema(HITS).parquet(path)
+    # Many documents may hold windows of one owner set: these are spread by salt.
+    named = hits.select("segment", "doc", F.explode("owners").alias("owners"), F.pmod(F.xxhash64("segment", "doc"), F.lit(SALTS)).alias("salt"))
+    salted = owned.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    items = named.join(salted, ["owners", "salt"]).groupBy("segment", "doc").agg(F.collect_set("item").alias("items"))
     all_docs = documents(stored)
-    if hits is None:
-        hits = all_docs.limit(0).selectExpr("segment", "doc", "doc AS item", "array(doc) AS starts", "array(doc) AS ends")
-    per_doc = tables.stored(hits, "hits").groupBy("segment", "doc").agg(
-        F.collect_set("item").alias("items"), F.collect_list(F.struct("starts", "ends")).alias("runs")
-    )  # per document, bounded by its words and the tests
+    per_doc = hits.groupBy("segment", "doc").agg(
+        F.collect_list(F.struct("starts", "ends")).alias("runs")
+    )  # per document, bounded by its words and the blocks
     n_hit = _union_size(F.col("runs.starts"), F.col("runs.ends"))
-    per_doc = per_doc.select("segment", "doc", "items", n_hit.alias("n_hit"))
+    per_doc = per_doc.select("segment", "doc", n_hit.alias("n_hit")).join(items, ["segment", "doc"])
+    per_doc = tables.stored(per_doc, "hit-documents")
     joined = all_docs.join(per_doc, ["segment", "doc"], "left")
     joined = joined.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0)), "items": F.coalesce("items", F.array().cast("array<long>"))})
     dirty = (F.col("n_hit") > 0) & (F.col("n_hit") * least_share >= F.col("n_words"))

@@ -80,3 +80,19 @@ def test_unused_names(spark):
 
     df = spark.range(1).select(F.lit(1).alias("At"), F.lit(2).alias("at_"))
     assert tables.unused(df, "at", "at", "new") == ["at__", "at___", "new"]
+
+
+def test_items_that_share_windows(spark, monkeypatch):
+    word = [f"w{i}" for i in range(60)]
+    both, first, other = " ".join(word[:40]), " ".join(word[:20]), " ".join(word[30:50])
+    tests = spark.createDataFrame([(1, both), (2, both), (3, first), (4, other), (5, "w3 w4"), (5, "w3 w4")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(word)), (2, f"x {first} y"), (3, "w3 w4 " * 30), (4, "w4 w3")], "doc_id long, text string")
+    windows, owned = decontamination.test_windows(tests)
+    assert {r.owners for r in owned.collect()} == {r.owners for r in windows.collect()}
+    want = {1: (50, [1, 2, 3, 4, 5]), 2: (20, [1, 2, 3, 5]), 3: (60, [5]), 4: (0, [])}
+    for limit in (1000, 7):
+        monkeypatch.setattr(decontamination, "BLOCK_WINDOWS", limit)
+        blocks = list(decontamination.test_blocks(windows))
+        assert max(map(len, blocks)) <= limit and sum(map(len, blocks)) == windows.count()
+        got = decontamination.contamination(docs, tests).collect()
+        assert {r.doc_id: (r.n_hit, sorted(r["items"])) for r in got} == want
