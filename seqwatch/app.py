@@ -2,7 +2,7 @@
 
     app.py archive  --servers HOST --path ARCHIVE --checkpoint DIR
     app.py fit      --path ARCHIVE --detector DIR [--as-of TIME] [--days 2] [--pca 8 | --absolute 8 | --window-mean]
-    app.py score    --servers HOST --detector DIR --checkpoint DIR [--nested] [--float32]
+    app.py score    --servers HOST --detector DIR --checkpoint DIR [--nested] [--float32] [--late DIR] [--rejects DIR]
     app.py diagnose --servers HOST --detector DIR --checkpoint DIR
 
 Streams run until they are stopped. With ``--records`` and ``--out`` folders in place of
@@ -70,6 +70,8 @@ def parser() -> argparse.ArgumentParser:
         sub.add_argument("--model", type=named, help="MODULE:FUNCTION that loads a model of your own")
         sub.add_argument("--rejects", help="folder for records without a reading, which then end no job")
         sub.add_argument("--float32", action="store_true", help="compare at single precision")
+        if sub.prog.endswith(" score"):
+            sub.add_argument("--late", help="folder for readings that came too late for some window")
     return root
 
 
@@ -138,18 +140,26 @@ def store(spark: SparkSession, args: argparse.Namespace) -> None:
 def score(spark: SparkSession, args: argparse.Namespace) -> None:
     wire = _records(spark, args, names.READINGS_TOPIC)
     detector = det.Detector.load(spark, args.detector, args.model)
+    reading = dict(tie_cols=["offset"], on_invalid="drop" if args.rejects else "error")
     sent = scoring.message_stream(
-        wire,
-        detector,
-        nested=args.nested,
-        float32=args.float32,
-        tie_cols=["offset"],
-        on_invalid="drop" if args.rejects else "error",
+        wire, detector, nested=args.nested, float32=args.float32, **reading
     )
+    if args.late:
+        # A query of its own: it keeps its state beside that of the scores.
+        beside = run.start(
+            scoring.late_stream(wire, detector.scaler, **reading),
+            f"{args.checkpoint}-late",
+            format="parquet",
+            path=args.late,
+            finish=bool(args.records),
+            state_partitions=args.state_partitions,
+        )
     if args.rejects:
         _send_with_rejects(sent, wire, args, names.PREDICTIONS_TOPIC)
     else:
         _send(sent, args, names.PREDICTIONS_TOPIC)
+    if args.late and args.records:
+        run.wait(beside)
 
 
 def diagnose(spark: SparkSession, args: argparse.Namespace) -> None:

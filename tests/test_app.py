@@ -62,6 +62,21 @@ def test_damaged_records_end_no_job_and_are_kept(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/second").count() == 297 * 2
 
 
+def test_late_readings_are_kept(spark, tmp_path):
+    wire(spark, range(300)).coalesce(1).write.parquet(f"{tmp_path}/records")
+    path, detector, late = f"{tmp_path}/archive", f"{tmp_path}/detector", f"{tmp_path}/late"
+    records = ["--records", f"{tmp_path}/records"]
+    call(spark, "archive", *records, "--path", path, "--checkpoint", f"{tmp_path}/c1")
+    call(spark, "fit", "--path", path, "--detector", detector, "--as-of", "2024-01-02", "--window-mean")
+    score = ["score", *records, "--detector", detector, "--out", f"{tmp_path}/out", "--late", late, "--checkpoint", f"{tmp_path}/c2"]
+    call(spark, *score)
+    assert spark.read.parquet(late).count() == 0
+    wire(spark, range(100, 110), first=300).coalesce(1).write.mode("append").parquet(f"{tmp_path}/records")
+    call(spark, *score)
+    found = spark.read.parquet(late).select("offset", "missed_windows").collect()
+    assert sorted((r.offset, r.missed_windows) for r in found) == [(i, 20) for i in range(300, 310)]
+
+
 def test_arguments():
     with pytest.raises(SystemExit):
         app.parser().parse_args(["score", "--detector", "d", "--checkpoint", "c"])
