@@ -54,9 +54,11 @@ def parser() -> argparse.ArgumentParser:
     kind.add_argument("--window-mean", action="store_true", help="a model that needs no fitting")
     kind.add_argument("--model", type=named, help="MODULE:FUNCTION that fits a model of your own")
     fit.add_argument("--drop-incomplete", action="store_true", help="leave out incomplete history rows")
+    scores = job("score", "detector", "checkpoint")
+    scores.add_argument("--late", help="folder for readings that came too late for some window")
     for sub in (
         job("archive", "path", "checkpoint"),
-        job("score", "detector", "checkpoint"),
+        scores,
         job("diagnose", "detector", "checkpoint"),
     ):
         origin = sub.add_mutually_exclusive_group(required=True)
@@ -70,8 +72,6 @@ def parser() -> argparse.ArgumentParser:
         sub.add_argument("--model", type=named, help="MODULE:FUNCTION that loads a model of your own")
         sub.add_argument("--rejects", help="folder for records without a reading, which then end no job")
         sub.add_argument("--float32", action="store_true", help="compare at single precision")
-        if sub.prog.endswith(" score"):
-            sub.add_argument("--late", help="folder for readings that came too late for some window")
     return root
 
 

@@ -343,6 +343,12 @@ firsts AS (SELECT DISTINCT first_event FROM seq ORDER BY first_event LIMIT 2)
 SELECT first_event, CAST(2 * pos + c AS INTEGER) AS pos,
        round(CASE WHEN c = 0 THEN x0 ELSE x1 END, 9) AS label
 FROM seq JOIN firsts USING (first_event), range(0, 2) AS r(c)""",
+    "fit_split_schema": f"""WITH {SENSOR}, {scaled()}, {row_windowed("scaled", "t, event_id")},
+pairs AS (SELECT first_event, list(x0 ORDER BY pos) AS features FROM seq GROUP BY first_event)
+SELECT CAST(c AS INTEGER) AS position, ['event_id', 'features', 'labels'][c + 1] AS name,
+       ['bigint', 'array<double>', 'array<double>'][c + 1] AS type, count(*) AS n_rows,
+       count(*) - count(CASE WHEN c = 0 THEN CAST(first_event AS VARCHAR) ELSE CAST(features AS VARCHAR) END) AS n_nulls
+FROM pairs, range(0, 3) AS r(c) GROUP BY c""",
     "sequence_mae": f"""WITH {SENSOR}, {scaled()}, {windowed()},
 {errors("win", "ws", "win_errors", " WHERE n >= 20")}
 SELECT ws AS window_start, ws + 20 AS window_end, round(e0, 9) AS mae_set_t,

@@ -503,6 +503,15 @@ def fit_split_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("first_event", "pos", rounded("label").alias("label"))
 
 
+@query
+def fit_split_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of the training pairs, with the counts of all of them."""
+    found = rows.row_sequences(
+        scaled_readings(fixture.readings(spark, sf_dir)), order_by=["timestamp", "event_id"]
+    )
+    return tables.schema_rows(rows.as_training_pairs(found, partitions=2, carry=["event_id"]))
+
+
 # Scores
 
 

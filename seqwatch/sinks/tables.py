@@ -64,3 +64,23 @@ def write_batch(points: DataFrame, path: str, number: int) -> None:
 def preview(df: DataFrame, order_by: list[str], n: int = 2) -> tuple[StructType, DataFrame]:
     """Schema and the first ``n`` rows of a stated order."""
     return df.schema, df.orderBy(*order_by).limit(n)
+
+
+def schema_rows(df: DataFrame) -> DataFrame:
+    """The schema as rows, one per column, with the number of rows and of nulls in it; one pass."""
+    fields = df.schema.fields
+    counted = df.agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.count(F.col(f"`{f.name}`")).alias(f"n{i}") for i, f in enumerate(fields)],
+    )
+    described = [
+        F.struct(
+            F.lit(i).alias("position"),
+            F.lit(f.name).alias("name"),
+            F.lit(f.dataType.simpleString()).alias("type"),
+            F.col("n").alias("n_rows"),
+            (F.col("n") - F.col(f"n{i}")).alias("n_nulls"),
+        )
+        for i, f in enumerate(fields)
+    ]
+    return counted.select(F.inline(F.array(*described)))
