@@ -374,11 +374,8 @@ def sliding_sequences_irregular(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vector_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = fixture.readings(spark, sf_dir)
     tagged = scaling.time_tagged_vectors(df, scaling.fit_model(df))
-    span, step = times.interval_text(names.WINDOW), times.interval_text(names.SLIDE)
-    grouped = tagged.groupBy(F.window("timestamp", span, step)).agg(
-        sequences.ordered_vectors(F.col("features_with_timestamp")).alias("features")
-    )
-    return grouped.select(*window_bounds(), *digests())
+    found = windows.sliding_vectors(tagged, "features_with_timestamp")
+    return found.select(*window_bounds(), *digests())
 
 
 @query

@@ -174,3 +174,16 @@ def grouped_sequences(
     in_order = sequences.strip_time(F.array_sort("_points"), len(channels))
     ordered = grouped.withColumn("_found", in_order).drop("_points")
     return _checked(ordered, steps, on_overflow)
+
+
+def sliding_vectors(
+    df: DataFrame, vector: str, channels: Sequence[str] = names.CHANNELS, **options
+) -> DataFrame:
+    """:func:`sliding_sequences` of ``array<double>`` rows that are led by their time in seconds.
+
+    Rows of one time are ordered by their remaining elements.
+    """
+    time_col = options.get("time_col", "timestamp")
+    kept = [time_col, *options.get("series_keys", ()), *options.get("tie_cols", ())]
+    elements = [F.get(vector, F.lit(i + 1)).alias(c) for i, c in enumerate(channels)]
+    return sliding_sequences(df.select(*dict.fromkeys(kept), *elements), channels, **options)

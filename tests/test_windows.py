@@ -136,6 +136,19 @@ def test_ordered_vectors(spark):
     assert got == [[3.0, 4.0], [5.0, 6.0]]
 
 
+def test_vectors_as_grouped_by_window(spark):
+    rng = random.Random(3)
+    data = [(rng.choice("ab"), [float(rng.choice([0, 1, 2, 40, 41, 90])), rng.random(), rng.random()]) for _ in range(80)]
+    df = spark.createDataFrame(data, "series string, v array<double>").withColumn(
+        "timestamp", F.timestamp_seconds(F.col("v")[0])
+    )
+    want = df.groupBy("series", F.window("timestamp", "20 seconds", "1 second")).agg(
+        sequences.ordered_vectors(F.col("v")).alias("features")
+    )
+    got = windows.sliding_vectors(df, "v", series_keys=["series"])
+    assert result(got) == result(want) != []
+
+
 def test_reshape_and_shape_text(spark):
     seq = [[float(t), float(-t)] for t in range(20)]
     df = spark.createDataFrame([(seq,)], "s array<array<double>>")
