@@ -125,6 +125,9 @@ def row_index(
     )
     sorted_rows = Window.partitionBy("_bucket").orderBy(*order)
     folded = "_part" in placed.columns
+    if folded:
+        # Folded rows are few, but not those they stand for: buckets must not be coalesced by size.
+        placed = placed.repartitionById(buckets, F.col("_bucket"))
     place = F.sum("_n").over(sorted_rows.rowsBetween(Window.unboundedPreceding, 0)) if folded else F.row_number().over(sorted_rows)
     numbered = placed.withColumn("_place", place).join(F.broadcast(offsets), "_bucket")
     last = F.col("_offset") + F.col("_place") - 1

@@ -131,6 +131,14 @@ def test_tied_keys_with_map_columns(spark, monkeypatch):
 def test_no_key_is_split_without_ties(spark, monkeypatch):
     monkeypatch.setattr(rows, "TIED", 2)
     placed, _ = rows.dealt(readings(spark, 2_000), ["timestamp"], 8)
+def test_rows_of_folded_ones_are_made_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(rows, "TIED", 100)
+    df = spark.range(20_000).select(F.lit(1.5).alias("t"), F.lit(None).cast("string").alias("x"))
+    numbered = rows.row_index(df, ["t"], buckets=8)
+    sizes = [r["count"] for r in numbered.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert sum(sizes) == 20_000 and max(sizes) < 5_000
+
+
     assert "_part" not in placed.columns
     sizes = [r.n for r in placed.groupBy("_bucket").agg(F.sum("_n").alias("n")).collect()]
     assert sum(sizes) == 2_000 and max(sizes) < 600
