@@ -93,6 +93,11 @@ def state_partitions(spark: SparkSession) -> int:
 
 
 # Records
+def trainer_tasks(spark: SparkSession, trainers: int) -> int:
+    """Tasks for each trainer's share, so that all together are as many as of any other shuffle."""
+    return -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // trainers)
+
+
 
 
 @query
@@ -476,7 +481,7 @@ def training_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rows.row_sequences(
         scaled_readings(fixture.readings(spark, sf_dir)), order_by=["timestamp", "event_id"]
     )
-    pairs = rows.as_training_pairs(found, partitions=4, carry=["event_id"])
+    pairs = rows.as_training_pairs(found, partitions=4, carry=["event_id"], tasks=trainer_tasks(spark, 4))
 
     def weighted(side: str) -> Column:
         terms = F.transform(side, lambda x, i: x * (i + 1))
@@ -493,7 +498,7 @@ def fit_split_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rows.row_sequences(
         scaled_readings(fixture.readings(spark, sf_dir)), order_by=["timestamp", "event_id"]
     )
-    pairs = rows.as_training_pairs(found, partitions=2, carry=["event_id"])
+    pairs = rows.as_training_pairs(found, partitions=2, carry=["event_id"], tasks=trainer_tasks(spark, 2))
     _, first = tables.preview(pairs, ["event_id"], 2)
     return first.select(
         F.col("event_id").alias("first_event"), F.posexplode("labels").alias("pos", "label")
@@ -506,7 +511,8 @@ def fit_split_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rows.row_sequences(
         scaled_readings(fixture.readings(spark, sf_dir)), order_by=["timestamp", "event_id"]
     )
-    return tables.schema_rows(rows.as_training_pairs(found, partitions=2, carry=["event_id"]))
+    pairs = rows.as_training_pairs(found, partitions=2, carry=["event_id"], tasks=trainer_tasks(spark, 2))
+    return tables.schema_rows(pairs)
 
 
 # Scores

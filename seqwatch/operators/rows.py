@@ -183,8 +183,17 @@ def row_sequences(
 
 
 def as_training_pairs(
-    sequence_rows: DataFrame, partitions: int | None = None, carry: Sequence[str] = ()
+    sequence_rows: DataFrame,
+    partitions: int | None = None,
+    carry: Sequence[str] = (),
+    tasks: int = 1,
 ) -> DataFrame:
-    """``features`` and identical ``labels``, spread evenly over ``partitions`` trainers."""
-    pairs = sequence_rows.select(*carry, "features", F.col("features").alias("labels"))
-    return pairs.repartition(partitions) if partitions else pairs
+    """``features`` and identical ``labels``, spread evenly over ``partitions`` trainers.
+
+    A trainer's share is read by ``tasks`` tasks: trainer i has the partitions i,
+    i + ``partitions``, and so on. Labels are added after the shuffle.
+    """
+    kept = sequence_rows.select(*carry, "features")
+    if partitions:
+        kept = kept.repartition(partitions * tasks)
+    return kept.select("*", F.col("features").alias("labels"))

@@ -79,6 +79,18 @@ def test_training_pairs(spark):
     assert pairs.filter("features = labels").count() == 41
 
 
+def test_a_trainers_share_is_read_by_several_tasks(spark):
+    sequences = rows.row_sequences(readings(spark, 260), carry=["id"])
+    pairs = rows.as_training_pairs(sequences, partitions=2, carry=["id"], tasks=4)
+    part = F.spark_partition_id()
+    sizes = [r["count"] for r in pairs.groupBy(part.alias("p")).count().collect()]
+    trainers = pairs.groupBy((part % 2).alias("trainer")).count().collect()
+    assert len(sizes) == 8 and max(sizes) < 241 / 4
+    assert all(abs(r["count"] - 241 / 2) < 20 for r in trainers)
+    assert pairs.columns == ["id", "features", "labels"]
+    assert pairs.filter("features = labels").select("id").distinct().count() == 241
+
+
 def test_no_task_holds_a_whole_series(spark):
     df = rows.row_sequences(readings(spark, 500), chunk_rows=50)
     plan = df._jdf.queryExecution().executedPlan().toString()
