@@ -72,17 +72,18 @@ def stream_windows(
     slide: timedelta = names.SLIDE,
     steps: int = names.STEPS,
     on_overflow: str = "error",
-    burst_slots: int = 4,
+    burst_slots: int | None = None,
+    least_block: int = stateful.LEAST_BLOCK,
     **reading,
 ) -> DataFrame:
     """Records to ordered sequences per window; append mode emits a window once,
     when the watermark has passed its end.
 
-    Windows of at most ``steps`` points are cut out of state that has each point once. With
-    ``on_overflow="keep"`` a window may have any number of points: it is then gathered in
-    ``burst_slots`` groups, so that one busy series does not end in one task.
+    Windows are cut out of state that has each point once. With ``on_overflow="keep"`` a window
+    may have any number of points. With ``burst_slots`` as well it is gathered in that many
+    groups, which write each point 20 times, so that one busy series does not end in one task.
     """
-    if on_overflow == "keep":
+    if on_overflow == "keep" and burst_slots:
         scaled = read_scaled(wire, scaler, series_keys=series_keys, tie_cols=tie_cols, **reading)
         return windows.grouped_sequences(
             scaled.withWatermark("timestamp", f"{watermark.total_seconds()} seconds"),
