@@ -195,10 +195,16 @@ def points_unpivot_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
         "value", F.lit(names.PREDICTIONS_TOPIC).alias("topic"), F.lit(0).alias("offset")
     )
     found = points.unpivot_json(wire)
-    return found.groupBy(F.col("key"), F.col("_field").alias("field")).agg(
+    # The least and greatest text are found by sorting: equal texts, and all numbers, are hashed before.
+    cells = found.groupBy(F.col("key"), F.col("_field").alias("field"), "_svalue").agg(
         F.count("_value").alias("n_values"),
         F.count("_svalue").alias("n_texts"),
-        F.round(F.sum("_value"), 6).alias("total"),
+        F.sum("_value").alias("total"),
+    )
+    return cells.groupBy("key", "field").agg(
+        F.sum("n_values").alias("n_values"),
+        F.sum("n_texts").alias("n_texts"),
+        F.round(F.sum("total"), 6).alias("total"),
         F.min("_svalue").alias("first_text"),
         F.max("_svalue").alias("last_text"),
     )

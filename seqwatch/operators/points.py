@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 from datetime import datetime, timedelta
+from functools import lru_cache
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -25,22 +28,48 @@ LEAF = StructType(
 )
 
 
+_NUMBER = re.compile(r"[-+.0-9eE]+")
+_ONLY_NUMBERS = re.compile(r"[-+.0-9eE,\[\]]+")
+
+
+def _walk(value) -> Iterator[tuple[str, object]]:
+    """Path and value of all leaves but null, with a stack, so that the depth is no matter."""
+    stack = [("", value)]
+    while stack:
+        path, value = stack.pop()
+        if isinstance(value, dict):
+            stack.extend((f"{path}_{name}", v) for name, v in value.items())
+        elif isinstance(value, list):
+            stack.extend((f"{path}_{i}", v) for i, v in enumerate(value))
+        elif value is not None:
+            yield path, value
+
+
+@lru_cache(maxsize=256)
+def _places(shape: str) -> list[str]:
+    """The paths of the numbers of nested arrays, in the order of the text."""
+    number = count()
+    found = _walk(json.loads(shape, parse_int=lambda _: next(number)))
+    return [path for path, _ in sorted(found, key=lambda leaf: leaf[1])]
+
+
 @F.arrow_udf(ArrayType(LEAF))
 def _leaves(nested: pa.Array) -> pa.Array:
     """All leaves of JSON arrays and objects, at any depth; null for null.
 
-    Read with a stack, so that the depth of a message is no matter, and given back by the column.
+    Arrays of nothing but numbers, such as sequences, mostly have the shape of those before, whose paths
+    are known. Leaves are given back by the column.
     """
     ends, paths, numbers, texts = [0], [], [], []
     for text in nested.to_pylist():
-        stack = [("", json.loads(text, parse_int=float))] if text is not None else []
-        while stack:
-            path, value = stack.pop()
-            if isinstance(value, dict):
-                stack.extend((f"{path}_{name}", v) for name, v in value.items())
-            elif isinstance(value, list):
-                stack.extend((f"{path}_{i}", v) for i, v in enumerate(value))
-            elif value is not None:
+        if text is None:
+            pass
+        elif _ONLY_NUMBERS.fullmatch(text):
+            paths.extend(_places(_NUMBER.sub("0", text)))
+            numbers.extend(map(float, _NUMBER.findall(text)))
+            texts.extend([None] * (len(paths) - len(texts)))
+        else:
+            for path, value in _walk(json.loads(text, parse_int=float)):
                 is_number = isinstance(value, float)
                 paths.append(path)
                 numbers.append(value if is_number else None)

@@ -20,6 +20,18 @@ def unpivot(spark, *values, **options):
     return {(r._arrival, r._field): (r._value, r._svalue) for r in got}
 
 
+def test_arrays_of_numbers_in_any_shape(spark):
+    texts = ("[]", "[[]]", "[[1,-2.5],[3e2]]", "[[],[0]]", "[[[7]],8,[9,[10,11]]]", "[1,null]", "[[1],[2,\"x\"]]")
+    got = unpivot(spark, *(f'{{"event_timestamp":17,"f":{text}}}' for text in texts))
+    assert {place: value for place, (value, _) in got.items()} == {
+        (2, "f_0_0"): 1.0, (2, "f_0_1"): -2.5, (2, "f_1_0"): 300.0,
+        (3, "f_1_0"): 0.0,
+        (4, "f_0_0_0"): 7.0, (4, "f_1"): 8.0, (4, "f_2_0"): 9.0, (4, "f_2_1_0"): 10.0, (4, "f_2_1_1"): 11.0,
+        (5, "f_0"): 1.0, (6, "f_0_0"): 1.0, (6, "f_1_0"): 2.0,
+    }
+    assert points._places("[[0,0],[],[0]]") == ["_0_0", "_0_1", "_2_0"]
+
+
 def test_nested_fields_and_kinds(spark):
     got = unpivot(
         spark,
