@@ -12,6 +12,7 @@ from seqwatch import names
 from seqwatch.checks import fixture
 from seqwatch.functions import sequences, times
 from seqwatch.operators import models, points, records, rows, scaling, scoring, windows
+from seqwatch.operators.once import add_once
 from seqwatch.plans import archive, detector as det, scoring as plan
 from seqwatch.session import scratch_path
 from seqwatch.sinks import messages, tables
@@ -607,14 +608,14 @@ def anomaly_scores_incomplete(spark: SparkSession, sf_dir: str) -> DataFrame:
 def predictions_message(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = plan.score_readings(fixture.readings(spark, sf_dir), fitted(spark, sf_dir))
     sent = messages.prediction_messages(plan.flatten_window(scored))
-    return sent.select("key", *_message_columns(), _message_time().alias("event_time"))
+    return _parsed(sent).select("key", *_message_columns(), _message_time().alias("event_time"))
 
 
 @query
 def predictions_message_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = plan.score_readings(fixture.readings(spark, sf_dir), fitted(spark, sf_dir))
     sent = messages.nested_prediction_messages(scored)
-    return sent.select(
+    return _parsed(sent).select(
         "key",
         *_message_columns(),
         _message_time().isNotNull().alias("has_event_time"),
@@ -628,8 +629,13 @@ _MESSAGE = (
 )
 
 
+def _parsed(sent: DataFrame) -> DataFrame:
+    """Messages with their fields, which are parsed once and not for each use."""
+    return add_once(sent, {"message": F.from_json("value", _MESSAGE)})
+
+
 def _message_field(name: str) -> Column:
-    return F.from_json("value", _MESSAGE)[name]
+    return F.col("message")[name]
 
 
 def _message_time() -> Column:
@@ -773,13 +779,13 @@ def _message_stream(spark: SparkSession, sf_dir: str, nested: bool) -> DataFrame
 @query
 def stream_predictions_message(spark: SparkSession, sf_dir: str) -> DataFrame:
     sent = _message_stream(spark, sf_dir, nested=False)
-    return sent.select("key", *_message_columns(), _message_time().alias("event_time"))
+    return _parsed(sent).select("key", *_message_columns(), _message_time().alias("event_time"))
 
 
 @query
 def stream_predictions_message_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     sent = _message_stream(spark, sf_dir, nested=True)
-    return sent.select(
+    return _parsed(sent).select(
         "key", *_message_columns(), _message_time().isNotNull().alias("has_event_time")
     )
 

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from seqwatch.checks import queries
 from seqwatch.operators import models, rows, scoring
 from seqwatch.plans import detector as det, scoring as plan
 from seqwatch.sinks import messages, tables
@@ -270,3 +271,14 @@ def test_absolute_model_is_saved_and_its_training_removed(spark, history, tmp_pa
 def test_absolute_model_needs_sequences(spark, history):
     with pytest.raises(ValueError, match="no training sequences"):
         det.fit_detector(history.limit(5), det.absolute(2))
+
+
+@pytest.mark.parametrize("name", ["predictions_message", "predictions_message_nested"])
+def test_messages_are_parsed_once(spark, small, name):
+    plan_text = queries.ALL[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan_text.count("from_json") == 1
+
+
+def test_only_texts_of_points_are_sorted(spark, small):
+    plan_text = queries.ALL["points_unpivot_nested"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan_text.count("Aggregate [") >= 2 and "_svalue" in plan_text.split("Aggregate [")[2].split("]")[0]
