@@ -757,7 +757,7 @@ def _finish(spark: SparkSession, df: DataFrame, checkpoint: str, out: str) -> ru
 @query
 def stream_anomaly_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = streams.score_stream(
-        fixture.wire_stream(spark, sf_dir), fitted(spark, sf_dir), tie_cols=["offset"]
+        fixture.wire_stream(spark, sf_dir), fitted(spark, sf_dir), tie_cols=["offset"], least_block=stateful.LONG_BLOCK
     )
     out = scratch_path(spark, "scores")
     _finish(spark, scored, scratch_path(spark, "stream"), out)
@@ -769,7 +769,7 @@ def _message_stream(spark: SparkSession, sf_dir: str, nested: bool) -> DataFrame
         fixture.wire_stream(spark, sf_dir),
         fitted(spark, sf_dir),
         nested=nested,
-        tie_cols=["offset"],
+        tie_cols=["offset"], least_block=stateful.LONG_BLOCK,
     )
     out = scratch_path(spark, "messages")
     _finish(spark, sent, scratch_path(spark, "stream"), out)
@@ -800,7 +800,7 @@ def stream_scores_by_series(spark: SparkSession, sf_dir: str) -> DataFrame:
         fixture.keyed_wire_stream(spark, sf_dir),
         detector,
         series_keys=["key"],
-        tie_cols=["offset"],
+        tie_cols=["offset"], least_block=stateful.LONG_BLOCK,
     )
     out = scratch_path(spark, "scores")
     _finish(spark, scored, scratch_path(spark, "stream"), out)
@@ -819,7 +819,7 @@ def stream_late_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     for _ in range(2):
         wire.write.mode("append").parquet(source)
         scored = streams.score_stream(
-            files.stream_records(spark, source, wire.schema), detector, tie_cols=["offset"]
+            files.stream_records(spark, source, wire.schema), detector, tie_cols=["offset"], least_block=stateful.LONG_BLOCK
         )
         _finish(spark, scored, checkpoint, out)
     return spark.read.parquet(out).select(*score_columns())
@@ -836,7 +836,7 @@ def stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     for _ in range(2):
         wire.write.mode("append").parquet(source)
         late = streams.late_stream(
-            files.stream_records(spark, source, wire.schema), scaler, tie_cols=["offset"]
+            files.stream_records(spark, source, wire.schema), scaler, tie_cols=["offset"], least_block=stateful.LONG_BLOCK
         )
         _finish(spark, late, checkpoint, out)
     return spark.read.parquet(out).select(
@@ -874,7 +874,7 @@ def stream_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     wire = fixture.damaged(fixture.wire_stream(spark, sf_dir))
     scaler = scaling.MinMaxParams(names.CHANNELS, (0.0, 0.0), (100.0, 100.0))
     detector = det.Detector(scaler, models.WindowMean(), (0.25, 0.25), names.STEPS)
-    sent = streams.message_stream(wire, detector, tie_cols=["offset"], on_invalid="drop")
+    sent = streams.message_stream(wire, detector, tie_cols=["offset"], least_block=stateful.LONG_BLOCK, on_invalid="drop")
     both = streams.with_rejects(sent, wire)
     good, bad = scratch_path(spark, "messages"), scratch_path(spark, "rejects")
     parts = {
@@ -907,7 +907,7 @@ def stream_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     for half in (F.col("timestamp") < middle, F.col("timestamp") >= middle):
         wire.filter(half).write.mode("append").parquet(source)
         scored = streams.score_stream(
-            files.stream_records(spark, source, wire.schema), detector, tie_cols=["offset"]
+            files.stream_records(spark, source, wire.schema), detector, tie_cols=["offset"], least_block=stateful.LONG_BLOCK
         )
         _finish(spark, scored, checkpoint, out)
     return spark.read.parquet(out).select(*score_columns())
@@ -927,7 +927,7 @@ def stream_restart_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     for number, half in enumerate((F.col("timestamp") < middle, F.col("timestamp") >= middle)):
         wire.filter(half).write.mode("append").parquet(source)
         stream = files.stream_records(spark, source, wire.schema)
-        scored = streams.score_stream(stream, detector, tie_cols=["offset"], on_invalid="drop")
+        scored = streams.score_stream(stream, detector, tie_cols=["offset"], least_block=stateful.LONG_BLOCK, on_invalid="drop")
         job = run.start(
             scored, checkpoint, format="parquet", path=out, state_partitions=state_partitions(spark)
         )
@@ -956,7 +956,7 @@ def stream_scores_jumps(spark: SparkSession, sf_dir: str) -> DataFrame:
     for part in range(4):
         wire.filter(batch == part).write.mode("append").parquet(source)
         scored = streams.score_stream(
-            files.stream_records(spark, source, wire.schema), detector, tie_cols=["partition", "offset"]
+            files.stream_records(spark, source, wire.schema), detector, tie_cols=["partition", "offset"], least_block=stateful.LONG_BLOCK
         )
         _finish(spark, scored, checkpoint, out)
     return spark.read.parquet(out).select(*score_columns())
@@ -972,7 +972,7 @@ def stream_user_model(spark: SparkSession, sf_dir: str) -> DataFrame:
         (0.2537, 1.0),
     )
     scored = streams.score_stream(
-        fixture.wire_stream(spark, sf_dir), detector, tie_cols=["offset"]
+        fixture.wire_stream(spark, sf_dir), detector, tie_cols=["offset"], least_block=stateful.LONG_BLOCK
     )
     out = scratch_path(spark, "scores")
     _finish(spark, scored, scratch_path(spark, "stream"), out)

@@ -88,7 +88,8 @@ def total(values: Column) -> Column:
 
 def channel_mean(seq: Column, index: int) -> Column:
     """Mean of one channel over the steps; null for an empty sequence."""
-    return F.try_divide(total(channel(seq, index)), F.size(seq))
+    added = F.aggregate(seq, F.lit(0.0), lambda acc, x: acc + x[index])
+    return F.try_divide(added, F.size(seq))
 
 
 def channel_mae(seq: Column, prediction: Column, index: int) -> Column:

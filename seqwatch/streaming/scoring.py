@@ -46,6 +46,7 @@ def stream_blocks(
     watermark: timedelta = names.WATERMARK,
     window: timedelta = names.WINDOW,
     slide: timedelta = names.SLIDE,
+    least_block: int = stateful.LEAST_BLOCK,
     **reading,
 ) -> DataFrame:
     """Records to ended windows by the block, and late readings; see `stateful`."""
@@ -58,6 +59,7 @@ def stream_blocks(
         series_keys=series_keys,
         window=window,
         slide=slide,
+        least_block=least_block,
     )
 
 
@@ -97,7 +99,7 @@ def stream_windows(
             burst_slots=burst_slots,
         )
     shape = dict(tie_cols=tie_cols, series_keys=series_keys, window=window, slide=slide)
-    found = stream_blocks(wire, scaler, watermark=watermark, **shape, **reading)
+    found = stream_blocks(wire, scaler, watermark=watermark, least_block=least_block, **shape, **reading)
     return stateful.cut_windows(
         found, scaler.channels, steps=steps, on_overflow=on_overflow, **shape
     )

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from datetime import timedelta
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -28,11 +29,22 @@ from seqwatch.operators.once import add_once
 #: Windows of a block, at least; and how many times those that one point is in.
 LEAST_BLOCK = 64
 BLOCK_OF = 8
+#: ``least_block`` for jobs whose windows have few points: a block costs a fixed number of calls to its
+#: state. It is part of a query's state, so a stream that is restarted has to keep it.
+LONG_BLOCK = 1024
 LATEST = np.iinfo(np.int64).max
 
 
+def _chunk(point: StructType) -> StructType:
+    return StructType([StructField(f.name, ArrayType(f.dataType)) for f in point])
+
+
 class BlockWindows(StatefulProcessor):
-    """Points of a block of windows; times are microseconds, window k starts at ``k * slide``."""
+    """Points of a block of windows; times are microseconds, window k starts at ``k * slide``.
+
+    The state has a chunk per batch, an array per field: as elements of their own, points cost
+    far more to pickle one by one than all else that is done with them.
+    """
 
     def __init__(self, point: StructType, keys: list[str], window: int, slide: int, block: int) -> None:
         self.point, self.keys = point, keys
@@ -40,7 +52,7 @@ class BlockWindows(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.points = handle.getListState("points", self.point)
+        self.points = handle.getListState("points", _chunk(self.point))
         self.fired = handle.getValueState("fired", StructType([StructField("watermark", LongType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -56,7 +68,7 @@ class BlockWindows(StatefulProcessor):
                 yield self._late(key, part[late], missed[late])
             open_ = np.minimum(last, (key[-1] + 1) * self.block - 1) > ended
             if open_.any():
-                self.points.appendList(self._tuples(part[open_]))
+                self.points.appendValue(self._columns(part[open_]))
                 some, least = True, min(least, int(t[open_].min()))
         self._schedule(now, some, least)
 
@@ -68,8 +80,8 @@ class BlockWindows(StatefulProcessor):
     def close(self) -> None:
         pass
 
-    def _tuples(self, part: pd.DataFrame) -> list[tuple]:
-        return list(zip(*(self._cells(part[f.name], f.dataType) for f in self.point)))
+    def _columns(self, part: pd.DataFrame) -> tuple[list, ...]:
+        return tuple(self._cells(part[f.name], f.dataType) for f in self.point)
 
     @staticmethod
     def _cells(column: pd.Series, kind: DataType) -> list:
@@ -84,7 +96,9 @@ class BlockWindows(StatefulProcessor):
         before = self.fired.get()
         if before is None or now <= before[0]:
             return before is not None, LATEST
-        stored = pd.DataFrame(list(self.points.get()), columns=self.point.names, dtype=object)
+        chunks = list(self.points.get())
+        cells = {name: list(chain.from_iterable(c[i] for c in chunks)) for i, name in enumerate(self.point.names)}
+        stored = pd.DataFrame(cells, dtype=object)
         t = stored["t"].to_numpy(dtype=np.int64)
         low, high = key[-1] * self.block, (key[-1] + 1) * self.block - 1
         ended = (now - self.window) // self.slide
@@ -95,7 +109,7 @@ class BlockWindows(StatefulProcessor):
         if not needed.any():
             self.points.clear()
         elif not needed.all():
-            self.points.put(list(stored[needed].itertuples(index=False, name=None)))
+            self.points.put([tuple(stored.loc[needed, name].tolist() for name in self.point.names)])
         return bool(needed.any()), int(t[needed].min()) if needed.any() else LATEST
 
     def _windows(self, key, stored: pd.DataFrame, k: np.ndarray) -> Iterator[pd.DataFrame]:
@@ -112,7 +126,7 @@ class BlockWindows(StatefulProcessor):
         yield self._frame(key, 1, cells | {f.name: [whole[f.name].tolist()] for f in self.point})
 
     def _late(self, key, rows: pd.DataFrame, missed: np.ndarray) -> pd.DataFrame:
-        values = {f.name: [[x] for x in column] for f, column in zip(self.point, zip(*self._tuples(rows)))}
+        values = {f.name: [[x] for x in column] for f, column in zip(self.point, self._columns(rows))}
         none = [None] * len(rows)
         return self._frame(key, len(rows), {"missed": missed, "k": none, "low": none, "size": none} | values)
 
@@ -144,11 +158,12 @@ def block_rows(
     window: timedelta = names.WINDOW,
     slide: timedelta = names.SLIDE,
     block: int | None = None,
+    least_block: int = LEAST_BLOCK,
 ) -> DataFrame:
     """Ended windows by the block, and late readings: rows for `cut_windows` and `late_readings`."""
     keys = list(series_keys)
     width, step = times.micros(window), times.micros(slide)
-    block = block or max(LEAST_BLOCK, BLOCK_OF * -(-width // step))
+    block = block or max(least_block, BLOCK_OF * -(-width // step))
     marked = df.withWatermark(time_col, f"{watermark.total_seconds()} seconds")
     t = F.unix_micros(time_col)
     complete = F.lit(True)
@@ -238,4 +253,6 @@ def late_readings(
 def held_points(spark: SparkSession, checkpoint: str) -> DataFrame:
     """``partition_id, key, point``: the state of a stopped query over `block_rows`."""
     state = spark.read.format("statestore").option("stateVarName", "points").load(checkpoint)
-    return state.select("partition_id", "key", F.col("list_element").alias("point"))
+    chunks = state.select("partition_id", "key", "list_element.*")
+    fields = [c for c in chunks.columns if c not in ("partition_id", "key")]
+    return chunks.select("partition_id", "key", F.explode(F.arrays_zip(*fields)).alias("point"))

@@ -277,6 +277,34 @@ def test_state_has_each_point_of_open_windows_once(spark, tmp_path):
     assert sorted(own) == list(range(175, 200)) and len(held) <= 2 * 25
 
 
+def test_state_has_a_chunk_per_block_and_batch(spark, tmp_path):
+    job = Job(spark, tmp_path)
+    for low, high in ((0, 100), (100, 200)):
+        job.add(wire(spark, range(low, high), low))
+        job.run()
+    chunks = spark.read.format("statestore").option("stateVarName", "points").load(f"{tmp_path}/state")
+    points = stateful.held_points(spark, f"{tmp_path}/state").count()
+    assert points >= 25 and chunks.count() <= 2 * 2
+
+
+def test_shapes_of_windows_of_any_length_keep_points_once(spark, tmp_path):
+    """A burst of 30 readings in a second, and every block's points once in its state."""
+    source = wire(spark, [*range(100), *[50] * 30])
+    source.coalesce(1).write.parquet(f"{tmp_path}/in")
+    shapes = streams.shape_stream(
+        files.stream_records(spark, f"{tmp_path}/in"), DETECTOR.scaler, [0.5, 0.5], tie_cols=["offset"]
+    )
+    run.run_to_end(shapes, f"{tmp_path}/out", f"{tmp_path}/state", state_partitions=2)
+    readings = scaling.scale(records.read_records(source, carry=["offset"]), DETECTOR.scaler)
+    want = plan.window_shapes(windows.sliding_sequences(readings, tie_cols=["offset"]), [0.5, 0.5])
+    want = want.filter(F.col("window.end") <= F.timestamp_seconds(F.lit(BASE + 99 - 5)))
+    have = spark.read.parquet(f"{tmp_path}/out").select(want.columns)
+    assert sorted(map(str, have.collect())) == sorted(map(str, want.collect()))
+    assert have.filter(F.size("features") == 50).count() == 20
+    held = stateful.held_points(spark, f"{tmp_path}/state").count()
+    assert 25 <= held <= 2 * 25
+
+
 def test_a_repeated_batch_leaves_no_second_copy(spark, tmp_path):
     batch = archive.archive_points(wire(spark, range(30)))
     for number in (0, 1, 0):
