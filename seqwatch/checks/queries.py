@@ -93,12 +93,12 @@ def state_partitions(spark: SparkSession) -> int:
     return spark.sparkContext.defaultParallelism
 
 
-# Records
 def trainer_tasks(spark: SparkSession, trainers: int) -> int:
     """Tasks for each trainer's share, so that all together are as many as of any other shuffle."""
     return -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // trainers)
 
 
+# Records
 
 
 @query
