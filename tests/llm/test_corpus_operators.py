@@ -609,6 +609,28 @@ def test_removal_awkward(odd, none, texts):
     assert substrings.remove(odd).count() == odd.count() and substrings.remove(none).count() == 0
 
 
+def test_removal_of_planted_passages(spark):
+    """Passages of over 50 words, each in two documents: their bytes decide, not their words."""
+    rng = random.Random(13)
+
+    def prose(n: int, size: int) -> str:
+        return " ".join("".join(rng.choices("abcdefghij", k=size)) for _ in range(n))
+
+    docs, lengths = [], {}
+    for n_words, size in [(51, 5), (66, 5), (67, 5), (51, 7), (90, 6)]:  # 305, 395, 401, 407 and 629 bytes
+        passage = prose(n_words, size)
+        for side in "xy":  # the bytes beside the passage differ
+            lengths[len(docs)] = len(passage)
+            docs.append((len(docs), f"{prose(30, 6)}{side}{passage}{side}{prose(30, 6)}"))
+    docs += [(100 + i, prose(150, 6)) for i in range(5)]
+    found = substrings.remove(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).cache()
+    assert removal(found) == plain_removal(docs)
+    for row in found.collect():
+        length = lengths.get(row.doc_id, 0)
+        assert (row.n_removed, row.n_spans) == ((length, 1) if length >= substrings.THRESHOLD else (0, 0))
+        assert row.n_bytes == len(dict(docs)[row.doc_id])  # of the input, whatever is removed
+
+
 # 10 near duplicates
 
 
